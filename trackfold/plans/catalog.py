@@ -88,13 +88,12 @@ def text_files(spark, sf_dir):
 
 @query
 def vehicle_files(spark, sf_dir):
-    path = scratch_path(spark, "vehicles")
-    rows = adapter.sensors(spark, sf_dir)
-    lines = adapter.tagged_lines(rows).withColumn("vehicle", F.element_at(text.fields(F.col("value")), -1))
-    # one folder per vehicle: gather by vehicle first, else every task writes to every folder
-    named = lines.filter(F.split("value", "[,;]")[0].isin("odo", "gps")).select("vehicle", "value")
-    named.repartition("vehicle").write.partitionBy("vehicle").text(path)
-    back = recordings.read_vehicle_files(spark, path, vehicle_pattern=r"vehicle=([^/]+)/")
+    """Recordings told apart by their folder. One folder per sensor: few, however large the fleet."""
+    path = scratch_path(spark, "recordings")
+    lines = adapter.tagged_lines(adapter.sensors(spark, sf_dir))
+    named = lines.select(F.split("value", "[,;]")[0].alias("recorder"), "value")
+    named.filter(F.col("recorder").isin("odo", "gps")).write.partitionBy("recorder").text(path)
+    back = recordings.read_vehicle_files(spark, path, vehicle_pattern=r"recorder=([^/]+)/")
     return back.select("vehicle", "t_ms", "kind", "speed", "steering", "gps_x", "gps_y")
 
 
@@ -162,8 +161,8 @@ def scalar_functions(spark, sf_dir):
     return rows.select(
         "seq",
         _round(motion.centre_speed(v, a, car), 9).alias("centre_speed"),
-        _round(motion.plane_x(a, forward, left)).alias("dx"),
-        _round(motion.plane_y(a, forward, left)).alias("dy"),
+        _round(motion.plane_x(a, forward, left), 8).alias("dx"),
+        _round(motion.plane_y(a, forward, left), 8).alias("dy"),
         _round(turn).alias("dphi"),
         _round(geometry.wrap(F.col("seq") * a)).alias("wrapped"),
         geometry.align_clock(F.col("t_ms") / 1000.0, 20967).alias("aligned"),
@@ -203,7 +202,7 @@ def pose_accumulate(spark, sf_dir):
 @query
 def discrete_kalman(spark, sf_dir):
     out = track.discrete_kalman(adapter.sensors(spark, sf_dir))
-    return _rounded(out, "x", "y", "phi", "gain", "variance")
+    return _rounded(out, "x", "y", "phi", "gain", "variance", digits=8)
 
 
 # --- scans ---
@@ -251,7 +250,7 @@ def landmark_cloud(spark, sf_dir):
 @query
 def associate_landmarks(spark, sf_dir):
     rows = adapter.raw_scans(spark, sf_dir)
-    number = F.col("seq") * 1000 + F.col("first")
+    number = (F.col("seq") - adapter.SCAN_SEQ) * 1000 + F.col("first")
     seen = scan.explode_objects(rows, scan.raw_objects(F.col("ranges"), F.lit(0.0), RAW_SCAN), "vehicle", "seq")
     known = scan.explode_objects(
         rows, scan.metre_objects(F.transform("ranges", lambda r: r / 100.0), F.lit(0.0), METRE_SCAN), "vehicle", "seq"
@@ -365,7 +364,7 @@ def slam_relative(spark, sf_dir):
 @query
 def slam_predictions_only(spark, sf_dir):
     rows = prep.route(adapter.mapping_rows(spark, sf_dir), "odo")
-    return _pose(slam.slam_track(rows, adapter.SLAM)).drop("landmarks")
+    return _pose(slam.slam_track(rows, adapter.SLAM), digits=8).drop("landmarks")
 
 
 # --- sinks ---
@@ -439,7 +438,7 @@ def objects_stream(spark, sf_dir):
 @query
 def discrete_stream(spark, sf_dir):
     out = run.drain(jobs.discrete_stream(_sensor_stream(spark, sf_dir)), "discrete")
-    return _rounded(out, "x", "y", "phi", "gain", "variance")
+    return _rounded(out, "x", "y", "phi", "gain", "variance", digits=8)
 
 
 @query

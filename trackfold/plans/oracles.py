@@ -138,7 +138,12 @@ track AS (
   SELECT *, CASE WHEN kind = 'odo' THEN 'prediction' ELSE 'update' END AS step FROM _ekf WHERE n > 0)"""
 
 
-_POSE = f"""{_r('x', 4)}, {_r('y', 4)}, {_r('sin_phi', 4, 'sin(phi)')}, {_r('cos_phi', 4, 'cos(phi)')}"""
+def _pose(digits: int = 4) -> str:
+    return ", ".join(_r(n, digits, e) for n, e in
+                     (("x", "x"), ("y", "y"), ("sin_phi", "sin(phi)"), ("cos_phi", "cos(phi)")))
+
+
+_POSE = _pose()
 _COV = ", ".join(
     _r(name, 4, column)
     for name, column in (("p_xx", "pxx"), ("p_xy", "pxy"), ("p_xphi", "pxh"), ("p_yy", "pyy"),
@@ -154,7 +159,6 @@ def oracle_sql() -> dict[str, str]:
     sensor_columns = "vehicle, t_ms, kind, speed, steering, gps_x, gps_y"
     tagged = f"WITH {SENSOR} SELECT seq, {sensor_columns} FROM sensor WHERE kind IN ('odo', 'gps')"
     files = f"WITH {SENSOR} SELECT {sensor_columns} FROM sensor WHERE kind IN ('odo', 'gps')"
-    digits = "regexp_replace(vehicle, 'vehicle', '')"
     out = {
         "parse_tagged": tagged,
         "parse_rejected": f"""WITH {SENSOR} SELECT 'kind' AS reason,
@@ -167,7 +171,7 @@ def oracle_sql() -> dict[str, str]:
             FROM beams b JOIN scans s ON s.seq = b.seq GROUP BY ALL""",
         "text_files": files,
         "text_stream": files,
-        "vehicle_files": f"""WITH {SENSOR} SELECT {digits} AS vehicle, {sensor_columns.replace('vehicle, ', '')}
+        "vehicle_files": f"""WITH {SENSOR} SELECT kind AS vehicle, {sensor_columns.replace('vehicle, ', '')}
             FROM sensor WHERE kind IN ('odo', 'gps')""",
         "merge_sensors": f"""WITH {SENSOR} SELECT vehicle,
             CASE WHEN kind = 'odo' THEN t_ms + 20967 ELSE t_ms END AS t_ms, seq, kind, speed, steering, gps_x, gps_y
@@ -179,8 +183,8 @@ def oracle_sql() -> dict[str, str]:
         "scalar_functions": f"""WITH {SENSOR}, f AS (
             SELECT *, t_ms / 1000::DOUBLE AS dt, speed / (1 - tan(steering) * {H} / {L}) AS v FROM sensor WHERE kind = 'odo')
             SELECT seq, {_r('centre_speed', 9, 'v')},
-            {_r('dx', expr=f"dt * (v * cos(steering) - v / {L} * tan(steering) * ({A} * sin(steering) + {B} * cos(steering)))")},
-            {_r('dy', expr=f"dt * (v * sin(steering) + v / {L} * tan(steering) * ({A} * cos(steering) - {B} * sin(steering)))")},
+            {_r('dx', 8, f"dt * (v * cos(steering) - v / {L} * tan(steering) * ({A} * sin(steering) + {B} * cos(steering)))")},
+            {_r('dy', 8, f"dt * (v * sin(steering) + v / {L} * tan(steering) * ({A} * cos(steering) - {B} * sin(steering)))")},
             {_r('dphi', expr=f"dt * v / {L} * tan(steering)")},
             {_r('wrapped', expr=f"(seq * steering) % {TWO_PI}")},
             t_ms + 20967 AS aligned,
@@ -212,10 +216,10 @@ def oracle_sql() -> dict[str, str]:
                   FROM sensor WHERE kind = 'odo' WINDOW w AS (PARTITION BY vehicle ORDER BY t_ms, seq)),
             b AS (SELECT *, v * dt * tan(steering) / ({L} * 1000) AS phi FROM a),
             c AS (SELECT *, lag(phi, 1, 0) OVER (PARTITION BY vehicle ORDER BY t_ms, seq) AS h FROM b)
-            SELECT vehicle, t_ms, seq, {_r('x', expr='sum(v * cos(h) * dt / 1000) OVER w')},
-              {_r('y', expr='sum(v * sin(h) * dt / 1000) OVER w')}, {_r('phi')},
-              {_r('gain', expr='1 / (1 + 10 * (n - 1)) / (1 / (1 + 10 * (n - 1)) + 0.1::DOUBLE)')},
-              {_r('variance', expr='1 / (1 + 10 * n)')}
+            SELECT vehicle, t_ms, seq, {_r('x', 8, 'sum(v * cos(h) * dt / 1000) OVER w')},
+              {_r('y', 8, 'sum(v * sin(h) * dt / 1000) OVER w')}, {_r('phi', 8)},
+              {_r('gain', 8, '1 / (1 + 10 * (n - 1)) / (1 / (1 + 10 * (n - 1)) + 0.1::DOUBLE)')},
+              {_r('variance', 8, '1 / (1 + 10 * n)')}
             FROM c WINDOW w AS (PARTITION BY vehicle ORDER BY t_ms, seq)""",
         "clean_scan": f"WITH {SCANS} SELECT vehicle, seq, beam::INTEGER AS beam, {_r('range', expr='r')} FROM raw_beams",
         "segment_scan": f"""WITH {SCANS}, {_segments('beams', 1.1, 'parts')}
@@ -233,8 +237,8 @@ def oracle_sql() -> dict[str, str]:
         "associate_landmarks": f"""WITH {SCANS}, {_segments('raw_beams', 2.0, 'raw_parts')},
             {_segments('beams', 1.1, 'parts')},
             {_objects('raw_parts', '0', 'seen')}, {_objects('parts', '0', 'known')},
-            pairs AS (SELECT s.vehicle, s.seq * 1000 + s.first AS obs_id, s.x, s.y,
-                        k.seq * 1000 + k.first AS idx, k.x AS lx, k.y AS ly,
+            pairs AS (SELECT s.vehicle, (s.seq - {SCAN_SEQ}) * 1000 + s.first AS obs_id, s.x, s.y,
+                        (k.seq - {SCAN_SEQ}) * 1000 + k.first AS idx, k.x AS lx, k.y AS ly,
                         sqrt((k.x - s.x) * (k.x - s.x) + (k.y - s.y) * (k.y - s.y)) AS d
                       FROM seen s LEFT JOIN known k ON k.vehicle = s.vehicle),
             found AS (SELECT vehicle, obs_id, x, y, min(CASE WHEN d < 0.4 THEN idx END) AS landmark,
@@ -302,7 +306,7 @@ def oracle_sql() -> dict[str, str]:
     out["track_csv_roundtrip"] = out["track_parquet_roundtrip"] = steps
     # the mapping filter keeps phi unwrapped, which its sine and cosine do not show
     odometry = _ekf(kinds="'odo'", start=(0.0, 0.0))
-    out["slam_predictions_only"] = f"{odometry} SELECT vehicle, t_ms, seq, step, {_POSE} FROM track"
+    out["slam_predictions_only"] = f"{odometry} SELECT vehicle, t_ms, seq, step, {_pose(8)} FROM track"
     out["move_stream"] = out["pose_accumulate"]
     out["objects_stream"] = out["extract_objects"]
     out["discrete_stream"] = out["discrete_kalman"]
