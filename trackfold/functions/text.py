@@ -9,12 +9,12 @@ KINDS = ("odo", "gps", "laser")
 
 
 def fields(line: Column) -> Column:
-    """Fields of a line separated by commas or semicolons."""
-    return F.split(F.translate(line, ";", ","), ",")
+    """Fields of a line separated by commas or semicolons, without quotes, brackets and blanks."""
+    return F.split(F.translate(line, ';"[] ', ","), ",")
 
 
 def text_field(parts: Column, at: int) -> Column:
-    return F.trim(F.get(parts, F.lit(at)))
+    return F.get(parts, F.lit(at))
 
 
 def double_field(parts: Column, at: int) -> Column:
@@ -26,9 +26,9 @@ def long_field(parts: Column, at: int) -> Column:
 
 
 def scan_field(parts: Column, at: int) -> Column:
-    """All fields from ``at`` on as numbers, without the quotes and brackets around the list."""
+    """All fields from ``at`` on as numbers; a bad one is null."""
     readings = F.slice(parts, F.lit(at + 1), F.greatest(F.size(parts) - F.lit(at), F.lit(0)))
-    return F.transform(readings, lambda s: F.regexp_replace(s, r'[\[\]" ]', "").try_cast("double"))
+    return readings.try_cast("array<double>")
 
 
 def points(text: Column) -> Column:

@@ -47,14 +47,15 @@ def associate(
     pairs = seen.join(places, ["vehicle", "cx", "cy"], "left").withColumn("_d", away)
     near = F.col("_d") < F.lit(match_below)
     between = (F.col("_d") > F.lit(match_below)) & (F.col("_d") < side)
+    hit = F.when(near, F.col("idx"))
+    # plain numbers only, so the pairs are combined in a hash table and need no sort
     found = pairs.groupBy("vehicle", "obs_id", "x", "y").agg(
-        F.min(F.when(near, F.struct("idx", "lx", "ly"))).alias("_hit"),
+        F.min(hit).alias("landmark"),
+        F.min_by("lx", hit).alias("lx"),
+        F.min_by("ly", hit).alias("ly"),
         F.max(F.coalesce(between, F.lit(False))).alias("_close"),
     )
     status = (
-        F.when(F.col("_hit").isNotNull(), "match").when(F.col("_close"), "ambiguous").otherwise("new")
-    )
-    return found.select(
-        "vehicle", "obs_id", "x", "y", status.alias("status"),
-        F.col("_hit.idx").alias("landmark"), F.col("_hit.lx").alias("lx"), F.col("_hit.ly").alias("ly"),
+        F.when(F.col("landmark").isNotNull(), "match").when(F.col("_close"), "ambiguous").otherwise("new")
     )
+    return found.select("vehicle", "obs_id", "x", "y", status.alias("status"), "landmark", "lx", "ly")

@@ -1,28 +1,20 @@
-"""Range scans: cleaning, cutting into objects, landmark points. One row stays one row.
+"""Range scans: cleaning, cutting into objects, landmark points.
 
-The scan is an array column; every step is an array expression on the executors' JVMs and
-needs no shuffle.
+The scan is an array column and a row stays a row, so nothing here is shuffled but for the
+pose of the car.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackfold.functions import geometry
+from trackfold.functions.beams import cloud_points, segment_stats
 from trackfold.operators.ordered import HOT_ROWS
 from trackfold.operators.track import accumulate_pose
 from trackfold.schema import CLOUD_MAX_RANGE, METRE_SCAN, RAW_SCAN, ScanConfig, Start, Vehicle
 
-HALF_TURN = 180.0
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it inside lambdas."""
-    return F.transform(F.array(value), body)[0]
-
 
 def metres_with_blind_zone(ranges: Column, scan: ScanConfig = RAW_SCAN) -> Column:
     """Centimetres to metres; the first beams see the car itself and get a far value."""
@@ -37,118 +29,49 @@ def clamp_far(ranges: Column, max_range: float) -> Column:
     return F.transform(ranges, lambda r: F.when(r <= F.lit(max_range), r).otherwise(F.lit(0.0)))
 
 
-def segments(ranges: Column, gap: float) -> Column:
-    """Array of (first, last) beams; neighbours differing by more than ``gap`` are separated."""
-
-    def cut(r: Column) -> Column:
-        beams = F.when(F.size(r) > 0, F.sequence(F.lit(0), F.size(r) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(beams, lambda i: (i == 0) | (F.abs(F.get(r, i) - F.get(r, i - 1)) > F.lit(gap)))
-        return _let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda first, k: F.struct(
-                    first.alias("first"),
-                    (F.coalesce(F.get(s, k + 1), F.size(r)) - 1).alias("last"),
-                ),
-            ),
-        )
-
-    return _let(ranges, cut)
-
-
-def segment_stats(ranges: Column, scan: ScanConfig) -> Column:
-    """Segments with an echo: (first, last, width, mean, nearest, diameter, reach, degrees)."""
-
-    def build(r: Column) -> Column:
-        def measure(s: Column) -> Column:
-            beams = F.slice(r, s["first"] + 1, s["last"] - s["first"] + 1)
-            return F.struct(
-                s["first"].alias("first"),
-                s["last"].alias("last"),
-                F.aggregate(beams, F.lit(0.0), lambda total, v: total + v).alias("total"),
-                F.array_min(beams).alias("nearest"),
-            )
-
-        def finish(s: Column) -> Column:
-            beams = s["last"] - s["first"] + 1
-            width = beams * F.lit(scan.degrees_per_beam * 3.141592653589793 / HALF_TURN)
-            mean = s["total"] / beams
-            diameter = width * mean
-            return F.struct(
-                s["first"].alias("first"),
-                s["last"].alias("last"),
-                width.alias("width"),
-                mean.alias("mean"),
-                s["nearest"].alias("nearest"),
-                diameter.alias("diameter"),
-                (s["nearest"] + diameter / 2).alias("reach"),
-                (s["first"] * F.lit(scan.degrees_per_beam) + F.degrees(width / 2)).alias("degrees"),
-            )
-
-        measured = F.transform(segments(r, scan.gap), measure)
-        return F.transform(F.filter(measured, lambda s: s["total"] > 0), finish)
-
-    return _let(ranges, build)
-
-
-def sight(stats: Column, phi: Column, vehicle: Vehicle = Vehicle()) -> Column:
-    """Objects as (first, last, x, y, diameter, range, bearing) in car-relative metres."""
-
-    def place(s: Column) -> Column:
-        x = geometry.beam_x(s["degrees"], s["reach"], phi, vehicle)
-        y = geometry.beam_y(s["degrees"], s["reach"], phi, vehicle)
-        at = F.struct(s["first"].alias("first"), s["last"].alias("last"), x.alias("x"), y.alias("y"),
-                      s["diameter"].alias("diameter"))
-        return _let(
-            at,
-            lambda o: F.struct(
-                o["first"].alias("first"), o["last"].alias("last"), o["x"].alias("x"), o["y"].alias("y"),
-                o["diameter"].alias("diameter"),
-                geometry.sight_range(o["x"], o["y"]).alias("range"),
-                geometry.sight_bearing(o["x"], o["y"], phi).alias("bearing"),
-            ),
-        )
-
-    return F.transform(stats, place)
-
-
 def clean_raw(ranges: Column, scan: ScanConfig = RAW_SCAN) -> Column:
     return clamp_far(metres_with_blind_zone(ranges, scan), scan.max_range)
 
 
-def raw_objects(ranges: Column, phi: Column, scan: ScanConfig = RAW_SCAN) -> Column:
-    """Objects of a scan in centimetres."""
-    return sight(segment_stats(clean_raw(ranges, scan), scan), phi, scan.vehicle)
+def place(segments: Column, phi: Column, vehicle: Vehicle = Vehicle()) -> Column:
+    """Segments as objects (first, last, x, y, diameter, range, bearing), car-relative metres."""
+    placed = F.transform(segments, lambda s: F.struct(
+        s["first"].alias("first"), s["last"].alias("last"), s["diameter"].alias("diameter"),
+        geometry.beam_x(s["degrees"], s["reach"], phi, vehicle).alias("x"),
+        geometry.beam_y(s["degrees"], s["reach"], phi, vehicle).alias("y"),
+    ))
+    return F.transform(placed, lambda o: F.struct(
+        o["first"].alias("first"), o["last"].alias("last"), o["x"].alias("x"), o["y"].alias("y"),
+        o["diameter"].alias("diameter"),
+        geometry.sight_range(o["x"], o["y"]).alias("range"),
+        geometry.sight_bearing(o["x"], o["y"], phi).alias("bearing"),
+    ))
 
 
-def metre_objects(ranges: Column, phi: Column, scan: ScanConfig = METRE_SCAN) -> Column:
-    """Objects of a scan in metres, taken as it is."""
-    return sight(segment_stats(ranges, scan), phi, scan.vehicle)
+def object_rows(
+    rows: DataFrame, segments: Column, phi: Column, *keep: str, vehicle: Vehicle = Vehicle()
+) -> DataFrame:
+    """One row per object: ``keep`` columns and what ``place`` gives, outside any array."""
+    flat = rows.select(*keep, phi.alias("_phi"), F.inline(segments))
+    flat = flat.withColumns({
+        "x": geometry.beam_x(F.col("degrees"), F.col("reach"), F.col("_phi"), vehicle),
+        "y": geometry.beam_y(F.col("degrees"), F.col("reach"), F.col("_phi"), vehicle),
+    })
+    return flat.select(
+        *keep, "first", "last", "x", "y", "diameter",
+        geometry.sight_range(F.col("x"), F.col("y")).alias("range"),
+        geometry.sight_bearing(F.col("x"), F.col("y"), F.col("_phi")).alias("bearing"),
+    )
 
 
-def explode_objects(rows: DataFrame, objects: Column, *keep: str) -> DataFrame:
-    """One row per object."""
-    return rows.select(*keep, F.inline(objects))
+def raw_objects(rows: DataFrame, phi: Column, *keep: str, scan: ScanConfig = RAW_SCAN) -> DataFrame:
+    """One row per object of scans in centimetres (column ``ranges``)."""
+    return object_rows(rows, segment_stats(F.col("ranges"), scan, raw=True), phi, *keep, vehicle=scan.vehicle)
 
 
-def cloud_points(
-    ranges: Column, x: Column, y: Column, phi: Column,
-    max_range: float = CLOUD_MAX_RANGE, vehicle: Vehicle = Vehicle(), degrees_per_beam: float = 0.5,
-) -> Column:
-    """World points of the valid beams, as an array of (beam, lx, ly) in beam order."""
-    points = F.transform(
-        ranges,
-        lambda r, i: F.when(
-            (r != 0.0) & (r <= F.lit(max_range)),
-            F.struct(
-                i.alias("beam"),
-                (x + geometry.beam_x(i * F.lit(degrees_per_beam), r, phi, vehicle)).alias("lx"),
-                (y + geometry.beam_y(i * F.lit(degrees_per_beam), r, phi, vehicle)).alias("ly"),
-            ),
-        ),
-    )
-    return F.filter(points, lambda p: p.isNotNull())
+def metre_objects(rows: DataFrame, phi: Column, *keep: str, scan: ScanConfig = METRE_SCAN) -> DataFrame:
+    """One row per object of scans in metres, taken as they are."""
+    return object_rows(rows, segment_stats(F.col("ranges"), scan), phi, *keep, vehicle=scan.vehicle)
 
 
 def track_with_cloud(
@@ -165,10 +88,10 @@ def track_with_objects(
 ) -> DataFrame:
     """Track from pose increments, each row with the objects of its scan.
 
-    Objects are turned by phi but keep the car as origin.
+    Objects are turned by phi but keep the car as origin. Scans are cut into segments before
+    the rows are moved, which needs no pose and leaves fewer numbers to move.
     """
-    # the part of the extraction that needs no pose runs before the rows are moved
-    measured = rows.withColumn("_stats", segment_stats(F.col("ranges"), scan)).drop("ranges")
+    measured = rows.withColumn("_segments", segment_stats(F.col("ranges"), scan)).drop("ranges")
     posed = accumulate_pose(measured, start, hot_rows)
     return posed.select("vehicle", "t_ms", "seq", "x", "y", "phi",
-                        sight(F.col("_stats"), F.col("phi"), scan.vehicle).alias("objects"))
+                        place(F.col("_segments"), F.col("phi"), scan.vehicle).alias("objects"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackfold.operators import scan as scans
+from trackfold.functions.beams import segment_stats
 from trackfold.operators import slices, steps
 from trackfold.operators.ekf import _runs
 from trackfold.operators.ordered import HOT_ROWS, split_hot
@@ -25,8 +25,8 @@ def slam_input(rows: DataFrame, scan: ScanConfig = RAW_SCAN, cleaned: bool = Fal
     Cutting the scan into objects does not need the pose, so it runs before the rows move.
     """
     odo = F.col("kind") == "odo"
-    ranges = F.col("ranges") if cleaned else scans.clean_raw(F.col("ranges"), scan)
-    stats = F.when(odo, None).otherwise(scans.segment_stats(ranges, scan))
+    # odometry rows have no scan and stay null
+    stats = segment_stats(F.col("ranges"), scan, raw=not cleaned)
     narrow = rows.filter(F.col("kind").isin("odo", "laser")).select(
         "vehicle", "t_ms", "seq",
         F.when(odo, ODO).otherwise(LASER).cast("tinyint").alias("code"),

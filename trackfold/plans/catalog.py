@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trackfold.functions import geometry, motion, text
 from trackfold.operators import associate, ekf, prep, scan, slam, track
 from trackfold.plans import adapter
-from trackfold.schema import METRE_SCAN, RAW_SCAN, TRACK_KEYED, TRACK_STEPS, Vehicle
+from trackfold.schema import METRE_SCAN, TRACK_KEYED, TRACK_STEPS, Vehicle
 from trackfold.session import scratch_path
 from trackfold.sources import exports, recordings
 from trackfold.streaming import jobs, run, windows
@@ -218,8 +218,8 @@ def clean_scan(spark, sf_dir):
 @query
 def segment_scan(spark, sf_dir):
     rows = adapter.scans(spark, sf_dir)
-    stats = scan.segment_stats(F.col("ranges"), METRE_SCAN)
-    out = scan.explode_objects(rows, stats, "vehicle", "seq").drop("degrees", "reach")
+    out = rows.select("vehicle", "seq", F.inline(scan.segment_stats(F.col("ranges"), METRE_SCAN)))
+    out = out.drop("degrees", "reach")
     return _rounded(out, "width", "mean", "nearest", "diameter")
 
 
@@ -230,14 +230,13 @@ def _objects(df: DataFrame) -> DataFrame:
 @query
 def extract_objects(spark, sf_dir):
     out = scan.track_with_objects(adapter.scans(spark, sf_dir))
-    rows = scan.explode_objects(out, F.col("objects"), "vehicle", "seq", "phi").drop("range", "bearing")
+    rows = out.select("vehicle", "seq", "phi", F.inline("objects")).drop("range", "bearing")
     return _rounded(rows, "x", "y", "diameter", "phi")
 
 
 @query
 def extract_objects_raw(spark, sf_dir):
-    rows = adapter.raw_scans(spark, sf_dir)
-    return _objects(scan.explode_objects(rows, scan.raw_objects(F.col("ranges"), F.col("phi_inc")), "vehicle", "seq"))
+    return _objects(scan.raw_objects(adapter.raw_scans(spark, sf_dir), F.col("phi_inc"), "vehicle", "seq"))
 
 
 @query
@@ -249,12 +248,9 @@ def landmark_cloud(spark, sf_dir):
 
 @query
 def associate_landmarks(spark, sf_dir):
-    rows = adapter.raw_scans(spark, sf_dir)
     number = (F.col("seq") - adapter.SCAN_SEQ) * 1000 + F.col("first")
-    seen = scan.explode_objects(rows, scan.raw_objects(F.col("ranges"), F.lit(0.0), RAW_SCAN), "vehicle", "seq")
-    known = scan.explode_objects(
-        rows, scan.metre_objects(F.transform("ranges", lambda r: r / 100.0), F.lit(0.0), METRE_SCAN), "vehicle", "seq"
-    )
+    seen = scan.raw_objects(adapter.raw_scans(spark, sf_dir), F.lit(0.0), "vehicle", "seq")
+    known = scan.metre_objects(adapter.scans(spark, sf_dir), F.lit(0.0), "vehicle", "seq")
     out = associate.associate(
         seen.select("vehicle", number.alias("obs_id"), "x", "y"),
         known.select("vehicle", number.alias("idx"), "x", "y"),
@@ -431,7 +427,7 @@ def move_stream(spark, sf_dir):
 @query
 def objects_stream(spark, sf_dir):
     out = run.drain(jobs.objects_stream(_scan_stream(spark, sf_dir)), "objects")
-    rows = scan.explode_objects(out, F.col("objects"), "vehicle", "seq", "phi").drop("range", "bearing")
+    rows = out.select("vehicle", "seq", "phi", F.inline("objects")).drop("range", "bearing")
     return _rounded(rows, "x", "y", "diameter", "phi")
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackfold.functions.beams import cloud_points, segment_stats
 from trackfold.operators import ekf, slam, steps
 from trackfold.operators import scan as scans
 from trackfold.schema import METRE_SCAN, RAW_SCAN, EkfConfig, ScanConfig, SlamConfig, Start, Vehicle
@@ -92,7 +93,7 @@ def move_stream(
         return state, {**columns, "ranges": frame["ranges"]}
 
     posed = _stateful(narrow, _output(rows, *_POSE, ("ranges", ranges)), (start.x, start.y, start.phi), fold, late)
-    points = scans.cloud_points(F.col("ranges"), F.col("x"), F.col("y"), F.col("phi"), cloud_range)
+    points = cloud_points(F.col("ranges"), F.col("x"), F.col("y"), F.col("phi"), cloud_range)
     return posed.select("vehicle", "t_ms", "seq", "x", "y", "phi", points.alias("landmarks"))
 
 
@@ -100,7 +101,7 @@ def objects_stream(
     rows: DataFrame, start: Start = Start(), scan: ScanConfig = METRE_SCAN, late: str = "drop"
 ) -> DataFrame:
     """Pose accumulation with the objects of each scan; the scan is measured before the state."""
-    stats = scans.segment_stats(F.col("ranges"), scan)
+    stats = segment_stats(F.col("ranges"), scan)
     narrow = rows.withColumn("_stats", stats).select(
         "vehicle", "t_ms", "seq", "x_inc", "y_inc", "phi_inc",
         *[F.col(f"_stats.{n}").alias(n) for n in ("first", "last", "diameter", "reach", "degrees")],
@@ -115,7 +116,7 @@ def objects_stream(
     posed = _stateful(narrow, _output(rows, *_POSE, *extra), (start.x, start.y, start.phi), fold, late)
     stats = F.arrays_zip(*carried)
     return posed.select("vehicle", "t_ms", "seq", "x", "y", "phi",
-                        scans.sight(stats, F.col("phi"), scan.vehicle).alias("objects"))
+                        scans.place(stats, F.col("phi"), scan.vehicle).alias("objects"))
 
 
 def discrete_stream(
