@@ -44,7 +44,9 @@ def associate(
     )
     # same form as the distance in the filter step, so both decide alike on the limits
     away = geometry.sight_range(F.col("lx") - F.col("x"), F.col("ly") - F.col("y"))
-    pairs = seen.join(places, ["vehicle", "cx", "cy"], "left").withColumn("_d", away)
+    # the size of the spread-out landmarks is not known beforehand: sorted and spillable, never
+    # broadcast; adaptive execution splits crowded cells on the observation side
+    pairs = seen.join(places.hint("merge"), ["vehicle", "cx", "cy"], "left").withColumn("_d", away)
     near = F.col("_d") < F.lit(match_below)
     between = (F.col("_d") > F.lit(match_below)) & (F.col("_d") < side)
     hit = F.when(near, F.col("idx"))

@@ -94,7 +94,6 @@ def _guess(hot: DataFrame, config: EkfConfig) -> DataFrame:
 
 
 def _fold(rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit) -> DataFrame:
-    keys = [k for k in slices.KEYS if k in rows.columns]
     fields = [T.StructField("vehicle", T.StringType())]
     if what == "track":
         fields += [rows.schema["t_ms"], rows.schema["seq"], T.StructField("step", T.StringType())]
@@ -105,12 +104,7 @@ def _fold(rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit)
     if what != "end":
         names = ("x", "y", "phi") + (COVARIANCE if covariance else ())
         fields += [T.StructField(n, T.DoubleType()) for n in names]
-    folded = (
-        rows.repartition(*keys)
-        .sortWithinPartitions(*keys, "t_ms", "seq")
-        .mapInArrow(_Fold(config, what, covariance, emit), T.StructType(fields))
-    )
-    return folded
+    return slices.gather(rows).mapInArrow(_Fold(config, what, covariance, emit), T.StructType(fields))
 
 
 class _Fold:

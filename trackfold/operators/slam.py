@@ -22,21 +22,24 @@ ODO, LASER = 0, 1
 def slam_input(rows: DataFrame, scan: ScanConfig = RAW_SCAN, cleaned: bool = False) -> DataFrame:
     """Odometry numbers, and of each scan only distance and angle of its objects.
 
-    Cutting the scan into objects does not need the pose, so it runs before the rows move.
+    Cutting the scan into objects does not need the pose, so it runs before the rows move. Only
+    scans pass through it: the two kinds are read apart, each with the columns it needs.
     """
-    odo = F.col("kind") == "odo"
-    # odometry rows have no scan and stay null
-    stats = segment_stats(F.col("ranges"), scan, raw=not cleaned)
-    narrow = rows.filter(F.col("kind").isin("odo", "laser")).select(
-        "vehicle", "t_ms", "seq",
-        F.when(odo, ODO).otherwise(LASER).cast("tinyint").alias("code"),
-        F.col("speed").alias("m0"), F.col("steering").alias("m1"),
-        stats.alias("_stats"),
+    keys = ("vehicle", "t_ms", "seq")
+    none = F.lit(None).cast("array<double>")
+    odometry = rows.filter(F.col("kind") == "odo").select(
+        *keys, F.lit(ODO).cast("tinyint").alias("code"),
+        F.col("speed").alias("m0"), F.col("steering").alias("m1"), none.alias("reach"), none.alias("degrees"),
     )
-    return narrow.select(
-        "vehicle", "t_ms", "seq", "code", "m0", "m1",
-        F.col("_stats.reach").alias("reach"), F.col("_stats.degrees").alias("degrees"),
+    if "ranges" not in rows.columns:
+        return odometry
+    segments = segment_stats(F.col("ranges"), scan, raw=not cleaned)
+    laser = rows.filter(F.col("kind") == "laser").select(*keys, segments.alias("_segments")).select(
+        *keys, F.lit(LASER).cast("tinyint").alias("code"),
+        F.lit(None).cast("double").alias("m0"), F.lit(None).cast("double").alias("m1"),
+        F.col("_segments.reach").alias("reach"), F.col("_segments.degrees").alias("degrees"),
     )
+    return odometry.unionByName(laser)
 
 
 def slam_track(
@@ -72,7 +75,6 @@ def _run(narrow: DataFrame, config: SlamConfig, what: str, hot_rows) -> DataFram
 
 
 def _fold(rows: DataFrame, config: SlamConfig, what: str) -> DataFrame:
-    keys = [k for k in slices.KEYS if k in rows.columns]
     double = T.DoubleType()
     fields = {
         "track": [rows.schema["vehicle"], rows.schema["t_ms"], rows.schema["seq"],
@@ -85,11 +87,7 @@ def _fold(rows: DataFrame, config: SlamConfig, what: str) -> DataFrame:
         schema = [rows.schema["vehicle"], rows.schema["slice"], T.StructField("end", T.ArrayType(double))]
     else:
         schema = fields[what]
-    return (
-        rows.repartition(*keys)
-        .sortWithinPartitions(*keys, "t_ms", "seq")
-        .mapInArrow(_Fold(config, what), T.StructType(schema))
-    )
+    return slices.gather(rows).mapInArrow(_Fold(config, what), T.StructType(schema))
 
 
 class _Fold:

@@ -33,6 +33,17 @@ def with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.withColumn("state", F.lit(None).cast("array<double>")).unionByName(lead, allowMissingColumns=True)
 
 
+def gather(rows: DataFrame) -> DataFrame:
+    """Rows of a vehicle (or slice) together and in order, ready to be folded.
+
+    The number of partitions is set, since adaptive execution would judge the few bytes per row
+    and put the whole fold, which is bound by computing, into few tasks.
+    """
+    keys = [k for k in KEYS if k in rows.columns]
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys, "t_ms", "seq")
+
+
 def settle(
     rows: DataFrame,
     run: Callable[[DataFrame], DataFrame],

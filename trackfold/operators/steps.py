@@ -171,14 +171,25 @@ class SlamState:
 def slam_predict(state: SlamState, t_ms: float, speed: float, steering: float, config: SlamConfig) -> None:
     """Move the car. Only its rows and columns of the covariance change."""
     mean, cov = state.mean, state.cov
-    phi = math.fmod(mean[2], TWO_PI)
-    dx, dy, dphi = motion(math, phi, (t_ms - state.t_ms) / 1000.0, speed, steering, config.vehicle)
-    mean[:3] += (dx, dy, dphi)
-    g = np.array([[1.0, 0.0, -dy], [0.0, 1.0, dx], [0.0, 0.0, 1.0]])
-    cov[:3, :3] = g @ cov[:3, :3] @ g.T + config.motion_noise * np.eye(3)
+    x, y, phi = mean[:3].tolist()
+    dx, dy, dphi = motion(
+        math, math.fmod(phi, TWO_PI), (t_ms - state.t_ms) / 1000.0, speed, steering, config.vehicle
+    )
+    mean[:3] = x + dx, y + dy, phi + dphi
+    (pxx, pxy, pxh), (_, pyy, pyh), (_, _, phh) = cov[:3, :3].tolist()
+    r = config.motion_noise
+    pxx += -2.0 * dy * pxh + dy * dy * phh + r
+    pxy += dx * pxh - dy * pyh - dx * dy * phh
+    pyy += 2.0 * dx * pyh + dx * dx * phh + r
+    pxh -= dy * phh
+    pyh += dx * phh
+    cov[:3, :3] = (pxx, pxy, pxh), (pxy, pyy, pyh), (pxh, pyh, phh + r)
     if config.predict == "full" and state.size > 3:
-        cov[:3, 3:] = g @ cov[:3, 3:]
-        cov[3:, :3] = cov[:3, 3:].T
+        # (-dy, dx) is the slope of the motion in phi
+        turned = cov[2, 3:]
+        cov[0, 3:] -= dy * turned
+        cov[1, 3:] += dx * turned
+        cov[3:, :2] = cov[:2, 3:].T
     state.t_ms = t_ms
 
 
@@ -239,14 +250,17 @@ def _correct(state: SlamState, at: int, dx, dy, seen_range, seen_bearing, config
     ])
     five = [0, 1, 2, at, at + 1]
     wide = cov[:, five] @ h.T
-    s = h @ wide[five] + config.sight_noise * np.eye(2)
-    det = s[0, 0] * s[1, 1] - s[0, 1] * s[1, 0]
-    gain = wide @ (np.array([[s[1, 1], -s[0, 1]], [-s[1, 0], s[0, 0]]]) / det)
+    (sa, sb), (_, sc) = (h @ wide[five]).tolist()
+    # S = L L', so wide S^-1 wide' is the square of wide L'^-1: symmetric also after rounding
+    la = math.sqrt(sa + config.sight_noise)
+    lb = sb / la
+    lc = math.sqrt(sc + config.sight_noise - lb * lb)
+    root = np.empty_like(wide)
+    root[:, 0] = wide[:, 0] / la
+    root[:, 1] = (wide[:, 1] - lb * root[:, 0]) / lc
     turn = seen_bearing - (math.atan2(dy, dx) - mean[2])
     if config.frame != "relative":
         turn = math.remainder(turn, TWO_PI)
-    mean += gain @ np.array([seen_range - r, turn])
-    cov -= gain @ wide.T
-    # rounding makes the two halves drift apart over many steps
-    cov += cov.T.copy()
-    cov *= 0.5
+    u = (seen_range - r) / la
+    mean += root @ np.array([u, (turn - lb * u) / lc])
+    cov -= root @ root.T

@@ -36,6 +36,11 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.text(path)
 
 
+def _split(lines: DataFrame) -> DataFrame:
+    """Add ``_parts``. The explode keeps later filters above it, so a line is split once."""
+    return lines.select("*", F.explode(F.array(text.fields(F.col("value")))).alias("_parts"))
+
+
 def tagged(lines: DataFrame, vehicle: str | Column | None = None) -> DataFrame:
     """All lines of a tagged recording as sensor rows plus ``reason`` (null for good rows).
 
@@ -49,8 +54,7 @@ def tagged(lines: DataFrame, vehicle: str | Column | None = None) -> DataFrame:
         name = F.when(odo | gps, F.concat(F.lit("vehicle"), text.text_field(parts, 4)))
     else:
         name = F.lit(vehicle) if isinstance(vehicle, str) else vehicle
-    split = lines.withColumn("_parts", text.fields(F.col("value")))
-    split = split.withColumn("kind", text.text_field(parts, 0))
+    split = _split(lines).withColumn("kind", text.text_field(parts, 0))
     keep = [c for c in ("file", "seq") if c in lines.columns]
     rows = split.select(
         *keep,
@@ -89,7 +93,7 @@ def rejected(parsed: DataFrame) -> DataFrame:
 def increments(lines: DataFrame, vehicle: str = "full") -> DataFrame:
     """Lines ``t,x_inc,y_inc,phi_inc,"[r0,...]"`` (metres); the time is rounded half up."""
     parts = F.col("_parts")
-    split = lines.withColumn("_parts", text.fields(F.col("value")))
+    split = _split(lines)
     keep = [c for c in ("file", "seq") if c in lines.columns]
     return split.select(
         *keep,
