@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamReader
 
 from trackfold.schema import EKF_START, EkfConfig, SlamConfig, Start
 
@@ -14,6 +15,7 @@ START = Start(EKF_START.x, EKF_START.y, 0.0, 0)
 EKF = EkfConfig(start=START)
 SLAM = SlamConfig(start=Start())
 SCANS_PER_VEHICLE = 4
+MICRO_BATCH = "1g"
 SCAN_SEQ = 10**15  # scans come after events of the same time
 
 EVENTS = T.StructType([
@@ -34,12 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _arriving(spark: SparkSession, schema: T.StructType) -> DataStreamReader:
+    """Files in micro-batches of bounded size, so a vehicle's rows within one stay bounded."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parquet*")
+    return _arriving(spark, EVENTS).parquet(f"{sf_dir}/events.parquet*")
 
 
 def scan_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.readStream.schema(EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet*")
+    return _arriving(spark, EMBEDDINGS).parquet(f"{sf_dir}/embeddings.parquet*")
 
 
 def sensor_rows(events: DataFrame) -> DataFrame:

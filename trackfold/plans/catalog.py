@@ -106,6 +106,36 @@ def text_stream(spark, sf_dir):
     return run.drain(out, "text-stream")
 
 
+@query
+def merged_files(spark, sf_dir):
+    """Raw odometry and GPS files of different shape, merged on one clock."""
+    rows = adapter.sensors(spark, sf_dir)
+    odometry, fixes = scratch_path(spark, "odometry"), scratch_path(spark, "fixes")
+    seconds = (F.col("t_ms") / 1000.0).alias("seconds")
+    exports.write_csv(rows.filter("kind IN ('odo', 'error')").select("kind", seconds, "speed", "steering"), odometry)
+    exports.write_csv(rows.filter("kind = 'gps'").select("t_ms", "gps_x", "gps_y"), fixes)
+    merged = prep.merge_sensors(
+        recordings.read_raw_odometry(spark, odometry), recordings.read_gps(spark, fixes)
+    )
+    return merged.orderBy("t_ms").select("t_ms", "kind", "speed", "steering", "gps_x", "gps_y")
+
+
+@query
+def gps_seconds_files(spark, sf_dir):
+    path = scratch_path(spark, "seconds")
+    rows = adapter.sensors(spark, sf_dir).filter("kind = 'gps'")
+    exports.write_csv(rows.select((F.col("t_ms") / 1000.0).alias("seconds"), "gps_x", "gps_y"), path)
+    return recordings.read_gps_seconds(spark, path)
+
+
+@query
+def odometry_files(spark, sf_dir):
+    path = scratch_path(spark, "steering")
+    rows = adapter.sensors(spark, sf_dir).filter("kind = 'odo'")
+    exports.write_csv(rows.select("t_ms", "steering", "speed"), path)
+    return recordings.read_odometry(spark, path)
+
+
 # --- preparation ---
 
 
@@ -284,6 +314,16 @@ def ekf_final(spark, sf_dir):
     return _rounded(_pose(out), *ekf.COVARIANCE, digits=4)
 
 
+@query
+def ekf_step_xy(spark, sf_dir):
+    return _rounded(exports.step_xy(_ekf(spark, sf_dir)), "x", "y", digits=4)
+
+
+@query
+def ekf_time_xy(spark, sf_dir):
+    return _rounded(exports.time_xy(_ekf(spark, sf_dir)), "x", "y", digits=4)
+
+
 @query
 def ekf_updates_only(spark, sf_dir):
     return _pose(ekf.ekf_track(adapter.sensors(spark, sf_dir), adapter.EKF, emit=("update",)))

@@ -302,6 +302,12 @@ def oracle_sql() -> dict[str, str]:
     rounded = ", ".join(_r(c, 4) for c in ("pred_x", "pred_y", "upd_x", "upd_y"))
     out["prediction_error"] = f"""{pairs} SELECT vehicle, t_ms, seq, pred_t_ms, {rounded}, {_r('error', 4)} FROM e"""
     out["evaluation_rows"] = f"{pairs} SELECT vehicle, {rounded}, {_r('distance', 4, 'error')} FROM e"
+    out["merged_files"] = f"""WITH {SENSOR} SELECT CASE WHEN kind = 'odo' THEN t_ms + 20967 ELSE t_ms END AS t_ms,
+        kind, speed, steering, gps_x, gps_y FROM sensor WHERE kind IN ('odo', 'gps')"""
+    out["gps_seconds_files"] = f"WITH {SENSOR} SELECT t_ms, gps_x, gps_y FROM sensor WHERE kind = 'gps'"
+    out["odometry_files"] = f"WITH {SENSOR} SELECT t_ms, steering, speed FROM sensor WHERE kind = 'odo'"
+    out["ekf_step_xy"] = f"{_ekf()} SELECT step, {_r('x', 4)}, {_r('y', 4)} FROM track"
+    out["ekf_time_xy"] = f"{_ekf()} SELECT t_ms, {_r('x', 4)}, {_r('y', 4)} FROM track"
     steps = f"{_ekf()} SELECT vehicle, step, t_ms, {_r('x', 4)}, {_r('y', 4)} FROM track"
     out["track_csv_roundtrip"] = out["track_parquet_roundtrip"] = steps
     # the mapping filter keeps phi unwrapped, which its sine and cosine do not show

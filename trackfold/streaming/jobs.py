@@ -30,8 +30,8 @@ STATE = T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("sta
 def _stateful(rows: DataFrame, output: T.StructType, first, fold: Callable, late: str) -> DataFrame:
     """``fold(state vector, sorted frame) -> (state vector, columns)`` per vehicle and micro-batch.
 
-    Rows older than the newest row of an earlier micro-batch are dropped, or with
-    ``late="apply"`` stepped through as they come.
+    Rows older than the newest row of an earlier micro-batch are stepped through as they come,
+    with a time step below zero, or left out with ``late="drop"``.
     """
     if late not in LATE:
         raise ValueError(f"late must be one of {LATE}")
@@ -79,7 +79,7 @@ def _moved(vector, frame):
 
 
 def move_stream(
-    rows: DataFrame, start: Start = Start(), cloud_range: float | None = None, late: str = "drop"
+    rows: DataFrame, start: Start = Start(), cloud_range: float | None = None, late: str = "apply"
 ) -> DataFrame:
     """Pose accumulation; with ``cloud_range`` also the landmark points of each row's scan."""
     if cloud_range is None:
@@ -98,7 +98,7 @@ def move_stream(
 
 
 def objects_stream(
-    rows: DataFrame, start: Start = Start(), scan: ScanConfig = METRE_SCAN, late: str = "drop"
+    rows: DataFrame, start: Start = Start(), scan: ScanConfig = METRE_SCAN, late: str = "apply"
 ) -> DataFrame:
     """Pose accumulation with the objects of each scan; the scan is measured before the state."""
     stats = segment_stats(F.col("ranges"), scan)
@@ -120,7 +120,7 @@ def objects_stream(
 
 
 def discrete_stream(
-    rows: DataFrame, vehicle: Vehicle = Vehicle(), variance: float = 1.0, noise: float = 0.1, late: str = "drop"
+    rows: DataFrame, vehicle: Vehicle = Vehicle(), variance: float = 1.0, noise: float = 0.1, late: str = "apply"
 ) -> DataFrame:
     narrow = rows.filter(F.col("kind") == "odo").select("vehicle", "t_ms", "seq", "speed", "steering")
 
@@ -138,7 +138,7 @@ def discrete_stream(
 
 def ekf_stream(
     rows: DataFrame, config: EkfConfig = EkfConfig(), emit: tuple[str, ...] = ("prediction", "update"),
-    late: str = "drop",
+    late: str = "apply",
 ) -> DataFrame:
     narrow = ekf.ekf_input(rows)
 
@@ -157,7 +157,7 @@ def ekf_stream(
 
 def slam_stream(
     rows: DataFrame, config: SlamConfig = SlamConfig(), scan: ScanConfig = RAW_SCAN, cleaned: bool = False,
-    late: str = "drop",
+    late: str = "apply",
 ) -> DataFrame:
     narrow = slam.slam_input(rows, scan, cleaned)
 
