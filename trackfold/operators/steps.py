@@ -251,16 +251,25 @@ def _correct(state: SlamState, at: int, dx, dy, seen_range, seen_bearing, config
     five = [0, 1, 2, at, at + 1]
     wide = cov[:, five] @ h.T
     (sa, sb), (_, sc) = (h @ wide[five]).tolist()
-    # S = L L', so wide S^-1 wide' is the square of wide L'^-1: symmetric also after rounding
-    la = math.sqrt(sa + config.sight_noise)
-    lb = sb / la
-    lc = math.sqrt(sc + config.sight_noise - lb * lb)
-    root = np.empty_like(wide)
-    root[:, 0] = wide[:, 0] / la
-    root[:, 1] = (wide[:, 1] - lb * root[:, 0]) / lc
+    sa, sc = sa + config.sight_noise, sc + config.sight_noise
     turn = seen_bearing - (math.atan2(dy, dx) - mean[2])
     if config.frame != "relative":
         turn = math.remainder(turn, TWO_PI)
-    u = (seen_range - r) / la
-    mean += root @ np.array([u, (turn - lb * u) / lc])
-    cov -= root @ root.T
+    det = sa * sc - sb * sb
+    if sa > 0.0 and det > 0.0:
+        # S = L L', so wide S^-1 wide' is the square of wide L'^-1: symmetric also after rounding
+        la = math.sqrt(sa)
+        lb = sb / la
+        lc = math.sqrt(det) / la
+        root = np.empty_like(wide)
+        root[:, 0] = wide[:, 0] / la
+        root[:, 1] = (wide[:, 1] - lb * root[:, 0]) / lc
+        u = (seen_range - r) / la
+        mean += root @ np.array([u, (turn - lb * u) / lc])
+        cov -= root @ root.T
+    else:
+        # the fast prediction can leave a covariance that is none, and S with it
+        gain = wide @ (np.array([[sc, -sb], [-sb, sa]]) / det)
+        mean += gain @ np.array([seen_range - r, turn])
+        change = gain @ wide.T
+        cov -= 0.5 * (change + change.T)

@@ -15,7 +15,7 @@ START = Start(EKF_START.x, EKF_START.y, 0.0, 0)
 EKF = EkfConfig(start=START)
 SLAM = SlamConfig(start=Start())
 SCANS_PER_VEHICLE = 4
-MICRO_BATCH = "1g"
+MICRO_BATCH = 1 << 30  # bytes
 SCAN_SEQ = 10**15  # scans come after events of the same time
 
 EVENTS = T.StructType([

@@ -93,6 +93,8 @@ def move_stream(
         return state, {**columns, "ranges": frame["ranges"]}
 
     posed = _stateful(narrow, _output(rows, *_POSE, ("ranges", ranges)), (start.x, start.y, start.phi), fold, late)
+    # the filter lets no row fall; it turns the state operator's rows into the form a UDF reads
+    posed = posed.filter(F.col("vehicle").isNotNull())
     points = cloud_points(F.col("ranges"), F.col("x"), F.col("y"), F.col("phi"), cloud_range)
     return posed.select("vehicle", "t_ms", "seq", "x", "y", "phi", points.alias("landmarks"))
 
