@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trackfold.operators import ekf, prep, slam, track
+from trackfold.operators import ekf, prep, slam, slices, steps, track
 from trackfold.operators.ordered import split_hot
 from trackfold.plans import adapter
-from trackfold.schema import EkfConfig
+from trackfold.schema import EkfConfig, Start, Vehicle
 
 HOT = 40
 
@@ -95,3 +98,30 @@ def test_slam(spark, sf_dir):
     same(slam.slam_track(mapping, adapter.SLAM, hot_rows=None), slam.slam_track(mapping, adapter.SLAM, hot_rows=30))
     same(slam.slam_map(mapping, adapter.SLAM, hot_rows=None), slam.slam_map(mapping, adapter.SLAM, hot_rows=30),
          ("vehicle", "idx"))
+
+
+def drive(spark, rows_per_fix=8, n=20000):
+    """A car on a winding road whose fixes fit its odometry."""
+    rng = np.random.default_rng(1)
+    x = y = phi = 0.0
+    rows = []
+    for i in range(n):
+        t, v, a = (i + 1) * 25, 3 + math.sin(i / 900), 0.25 * math.sin(i / 1500)
+        dx, dy, turn = steps.motion(math, phi, 0.025, v, a, Vehicle())
+        x, y, phi = x + dx, y + dy, phi + turn
+        rows.append(("car", t, 2 * i, "odo", v, a, None, None))
+        if i % rows_per_fix == 0:
+            rows.append(("car", t, 2 * i + 1, "gps", None, None, x + rng.normal(0, 0.3), y + rng.normal(0, 0.3)))
+    return spark.createDataFrame(rows, "vehicle string, t_ms bigint, seq bigint, kind string, speed double, "
+                                       "steering double, gps_x double, gps_y double")
+
+
+def test_a_forgetting_filter_needs_few_passes(spark, monkeypatch):
+    rows = drive(spark)
+    passes = []
+    with_starts = slices.with_starts
+    monkeypatch.setattr(slices, "with_starts", lambda *a: passes.append(1) or with_starts(*a))
+    config = EkfConfig(start=Start())
+    cut = ekf.ekf_track(rows, config, covariance=True, hot_rows=2500)
+    same(ekf.ekf_track(rows, config, covariance=True, hot_rows=None), cut, exact=True)
+    assert len(passes) <= 5  # about ten slices; the last pass writes the track

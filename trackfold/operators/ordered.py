@@ -42,8 +42,9 @@ def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> tuple[DataFra
         .repartitionByRange(ceil(total / hot_rows) + 1, "vehicle", *ORDER)
         .withColumn("slice", F.spark_partition_id())
     )
-    # range bounds come from sampling, so the slices are written down before they are used
-    return usual, cut(hot)
+    # range bounds come from sampling, so the slices are written down before they are used;
+    # a slice is one task's output and becomes one folder
+    return usual, cut(hot, "slice")
 
 
 class Ordered:

@@ -49,45 +49,43 @@ def settle(
     run: Callable[[DataFrame], DataFrame],
     first: Column,
     guess: Callable[[DataFrame], DataFrame] | None = None,
-    speculate: int = 4,
+    speculate: int = 3,
 ) -> DataFrame:
     """Start state of every slice: ``vehicle, slice, start``.
 
-    ``rows`` are sliced and already cut from their lineage. ``run`` maps rows with starts to
+    ``rows`` are a table cut into slices. ``run`` maps rows with starts to
     ``vehicle, slice, end``. ``first`` is the state before a vehicle's first row. ``guess`` gives
     ``vehicle, slice, start`` for all slices; without it nothing is speculated.
+
+    One small table per pass holds each slice's last start and end, the start it ought to have
+    (``next``) and whether the two differ (``open``).
     """
-    slices = rows.select(*KEYS).distinct()
     order = Window.partitionBy("vehicle").orderBy("slice")
     leading = F.row_number().over(order) == 1
+    state = F.lit(None).cast("array<double>")
     if guess is None:
-        starts = slices.withColumn("_leads", leading).filter("_leads").withColumn("start", first).drop("_leads")
+        table = rows.select(*KEYS).distinct().withColumn("next", F.when(leading, first))
     else:
-        starts = guess(rows).withColumn("start", F.when(leading, first).otherwise(F.col("start")))
-    todo = starts = cut(starts.select(*KEYS, "start"))
-    known: DataFrame | None = None
+        table = guess(rows).select(*KEYS, F.when(leading, first).otherwise(F.col("start")).alias("next"))
+    table = table.select(*KEYS, state.alias("start"), state.alias("end"), "next",
+                         F.col("next").isNotNull().alias("open"))
     passes = 0
     while True:
-        # todo has one row per slice; its size is left to adaptive execution to judge
-        ends = run(with_starts(rows.join(todo.select(*KEYS), KEYS, "left_semi"), todo))
-        if known is not None:
-            ends = ends.unionByName(known.join(todo, KEYS, "left_anti"))
-        known = cut(ends)
-        passes += 1
-        chained = (
-            slices.join(starts, KEYS, "left")
-            .join(known, KEYS, "left")
-            .withColumn("next", F.when(leading, first).otherwise(F.lag("end").over(order)))
-            .withColumn("open", F.col("next").isNotNull() & ~F.col("next").eqNullSafe(F.col("start")))
-        )
-        chained = cut(chained)
-        pending = chained.filter("open")
+        table = cut(table)
+        pending = table.filter("open")
         if pending.isEmpty():
-            return chained.select(*KEYS, "start")
+            return table.select(*KEYS, "start")
         if guess is None or passes >= speculate:
             # everything before the first open slice is final already
-            pending = (
-                pending.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
-            )
-        todo = cut(pending.select(*KEYS, F.col("next").alias("start")))
-        starts = cut(starts.join(todo, KEYS, "left_anti").unionByName(todo))
+            pending = pending.withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+        pending = pending.select(*KEYS, F.col("next").alias("start"))
+        ends = run(with_starts(rows.join(pending.select(*KEYS), KEYS, "left_semi"), pending))
+        table = (
+            table.select(*KEYS, F.col("start").alias("_start"), F.col("end").alias("_end"))
+            .join(pending, KEYS, "left")
+            .join(ends, KEYS, "left")
+            .select(*KEYS, F.coalesce("start", "_start").alias("start"), F.coalesce("end", "_end").alias("end"))
+            .withColumn("next", F.when(leading, first).otherwise(F.lag("end").over(order)))
+            .withColumn("open", F.col("next").isNotNull() & ~F.col("next").eqNullSafe(F.col("start")))
+        )
+        passes += 1

@@ -31,12 +31,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder, and go on from that table.
 
+    With ``by`` the table is laid out in folders, so a join on those columns reads few of them.
     A table rather than ``checkpoint()``, which computes its input twice.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
