@@ -36,8 +36,9 @@ def same(a, b, order=("vehicle", "t_ms", "seq"), exact=False):
 
 
 def test_split_keeps_all_rows_and_bounds_slices(rows):
-    usual, hot = split_hot(rows, HOT)
-    assert usual.count() + hot.count() == rows.count()
+    split = split_hot(rows, HOT)
+    hot = split.hot
+    assert split.usual.count() + hot.count() == rows.count() == split.rows
     sizes = hot.groupBy("slice").count().agg(F.max("count")).first()[0]
     assert sizes < 4 * HOT
     # slices follow the row order
@@ -48,8 +49,8 @@ def test_split_keeps_all_rows_and_bounds_slices(rows):
 
 
 def test_nothing_hot_changes_nothing(rows):
-    usual, hot = split_hot(rows, 10_000)
-    assert usual is rows and hot is None
+    split = split_hot(rows, 10_000)
+    assert split.usual is rows and split.hot is None
 
 
 def test_dead_reckoning(rows):

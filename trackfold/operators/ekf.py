@@ -57,8 +57,9 @@ def ekf_final(
 
 
 def _run(narrow: DataFrame, config, what: str, covariance: bool, hot_rows, emit) -> DataFrame:
-    usual, hot = split_hot(narrow, hot_rows)
-    out = _fold(usual, config, what, covariance, emit)
+    split = split_hot(narrow, hot_rows)
+    hot = split.hot
+    out = _fold(split.usual, config, what, covariance, emit, split.rows)
     if hot is None:
         return out
     starts = slices.settle(
@@ -93,7 +94,9 @@ def _guess(hot: DataFrame, config: EkfConfig) -> DataFrame:
     return per_slice.select(*slices.KEYS, state.alias("start"))
 
 
-def _fold(rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit) -> DataFrame:
+def _fold(
+    rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit, total: int | None = None
+) -> DataFrame:
     fields = [T.StructField("vehicle", T.StringType())]
     if what == "track":
         fields += [rows.schema["t_ms"], rows.schema["seq"], T.StructField("step", T.StringType())]
@@ -104,7 +107,7 @@ def _fold(rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit)
     if what != "end":
         names = ("x", "y", "phi") + (COVARIANCE if covariance else ())
         fields += [T.StructField(n, T.DoubleType()) for n in names]
-    return slices.gather(rows).mapInArrow(_Fold(config, what, covariance, emit), T.StructType(fields))
+    return slices.gather(rows, total).mapInArrow(_Fold(config, what, covariance, emit), T.StructType(fields))
 
 
 class _Fold:

@@ -9,6 +9,7 @@ slice hands to the next is worked out on a table with one row per slice.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,30 +22,40 @@ HOT_ROWS = 2_000_000
 BROADCAST_VEHICLES = 100_000
 
 
-def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of usual vehicles, sliced rows of hot vehicles or None).
+@dataclass(frozen=True)
+class Split:
+    """Rows of usual vehicles, sliced rows of hot vehicles (or None), and how many rows in all."""
+
+    usual: DataFrame
+    hot: DataFrame | None
+    rows: int | None
+
+
+def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> Split:
+    """Set the vehicles with more than ``hot_rows`` rows apart and cut them into slices.
 
     One job counts rows per vehicle; it reads the columns behind ``vehicle`` only and combines
     on the map side. Sliced rows carry a ``slice`` number that rises with the row order.
     """
     if hot_rows is None:
-        return rows, None
-    counts = rows.groupBy("vehicle").count().filter(F.col("count") > hot_rows)
+        return Split(rows, None, None)
+    counts = rows.groupBy("vehicle").count()
+    many = F.col("count") > hot_rows
     # at most (all rows / hot_rows) vehicles can be hot
-    vehicles, total = counts.agg(F.count("*"), F.sum("count")).first()
+    total, vehicles, theirs = counts.agg(F.sum("count"), F.count_if(many), F.sum(F.when(many, F.col("count")))).first()
     if not vehicles:
-        return rows, None
-    names = cut(counts.select("vehicle"))
+        return Split(rows, None, total)
+    names = cut(counts.filter(many).select("vehicle"))
     side = F.broadcast(names) if vehicles <= BROADCAST_VEHICLES else names
     usual = rows.join(side, "vehicle", "left_anti")
     hot = (
         rows.join(side, "vehicle", "left_semi")
-        .repartitionByRange(ceil(total / hot_rows) + 1, "vehicle", *ORDER)
+        .repartitionByRange(ceil(theirs / hot_rows) + 1, "vehicle", *ORDER)
         .withColumn("slice", F.spark_partition_id())
     )
     # range bounds come from sampling, so the slices are written down before they are used;
     # a slice is one task's output and becomes one folder
-    return usual, cut(hot, "slice")
+    return Split(usual, cut(hot, "slice"), total)
 
 
 class Ordered:
@@ -111,8 +122,8 @@ class Ordered:
 
 def in_order(rows: DataFrame, body: Callable[[Ordered], DataFrame], hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Apply ``body`` to the usual vehicles and to the slices of the hot ones."""
-    usual, hot = split_hot(rows, hot_rows)
-    out = body(Ordered(usual))
-    if hot is None:
+    split = split_hot(rows, hot_rows)
+    out = body(Ordered(split.usual))
+    if split.hot is None:
         return out
-    return out.unionByName(body(Ordered(hot)).select(out.columns))
+    return out.unionByName(body(Ordered(split.hot)).select(out.columns))

@@ -60,8 +60,9 @@ def slam_map(
 
 
 def _run(narrow: DataFrame, config: SlamConfig, what: str, hot_rows) -> DataFrame:
-    usual, hot = split_hot(narrow, hot_rows)
-    out = _fold(usual, config, what)
+    split = split_hot(narrow, hot_rows)
+    hot = split.hot
+    out = _fold(split.usual, config, what, split.rows)
     if hot is None:
         return out
     # a map forgets nothing, so slices are run one after the other, each from a stored state
@@ -74,7 +75,7 @@ def _run(narrow: DataFrame, config: SlamConfig, what: str, hot_rows) -> DataFram
     return out.unionByName(_fold(slices.with_starts(hot, starts), config, what))
 
 
-def _fold(rows: DataFrame, config: SlamConfig, what: str) -> DataFrame:
+def _fold(rows: DataFrame, config: SlamConfig, what: str, total: int | None = None) -> DataFrame:
     double = T.DoubleType()
     fields = {
         "track": [rows.schema["vehicle"], rows.schema["t_ms"], rows.schema["seq"],
@@ -87,7 +88,7 @@ def _fold(rows: DataFrame, config: SlamConfig, what: str) -> DataFrame:
         schema = [rows.schema["vehicle"], rows.schema["slice"], T.StructField("end", T.ArrayType(double))]
     else:
         schema = fields[what]
-    return slices.gather(rows).mapInArrow(_Fold(config, what), T.StructType(schema))
+    return slices.gather(rows, total).mapInArrow(_Fold(config, what), T.StructType(schema))
 
 
 class _Fold:

@@ -12,6 +12,7 @@ plain sequential run.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from trackfold.session import cut
 
 START_CODE = 9
 KEYS = ["vehicle", "slice"]
+ROWS_PER_TASK = 2_000_000
 
 
 def with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
@@ -33,14 +35,17 @@ def with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.withColumn("state", F.lit(None).cast("array<double>")).unionByName(lead, allowMissingColumns=True)
 
 
-def gather(rows: DataFrame) -> DataFrame:
+def gather(rows: DataFrame, total: int | None = None) -> DataFrame:
     """Rows of a vehicle (or slice) together and in order, ready to be folded.
 
-    The number of partitions is set, since adaptive execution would judge the few bytes per row
-    and put the whole fold, which is bound by computing, into few tasks.
+    The number of partitions is set, from the number of rows where that is known: adaptive
+    execution would judge the few bytes per row and put the whole fold, which is bound by
+    computing, into few tasks.
     """
     keys = [k for k in KEYS if k in rows.columns]
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if total is not None:
+        partitions = max(partitions, ceil(total / ROWS_PER_TASK))
     return rows.repartition(partitions, *keys).sortWithinPartitions(*keys, "t_ms", "seq")
 
 

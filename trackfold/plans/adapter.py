@@ -14,6 +14,7 @@ TICK_MS = 100000
 START = Start(EKF_START.x, EKF_START.y, 0.0, 0)
 EKF = EkfConfig(start=START)
 SLAM = SlamConfig(start=Start())
+EVENT_TYPES = {"odo": ("click", "view", "signup"), "gps": ("purchase",)}
 SCANS_PER_VEHICLE = 4
 MICRO_BATCH = 1 << 30  # bytes
 SCAN_SEQ = 10**15  # scans come after events of the same time
@@ -54,8 +55,8 @@ def sensor_rows(events: DataFrame) -> DataFrame:
     events.sparkSession.conf.set("spark.sql.session.timeZone", "UTC")
     number = F.col("event_id")
     kind = (
-        F.when(F.col("event_type").isin("click", "view", "signup"), "odo")
-        .when(F.col("event_type") == "purchase", "gps")
+        F.when(F.col("event_type").isin(*EVENT_TYPES["odo"]), "odo")
+        .when(F.col("event_type").isin(*EVENT_TYPES["gps"]), "gps")
         .otherwise(F.col("event_type"))
     )
     odo, gps = F.col("kind") == "odo", F.col("kind") == "gps"
@@ -78,8 +79,12 @@ def sensor_rows(events: DataFrame) -> DataFrame:
     )
 
 
-def sensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensor_rows(table(spark, sf_dir, "events"))
+def sensors(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
+    """Rows of the given kinds, chosen by a filter the parquet reader can use; all without one."""
+    events = table(spark, sf_dir, "events")
+    if kinds:
+        events = events.filter(F.col("event_type").isin(*[t for k in kinds for t in EVENT_TYPES[k]]))
+    return sensor_rows(events)
 
 
 def scan_rows(embeddings: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def raw_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mapping_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odometry of the vehicles together with their scans in centimetres."""
-    odometry = sensors(spark, sf_dir).filter(F.col("kind") == "odo").select(
+    odometry = sensors(spark, sf_dir, "odo").select(
         "vehicle", "t_ms", "seq", "kind", "speed", "steering"
     )
     laser = raw_scans(spark, sf_dir).select("vehicle", "t_ms", "seq", "kind", "ranges")

@@ -123,7 +123,7 @@ def merged_files(spark, sf_dir):
 @query
 def gps_seconds_files(spark, sf_dir):
     path = scratch_path(spark, "seconds")
-    rows = adapter.sensors(spark, sf_dir).filter("kind = 'gps'")
+    rows = adapter.sensors(spark, sf_dir, "gps")
     exports.write_csv(rows.select((F.col("t_ms") / 1000.0).alias("seconds"), "gps_x", "gps_y"), path)
     return recordings.read_gps_seconds(spark, path)
 
@@ -131,7 +131,7 @@ def gps_seconds_files(spark, sf_dir):
 @query
 def odometry_files(spark, sf_dir):
     path = scratch_path(spark, "steering")
-    rows = adapter.sensors(spark, sf_dir).filter("kind = 'odo'")
+    rows = adapter.sensors(spark, sf_dir, "odo")
     exports.write_csv(rows.select("t_ms", "steering", "speed"), path)
     return recordings.read_odometry(spark, path)
 
@@ -162,7 +162,7 @@ def union_vehicles(spark, sf_dir):
 
 @query
 def rekeyed_rows(spark, sf_dir):
-    return prep.with_key(prep.route(adapter.sensors(spark, sf_dir), "odo"), "data")
+    return prep.with_key(prep.route(adapter.sensors(spark, sf_dir, "odo"), "odo"), "data")
 
 
 @query
@@ -172,19 +172,19 @@ def kind_counts(spark, sf_dir):
 
 @query
 def gps_outliers(spark, sf_dir):
-    fixes = prep.route(adapter.sensors(spark, sf_dir), "gps").select("vehicle", "t_ms", "seq", "gps_x", "gps_y")
+    fixes = prep.route(adapter.sensors(spark, sf_dir, "gps"), "gps").select("vehicle", "t_ms", "seq", "gps_x", "gps_y")
     return prep.mark_gps_outliers(fixes, MAX_JUMP, MIN_GROUP)
 
 
 @query
 def gps_cleaned(spark, sf_dir):
-    fixes = prep.route(adapter.sensors(spark, sf_dir), "gps").select("vehicle", "t_ms", "seq", "gps_x", "gps_y")
+    fixes = prep.route(adapter.sensors(spark, sf_dir, "gps"), "gps").select("vehicle", "t_ms", "seq", "gps_x", "gps_y")
     return prep.drop_gps_outliers(fixes, MAX_JUMP, MIN_GROUP)
 
 
 @query
 def scalar_functions(spark, sf_dir):
-    rows = prep.route(adapter.sensors(spark, sf_dir), "odo")
+    rows = prep.route(adapter.sensors(spark, sf_dir, "odo"), "odo")
     car = Vehicle()
     v, a = F.col("speed"), F.col("steering")
     forward, left, turn = motion.body_motion(F.col("t_ms") / 1000.0, v, a, car)
@@ -211,13 +211,13 @@ def scalar_functions(spark, sf_dir):
 
 @query
 def time_steps(spark, sf_dir):
-    rows = prep.route(adapter.sensors(spark, sf_dir), "odo", "gps").select("vehicle", "t_ms", "seq", "kind")
+    rows = prep.route(adapter.sensors(spark, sf_dir, "odo", "gps"), "odo", "gps").select("vehicle", "t_ms", "seq", "kind")
     return track.time_step(rows)
 
 
 @query
 def dead_reckoning(spark, sf_dir):
-    out = track.dead_reckoning(adapter.sensors(spark, sf_dir), adapter.START)
+    out = track.dead_reckoning(adapter.sensors(spark, sf_dir, "odo"), adapter.START)
     return out.select("vehicle", "t_ms", "seq", _round("x").alias("x"), _round("y").alias("y"),
                       _round(F.sin("phi")).alias("sin_phi"), _round(F.cos("phi")).alias("cos_phi"))
 
@@ -231,7 +231,7 @@ def pose_accumulate(spark, sf_dir):
 
 @query
 def discrete_kalman(spark, sf_dir):
-    out = track.discrete_kalman(adapter.sensors(spark, sf_dir))
+    out = track.discrete_kalman(adapter.sensors(spark, sf_dir, "odo"))
     return _rounded(out, "x", "y", "phi", "gain", "variance", digits=8)
 
 
@@ -292,7 +292,7 @@ def associate_landmarks(spark, sf_dir):
 
 
 def _ekf(spark, sf_dir, **changes) -> DataFrame:
-    return ekf.ekf_track(adapter.sensors(spark, sf_dir), adapter.EKF.at(**changes))
+    return ekf.ekf_track(adapter.sensors(spark, sf_dir, "odo", "gps"), adapter.EKF.at(**changes))
 
 
 def _pose(df: DataFrame, digits: int = 4) -> DataFrame:
@@ -304,13 +304,13 @@ def _pose(df: DataFrame, digits: int = 4) -> DataFrame:
 
 @query
 def ekf_track(spark, sf_dir):
-    out = ekf.ekf_track(adapter.sensors(spark, sf_dir), adapter.EKF, covariance=True)
+    out = ekf.ekf_track(adapter.sensors(spark, sf_dir, "odo", "gps"), adapter.EKF, covariance=True)
     return _rounded(_pose(out), *ekf.COVARIANCE, digits=4)
 
 
 @query
 def ekf_final(spark, sf_dir):
-    out = ekf.ekf_final(adapter.sensors(spark, sf_dir), adapter.EKF)
+    out = ekf.ekf_final(adapter.sensors(spark, sf_dir, "odo", "gps"), adapter.EKF)
     return _rounded(_pose(out), *ekf.COVARIANCE, digits=4)
 
 
@@ -326,12 +326,12 @@ def ekf_time_xy(spark, sf_dir):
 
 @query
 def ekf_updates_only(spark, sf_dir):
-    return _pose(ekf.ekf_track(adapter.sensors(spark, sf_dir), adapter.EKF, emit=("update",)))
+    return _pose(ekf.ekf_track(adapter.sensors(spark, sf_dir, "odo", "gps"), adapter.EKF, emit=("update",)))
 
 
 @query
 def ekf_predictions_only(spark, sf_dir):
-    rows = prep.route(adapter.sensors(spark, sf_dir), "odo")
+    rows = prep.route(adapter.sensors(spark, sf_dir, "odo"), "odo")
     return _pose(ekf.ekf_track(rows, adapter.EKF))
 
 
