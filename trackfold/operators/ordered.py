@@ -31,15 +31,17 @@ class Split:
     rows: int | None
 
 
-def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS) -> Split:
+def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFrame | None = None) -> Split:
     """Set the vehicles with more than ``hot_rows`` rows apart and cut them into slices.
 
     One job counts rows per vehicle; it reads the columns behind ``vehicle`` only and combines
     on the map side. Sliced rows carry a ``slice`` number that rises with the row order.
+    ``sized_by`` is counted instead of ``rows`` where these are costly to compute: any rows with
+    as many rows per vehicle, such as the input of a filter for its output.
     """
     if hot_rows is None:
         return Split(rows, None, None)
-    counts = rows.groupBy("vehicle").count()
+    counts = (rows if sized_by is None else sized_by).groupBy("vehicle").count()
     many = F.col("count") > hot_rows
     # at most (all rows / hot_rows) vehicles can be hot
     total, vehicles, theirs = counts.agg(F.sum("count"), F.count_if(many), F.sum(F.when(many, F.col("count")))).first()
@@ -120,9 +122,12 @@ class Ordered:
         return df.join(ends.select(*self.keys, carry(slices).alias("_carry")), self.keys, "left")
 
 
-def in_order(rows: DataFrame, body: Callable[[Ordered], DataFrame], hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def in_order(
+    rows: DataFrame, body: Callable[[Ordered], DataFrame], hot_rows: int | None = HOT_ROWS,
+    sized_by: DataFrame | None = None,
+) -> DataFrame:
     """Apply ``body`` to the usual vehicles and to the slices of the hot ones."""
-    split = split_hot(rows, hot_rows)
+    split = split_hot(rows, hot_rows, sized_by)
     out = body(Ordered(split.usual))
     if split.hot is None:
         return out

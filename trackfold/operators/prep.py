@@ -62,8 +62,14 @@ def by_vehicle_and_time(rows: DataFrame) -> DataFrame:
     return rows.repartitionByRange("vehicle", "t_ms", "seq").sortWithinPartitions("vehicle", "t_ms", "seq")
 
 
-def step_shift(track: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Distance of each output row from the vehicle's output row before it."""
+def step_shift(
+    track: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Distance of each output row from the vehicle's output row before it.
+
+    For a track that is still to be computed pass the filter's input as ``sized_by``, so the
+    filter is not run to count its rows.
+    """
 
     def body(o: Ordered) -> DataFrame:
         o = o.previous(_x=F.col("x"), _y=F.col("y"))
@@ -71,11 +77,16 @@ def step_shift(track: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
         moved = geometry.distance(F.col("x"), F.col("y"), F.col("_x"), F.col("_y"))
         return shifted.select("vehicle", "step", "t_ms", "seq", moved.alias("distance"))
 
-    return in_order(track.select("vehicle", "step", "t_ms", "seq", "x", "y"), body, hot_rows)
+    return in_order(track.select("vehicle", "step", "t_ms", "seq", "x", "y"), body, hot_rows, sized_by)
 
 
-def prediction_error(track: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Each update with the last prediction before it and the distance between the two."""
+def prediction_error(
+    track: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFrame | None = None
+) -> DataFrame:
+    """Each update with the last prediction before it and the distance between the two.
+
+    ``sized_by`` as in ``step_shift``.
+    """
 
     def body(o: Ordered) -> DataFrame:
         here = F.struct(F.col("t_ms").alias("t_ms"), F.col("x").alias("x"), F.col("y").alias("y"))
@@ -91,7 +102,7 @@ def prediction_error(track: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataF
             geometry.distance(F.col("_seen.x"), F.col("_seen.y"), F.col("x"), F.col("y")).alias("error"),
         )
 
-    return in_order(track.select("vehicle", "step", "t_ms", "seq", "x", "y"), body, hot_rows)
+    return in_order(track.select("vehicle", "step", "t_ms", "seq", "x", "y"), body, hot_rows, sized_by)
 
 
 def mark_gps_outliers(

@@ -357,18 +357,23 @@ def ekf_pose_only(spark, sf_dir):
 
 @query
 def step_shift(spark, sf_dir):
-    return _rounded(prep.step_shift(_ekf(spark, sf_dir)), "distance", digits=4)
+    shifts = prep.step_shift(_ekf(spark, sf_dir), sized_by=adapter.sensors(spark, sf_dir, "odo", "gps"))
+    return _rounded(shifts, "distance", digits=4)
+
+
+def _errors(spark, sf_dir) -> DataFrame:
+    return prep.prediction_error(_ekf(spark, sf_dir), sized_by=adapter.sensors(spark, sf_dir, "odo", "gps"))
 
 
 @query
 def prediction_error(spark, sf_dir):
-    out = prep.prediction_error(_ekf(spark, sf_dir))
+    out = _errors(spark, sf_dir)
     return _rounded(out, "pred_x", "pred_y", "upd_x", "upd_y", "error", digits=4)
 
 
 @query
 def evaluation_rows(spark, sf_dir):
-    out = prep.evaluation_row(prep.prediction_error(_ekf(spark, sf_dir)))
+    out = prep.evaluation_row(_errors(spark, sf_dir))
     return _rounded(out, "pred_x", "pred_y", "upd_x", "upd_y", "distance", digits=4)
 
 
