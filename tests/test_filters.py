@@ -10,6 +10,7 @@ from pyspark.sql import Row
 
 from trackfold.functions.beams import measure
 from trackfold.operators import ekf, slam, steps
+from trackfold.plans import adapter
 from trackfold.schema import EKF_START, RAW_SCAN, EkfConfig, SlamConfig, Start
 
 CONFIG = EkfConfig()
@@ -229,14 +230,16 @@ def test_batch_slam_equals_steps(spark):
     assert [v for r in found for v in (r.x, r.y)] == pytest.approx(mean[3:], abs=1e-5)
 
 
-def test_batches_do_not_matter(spark, sf_dir):
-    """Runs cut by Arrow batch borders carry their state on."""
-    from trackfold.plans import adapter
-
+def test_batches_do_not_matter(spark, sf_dir, monkeypatch):
+    """Runs cut by batch borders carry their state on."""
+    mapping = adapter.mapping_rows(spark, sf_dir).filter("vehicle IN ('vehicle1', 'vehicle2')")
+    marks = slam.slam_map(mapping, adapter.SLAM).orderBy("vehicle", "idx").toPandas()
     rows = adapter.sensors(spark, sf_dir)
     whole = ekf.ekf_track(rows, adapter.EKF).orderBy("vehicle", "t_ms", "seq").toPandas()
+    monkeypatch.setattr(ekf, "BLOCK_ROWS", 7)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
+        assert slam.slam_map(mapping, adapter.SLAM).orderBy("vehicle", "idx").toPandas().equals(marks)
         small = ekf.ekf_track(rows.repartition(5), adapter.EKF).orderBy("vehicle", "t_ms", "seq").toPandas()
         final = ekf.ekf_final(rows, adapter.EKF).toPandas().set_index("vehicle")
     finally:

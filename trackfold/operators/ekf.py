@@ -23,6 +23,8 @@ from trackfold.schema import EkfConfig
 ODO, GPS = 0, 1
 COVARIANCE = steps.EKF_FIELDS[3:9]
 STEP_NAMES = np.array(["prediction", "update"], dtype=object)
+# rows stepped together: more vehicles at once, still a few megabytes
+BLOCK_ROWS = 131_072
 # one numpy step over many vehicles costs about as much as this many single steps
 LOCKSTEP_ROWS = 16
 
@@ -120,9 +122,7 @@ class _Fold:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _blocks(batches):
             starts, keys = _runs(batch)
             states = np.tile(np.array(steps.ekf_start(self.config))[:, None], len(starts))
             finished = []
@@ -166,6 +166,20 @@ class _Fold:
         return pa.RecordBatch.from_arrays(columns, names)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in larger batches."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= BLOCK_ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
     """Positions where a vehicle (and slice) begins, and the key of each run."""
     vehicle = batch.column("vehicle")
