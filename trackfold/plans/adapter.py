@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamReader
 
 from trackfold.schema import EKF_START, EkfConfig, SlamConfig, Start
+from trackfold.session import tune
 
 EPOCH_MS = 1704067200000  # 2024-01-01, the first day of the events table
 TICK_MS = 100000
@@ -34,12 +35,12 @@ EMBEDDINGS = T.StructType([
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _arriving(spark: SparkSession, schema: T.StructType) -> DataStreamReader:
     """Files in micro-batches of bounded size, so a vehicle's rows within one stay bounded."""
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH)
+    return tune(spark).readStream.schema(schema).option("maxBytesPerTrigger", MICRO_BATCH)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Shared folder for data that has to survive a lost executor."""
+"""Session settings, and the shared folder for data that has to survive a lost executor."""
 
 from __future__ import annotations
 
@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# With a byte limit the size of the whole batch is taken again for every row that has an array
+# column, which costs more than the scans themselves. The row limit per batch stays.
+SETTINGS = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2**31 - 1)}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings the scan operators run well with; what the user has set stays."""
+    for name, value in SETTINGS.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -18,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     current = context.getCheckpointDir()
     if current is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="trackfold-"))
         current = context.getCheckpointDir()
     return current.rstrip("/")
