@@ -5,17 +5,18 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
+from trackfold.plans import catalog
 from tests.compare import difference, oracle_frame
 
 NO_SQL = {"slam_track", "slam_map", "slam_fast", "slam_relative", "slam_stream"}
 
 
 def test_only_the_growing_maps_lack_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == NO_SQL
+    assert set(catalog.QUERIES) - set(driver.oracle_sql()) == NO_SQL
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf_dir, name):
     got = driver.queries()[name](spark, sf_dir).toPandas()
     assert len(got)
