@@ -47,3 +47,14 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterat
 def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint if it has few rows; as it is, to be shuffled, beyond that."""
     return F.broadcast(side) if side.count() <= rows else side
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, mark: Callable[[], Column]) -> DataFrame:
+    """The rows of ``docs`` that are not in ``gone`` (``id, mark``), with all their columns.
+
+    ``mark()`` is an expression on ``docs`` that tells rows of one id apart.
+    """
+    marked = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), mark().alias("_mark"))
+    gone = gone.select(F.col("id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
+    same = F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_mark") == F.col("_gone_mark"))
+    return marked.join(bounded(gone), same, "left_anti").select("_doc.*")

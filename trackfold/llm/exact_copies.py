@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackfold.llm.base import bounded, lowered
+from trackfold.llm.base import lowered, without
 from trackfold.session import cut
 
 SALTS = 16
@@ -84,10 +84,8 @@ def drop_copies(
     Rows that share id and text are one document: any one of them stays.
     """
     found = cut(exact_copies(docs, id_col, text_col, normalise, salts).select("doc_id", "keep_id", "kept", "text_sha256"))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_own", F.sha2(normalise(F.col(text_col)), 256))
-    same = marked[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    stay = marked.join(bounded(gone), same, "left_anti").drop("_own")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark"))
+    stay = without(docs, gone, id_col, lambda: F.sha2(normalise(F.col(text_col)), 256))
     kept, texts = found.filter("kept").agg(
         F.count(F.lit(1)), F.count_distinct(F.struct("keep_id", "text_sha256"))).first()
     return stay if kept == texts else stay.dropDuplicates([id_col, text_col])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfold.llm import exact_copies, extendible_shards, source_mix
+from trackfold.llm import divergence_rules, exact_copies, extendible_shards, source_mix
 from trackfold.llm.base import documents
 
 
@@ -18,16 +18,20 @@ def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.exact_copies(documents(spark, sf_dir))
 
 
+def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.quality(documents(spark, sf_dir)).drop("mark")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken_words(*source_mix.source_mix(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_extendible_shards, op7_exact_copies, op10_source_mix)
+    f.__name__: f for f in (op6_extendible_shards, op7_exact_copies, op9_divergence_rules, op10_source_mix)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
     "op6_extendible_shards": f"""
