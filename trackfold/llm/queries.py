@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfold.llm import divergence_rules, exact_copies, extendible_shards, source_mix, token_frames
+from trackfold.llm import divergence_rules, exact_copies, extendible_shards, piece_lattice, source_mix, token_frames
 from trackfold.llm.base import documents
 from trackfold.session import scratch_path
 
 
+def op2_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_lattice.piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     index = token_frames.write_tokens(documents(spark, sf_dir), scratch_path(spark, "tokens"), tokenizer)
@@ -35,7 +39,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_token_frames, op6_extendible_shards, op7_exact_copies, op9_divergence_rules, op10_source_mix)
+    f.__name__: f for f in (op2_piece_lattice, op3_token_frames, op6_extendible_shards, op7_exact_copies, op9_divergence_rules, op10_source_mix)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
