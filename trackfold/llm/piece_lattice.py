@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 LONG = 200
 CHUNKS_KEPT = 600_000
+CHUNKS_AT_ONCE = 100_000
 BATCH_CHARS = 1 << 20
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -247,7 +248,7 @@ class PieceCoder(dict):
     def _encode_new(self) -> None:
         model = self.model
         while self.new:
-            part, self.new = self.new[:CHUNKS_KEPT], self.new[CHUNKS_KEPT:]
+            part, self.new = self.new[:CHUNKS_AT_ONCE], self.new[CHUNKS_AT_ONCE:]
             codes = np.frombuffer("\0".join(["", *part, ""]).encode("utf-32-le"), np.uint32)
             length = np.fromiter(map(len, part), np.int64, len(part)) + 1
             start = np.cumsum(length) - length
