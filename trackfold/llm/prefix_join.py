@@ -271,10 +271,13 @@ def _candidates(pairs: DataFrame, percent: int, whole: bool) -> DataFrame:
     return found.select("a", "b")
 
 
-PAIR = """SELECT least({x}.id, {y}.id) AS a, greatest({x}.id, {y}.id) AS b,
-    if({x}.id < {y}.id, {x}.n, {y}.n) AS na, if({x}.id < {y}.id, {y}.n, {x}.n) AS nb,
-    least({x}.matches, {y}.matches) AS m,
-    if({x}.id < {y}.id, {x}.at, {y}.at) AS at_a, if({x}.id < {y}.id, {y}.at, {x}.at) AS at_b"""
+def _pair_columns(x: str, y: str) -> list[str]:
+    """Two entries as one pair, smaller id first."""
+    first = lambda name: f"if({x}.id < {y}.id, {x}.{name}, {y}.{name})"
+    second = lambda name: f"if({x}.id < {y}.id, {y}.{name}, {x}.{name})"
+    return [
+        f"{first('id')} AS a", f"{second('id')} AS b", f"{first('n')} AS na", f"{second('n')} AS nb",
+        f"least({x}.matches, {y}.matches) AS m", f"{first('at')} AS at_a", f"{second('at')} AS at_b"]
 
 
 def _compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -321,21 +324,67 @@ def _hub_pairs(lists: DataFrame, labels: DataFrame | None, turn: int, percent: i
     hubs = hubs.filter((F.col("long") > SMALL) & (F.col("least") < F.col("most"))).select(
         F.col("token").alias("_token"), F.col("best.hub.*"))
     return rows.alias("x").join(hubs.alias("y"), F.expr("x.token = y._token AND " + _possible("x", "y", percent))).selectExpr(
-        *_columns("x", "y"))
+        *_pair_columns("x", "y"))
 
 
-def _columns(x: str, y: str) -> list[str]:
-    head = PAIR.format(x=x, y=y).removeprefix("SELECT ")
-    return [c.strip() for c in head.replace("\n", " ").split(" AS ") and _split_columns(head)]
+def _all_pairs(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
+    rows = _labelled(lists, labels)
+    if labels is not None:
+        open_lists = rows.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        open_lists = open_lists.filter("least < most").select("token")
+        rows = cut(rows.join(open_lists, "token", "left_semi"))
+    both = F.expr("x.token = y.token AND x.id < y.id AND " + _possible("x", "y", percent))
+    return rows.alias("x").join(rows.alias("y"), both).selectExpr(*_pair_columns("x", "y"))
+
+
+def _long_lists(lists: DataFrame, labels: DataFrame | None) -> int:
+    """Entries in long lists that are not in one component yet."""
+    spans = _labelled(lists, labels).groupBy("token").agg(
+        F.count(F.lit(1)).alias("long"), F.min("component").alias("least"), F.max("component").alias("most"))
+    return spans.filter((F.col("long") > SMALL) & (F.col("least") < F.col("most"))).agg(F.sum("long")).first()[0] or 0
 
 
-def _split_columns(text: str) -> list[str]:
-    out, depth, word = [], 0, ""
-    for c in text:
-        depth += (c == "(") - (c == ")")
-        if c == "," and depth == 0:
-            out.append(word)
-            word = ""
-        else:
-            word += c
-    return [*out, word]
+def similar_documents(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text",
+    count_bits: int = COUNT_BITS,
+) -> DataFrame:
+    """Per row ``doc_id, n_shingles, component_id``: the smallest id reachable by links."""
+    counts = shingle_counts(docs, text_col, width, count_bits)
+    rows = cut(texts_with_prefixes(docs, counts, width, percent, id_col, text_col))
+    texts = rows.groupBy("digest").agg(
+        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("matches").alias("matches"),
+        F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
+    # an id that repeats has several texts: the texts of one id are joined by it
+    names = cut(texts.select("digest", "id"))
+    lists = cut(posting_lists(cut(texts.filter("id is not null and n > 0"))))
+
+    links, labels, turn = None, None, 0
+    left = _long_lists(lists, labels)
+    while left:
+        pairs = cut(_candidates(_hub_pairs(lists, labels, turn, percent), percent, whole=False))
+        found = cut(_compare(pairs, docs, width, percent, id_col, text_col))
+        links = found if links is None else cut(links.unionByName(found))
+        labels = components(links)
+        before, left, turn = left, _long_lists(lists, labels), turn + 1
+        # other hubs help as long as they take a good part of the long lists away
+        if left > before // 2:
+            break
+    pairs = cut(_candidates(_all_pairs(lists, labels, percent), percent, whole=True))
+    found = cut(_compare(pairs, docs, width, percent, id_col, text_col))
+    labels = components(found if links is None else cut(links.unionByName(found)))
+    named = names.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(
+        "digest", F.coalesce("component", "id").alias("component"), "id")
+    filled = rows.filter("n > 0").select("doc_id", "digest", "n").join(named, "digest")
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return filled.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(alone)
+
+
+def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component stays, the one that names it; all columns as they are.
+
+    Documents without words or without id are linked with nothing and stay.
+    """
+    found = similar_documents(docs, width, percent, id_col, text_col)
+    gone = found.filter("n_shingles > 0 and doc_id <> component_id").select(
+        F.col("doc_id").alias("id"), F.lit(0).alias("mark"))
+    return without(docs, cut(gone), id_col, lambda: F.lit(0))

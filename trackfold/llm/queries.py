@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfold.llm import divergence_rules, exact_copies, extendible_shards, piece_lattice, source_mix, token_frames
+from trackfold.llm import divergence_rules, exact_copies, extendible_shards, piece_lattice, prefix_join, source_mix, token_frames
 from trackfold.llm.base import documents
 from trackfold.session import scratch_path
 
@@ -30,6 +30,10 @@ def op7_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.exact_copies(documents(spark, sf_dir))
 
 
+def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.similar_documents(documents(spark, sf_dir))
+
+
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.quality(documents(spark, sf_dir)).drop("mark")
 
@@ -39,7 +43,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_piece_lattice, op3_token_frames, op6_extendible_shards, op7_exact_copies, op9_divergence_rules, op10_source_mix)
+    f.__name__: f for f in (op2_piece_lattice, op3_token_frames, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
