@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackfold.llm import divergence_rules, exact_copies, extendible_shards, piece_lattice, prefix_join, source_mix, token_frames
+from trackfold.llm import divergence_rules, exact_copies, extendible_shards, piece_lattice, prefix_join, source_mix, span_dedup, token_frames
 from trackfold.llm.base import documents
 from trackfold.session import scratch_path
 
@@ -22,6 +22,10 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.token_digests(index, tokenizer)
 
 
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.without_repeats(documents(spark, sf_dir))
+
+
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards.extendible_shards(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_piece_lattice, op3_token_frames, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
+    f.__name__: f for f in (op2_piece_lattice, op3_token_frames, op4_span_dedup, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
