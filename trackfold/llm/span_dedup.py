@@ -31,7 +31,7 @@ from trackfold.llm.base import bounded
 from trackfold.session import cut
 
 RUN = 2
-MIN_WORDS = 16
+MIN_WORDS = 24
 BREAK = re.compile(r"((?<=[.!?,;:])[\x20\t-\r]+|[\x20\t-\r]*\n[\x20\t-\r]*|(?<=[a-zß-ÿ])[\x20\t]+(?=[A-ZÀ-Þ]))")
 RUNS_DDL = "high bigint, low bigint, doc_id bigint, at int, many int"
 
