@@ -5,13 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackfold.llm import divergence_rules, exact_copies, extendible_shards, piece_lattice, prefix_join, source_mix, span_dedup, token_frames
+from trackfold.llm import divergence_rules, exact_copies, extendible_shards, hmm_score, piece_lattice, prefix_join, source_mix, span_dedup, token_frames
 from trackfold.llm.base import documents
 from trackfold.session import scratch_path
 
 
+def id_remainder(modulus: int) -> Column:
+    """CRC-32 of the id as text, by the modulus; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_score.score_documents(documents(spark, sf_dir), id_remainder(5) == 1)
+
+
 def op2_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -47,7 +57,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_piece_lattice, op3_token_frames, op4_span_dedup, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
+    f.__name__: f for f in (op1_hmm_score, op2_piece_lattice, op3_token_frames, op4_span_dedup, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
