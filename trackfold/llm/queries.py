@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackfold.llm import divergence_rules, exact_copies, extendible_shards, hmm_score, piece_lattice, prefix_join, source_mix, span_dedup, token_frames
+from trackfold.llm import (
+    divergence_rules,
+    exact_copies,
+    extendible_shards,
+    hmm_score,
+    lang_centroids,
+    piece_lattice,
+    prefix_join,
+    source_mix,
+    span_dedup,
+    token_frames,
+)
 from trackfold.llm.base import documents
 from trackfold.session import scratch_path
 
@@ -36,6 +47,10 @@ def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.without_repeats(documents(spark, sf_dir))
 
 
+def op5_lang_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_centroids.predict(documents(spark, sf_dir), id_remainder(4) == 2)
+
+
 def op6_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible_shards.extendible_shards(documents(spark, sf_dir))
 
@@ -57,7 +72,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hmm_score, op2_piece_lattice, op3_token_frames, op4_span_dedup, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
+    f.__name__: f for f in (op1_hmm_score, op2_piece_lattice, op3_token_frames, op4_span_dedup, op5_lang_centroids, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
