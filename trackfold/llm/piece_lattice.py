@@ -20,7 +20,8 @@ off; bytes that are no UTF-8 become U+FFFD.
 
 A null or empty text has no ids and decodes to an empty text. A literal ``▁`` decodes to a
 blank, as in the library. Repeated rows are encoded each, repeated ids do not matter, an empty
-table gives an empty result; other columns of the table are kept only by ``encode_documents``.
+table gives an empty result; other columns are kept by
+``encode_documents`` and ``decode_documents`` and not read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 LONG = 200
@@ -338,39 +340,35 @@ def _ids_column(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` (all by default) of every document, with ``ids array<int>`` added."""
-    keep = docs.columns if keep is None else keep
-    fields = [docs.schema[k] for k in keep]
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """All columns of every document with ``ids_col array<int>`` added (one of that name is replaced)."""
+    keep = [c for c in docs.columns if c != ids_col]
 
     def encode(batches):
         for batch in batches:
             if batch.num_rows:
-                ids = _ids_column(_encoded(batch.column(len(keep)), model_path))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], ids], names=[*batch.schema.names[: len(keep)], "ids"])
+                ids = _ids_column(_encoded(batch.column(keep.index(text_col)), model_path))
+                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
 
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return rows.mapInArrow(encode, f"{ddl}ids array<int>")
+    rows = docs.select(*keep)
+    return rows.mapInArrow(encode, T.StructType([*rows.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
-def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
-    """Texts of the rows' ``ids``, as a column ``text``, in place of the ids."""
-    keep = [c for c in encoded.columns if c != "ids"]
+def decode_documents(encoded: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """All columns of every row with the text of its ids as ``text_col`` (one of that name is replaced)."""
+    keep = [c for c in encoded.columns if c != text_col]
 
     def decode(batches):
         for batch in batches:
             if batch.num_rows:
-                ids = batch.column(len(keep))
-                ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                texts = [_coder(model_path).decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+                coder, texts = _coder(model_path), []
+                for ids in batch.column(keep.index(ids_col)).to_pylist():
+                    texts.append(coder.decode(np.array(ids or [], np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[: len(keep)], pa.array(texts, pa.string())],
-                    names=[*batch.schema.names[: len(keep)], "text"])
+                    [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    ddl = "".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}, " for c in keep)
-    return encoded.select(*keep, "ids").mapInArrow(decode, f"{ddl}text string")
+    rows = encoded.select(*keep)
+    return rows.mapInArrow(decode, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
