@@ -137,23 +137,27 @@ def quality(
 
     if top:
         bins = F.broadcast(spark.createDataFrame(top, "lang string, word string, share double"))
+        judged = rows.filter(F.col("n_words") >= max(min_words, 1))
         seen = (
-            rows.filter(F.col("n_words") >= max(min_words, 1))
-            .select("row", "n_words", F.explode("common").alias("word"))
+            judged.select("row", "n_words", F.explode("common").alias("word"))
             .groupBy("row", "n_words", "word").count()
             .join(bins.withColumnRenamed("lang", "reference"), "word")
         )
         p, q = F.col("count") / F.col("n_words"), F.col("share")
         # a bin of the reference that the document lacks adds half its share
-        by_language = seen.groupBy("row", "reference").agg(
-            F.sum(_divergence(p, q) - q / 2).alias("seen"), F.sum(p).alias("p"))
+        parts = seen.select("row", "reference", (_divergence(p, q) - q / 2).alias("seen"), p.alias("p"))
+        # every reference is compared, also one of which the document has no word
+        languages = F.array(*[F.lit(name) for name in sorted({r["lang"] for r in top})])
+        none = judged.select(
+            "row", F.explode(languages).alias("reference"), F.lit(0.0).alias("seen"), F.lit(0.0).alias("p"))
+        by_language = parts.unionByName(none).groupBy("row", "reference").agg(
+            F.sum("seen").alias("seen"), F.sum("p").alias("p"))
         rest = F.broadcast(
             bins.groupBy(F.col("lang").alias("reference")).agg(F.sum("share").alias("all_share")))
         nearest = by_language.join(rest, "reference").groupBy("row").agg(F.min(_distance(
             F.col("seen") + F.col("all_share") / 2
             + _divergence(F.greatest(1 - F.col("p"), F.lit(0.0)), 1 - F.col("all_share")))).alias("word_distance"))
-        rows = rows.join(nearest, "row", "left").withColumn(
-            "word_distance", F.when(F.col("n_words") >= max(min_words, 1), F.coalesce("word_distance", F.lit(1.0))))
+        rows = rows.join(nearest, "row", "left")
     else:
         rows = rows.withColumn("word_distance", F.lit(None).cast("double"))
 
