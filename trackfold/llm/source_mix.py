@@ -147,7 +147,7 @@ def source_mix(
     bits = F.greatest(F.ceil(F.log2(F.greatest(F.col("source_size"), F.lit(1)) / block_words)), F.lit(0))
     wanted = targets.select(
         F.col("source").alias("_source"), "source_size", "target", bits.cast("int").alias("bits"),
-        F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).alias("passes"),
+        F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).alias("passes"),
     ).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
     placed = sizes.join(bounded(wanted), sizes["source"].eqNullSafe(F.col("_source"))).drop("_source")
     prefix = F.conv(F.substring("hash", 1, 8), 16, 10).cast("bigint")
