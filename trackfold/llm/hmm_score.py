@@ -45,7 +45,7 @@ from trackfold.session import cut, scratch_path
 STATES = 8
 ROUNDS = 3
 OWN = 5
-MU = 1000.0
+MU = 20_000.0
 STRETCH = 128
 SUFFIXES = 64
 STAY = 0.9
@@ -284,7 +284,8 @@ def _gather(answers: DataFrame, matrices: DataFrame) -> DataFrame:
                     matrix = np.frombuffer(held, np.float32).reshape(-1, STATES)
                     continue
                 row = np.frombuffer(rest[5], np.int32)
-                part = matrix[row[row >= 0]].tobytes()
+                own = row[row >= 0]
+                part = matrix[own].tobytes() if len(own) else b""
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], t) for v, t in zip([*rest, part], GATHERED_TYPES)], names=GATHERED_NAMES)
 
