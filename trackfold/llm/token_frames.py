@@ -50,7 +50,7 @@ TABLE_MAGIC = 0x184D2A5E
 FOOTER_MAGIC = 0x8F92EAB1
 FRAME_IDS = 1 << 16
 LEVEL = 3
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 CHUNK_BYTES = 1 << 20
 INDEX = pa.schema([
     ("doc_id", pa.int64()), ("part", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -122,6 +122,12 @@ class WordCoder(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def _coder(path: str) -> WordCoder:
+    """A worker's table of words, kept from task to task."""
+    return WordCoder(path)
+
+
 class FrameWriter:
     """Write arrays of ids one after the other; ``close`` adds the seek table."""
 
@@ -223,7 +229,7 @@ def write_tokens(
                 fs, at = pa.fs.FileSystem.from_uri(file)
                 fs.create_dir(os.path.dirname(at), recursive=True)
                 sink = fs.open_output_stream(at, compression=None)
-                coder, writer = WordCoder(tokenizer_path), FrameWriter(sink, dtype)
+                coder, writer = _coder(tokenizer_path), FrameWriter(sink, dtype)
             offsets, lengths = [], []
             for texts in _chunks(text_bytes(batch.column(1))):
                 for ids in coder.encode(texts):
