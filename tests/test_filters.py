@@ -248,3 +248,19 @@ def test_batches_do_not_matter(spark, sf_dir, monkeypatch):
     assert np.allclose(whole[["x", "y", "phi"]], small[["x", "y", "phi"]], atol=1e-9)
     last = whole.groupby("vehicle").last()
     assert np.allclose(last[["x", "y", "phi"]], final.loc[last.index, ["x", "y", "phi"]], atol=1e-9)
+
+
+def test_a_vehicle_alone_and_in_company(spark):
+    """Bad values and the last bit: the company a vehicle is computed in changes nothing."""
+    def rows(vehicles):
+        return spark.createDataFrame(
+            [(v, t, t, "odo" if t % 3 else "gps", 3.1 + t if t != bad else float("inf"), 0.37 * (t % 5), 1.0 * t, 2.0)
+             for v, bad in vehicles for t in range(40)],
+            "vehicle string, t_ms bigint, seq bigint, kind string, speed double, steering double, gps_x double, gps_y double")
+
+    many = [(f"v{n}", -1) for n in range(40)]
+    company = {(r.vehicle, r.seq): tuple(r) for r in ekf.ekf_track(rows([("a", 20), ("b", -1), *many]).coalesce(1)).collect()}
+    for v, bad in (("a", 20), ("b", -1)):
+        alone = ekf.ekf_track(rows([(v, bad)])).collect()
+        assert len(alone) == 40
+        assert [repr(tuple(r)) for r in alone] == [repr(company[v, r.seq]) for r in alone]

@@ -126,3 +126,14 @@ def test_a_forgetting_filter_needs_few_passes(spark, monkeypatch):
     cut = ekf.ekf_track(rows, config, covariance=True, hot_rows=2500)
     same(ekf.ekf_track(rows, config, covariance=True, hot_rows=None), cut, exact=True)
     assert len(passes) <= 5  # about ten slices; the last pass writes the track
+
+
+def test_nulls_at_the_edges_of_slices(spark):
+    """Running values of a vehicle that is cut are those of the uncut one, nulls at any edge."""
+    rows = [("v", t, t, None if t % 10 in (3, 4, 9) or t < 2 else 1.0, 0.0 if t % 7 else None, 0.1) for t in range(60)]
+    df = spark.createDataFrame(rows, "vehicle string, t_ms bigint, seq bigint, x_inc double, y_inc double, phi_inc double")
+    for hot in (1, 3, 9, 20):
+        whole, cut = (track.accumulate_pose(df, hot_rows=h).orderBy("t_ms").collect() for h in (None, hot))
+        for a, b in zip(whole, cut):
+            for x, y in zip(a[3:], b[3:]):
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trackfold.functions import geometry
 from trackfold.operators import prep, track
+from trackfold.schema import ODOMETRY
 from trackfold.sources import exports, recordings
 from trackfold.streaming import windows
 
@@ -76,14 +77,17 @@ def test_headerless_files(spark, tmp_path):
     (tmp_path / "steps.csv").write_text("vehicle1,prediction,5,1.5,2.5\n")
     (tmp_path / "marks.csv").write_text("7;1.0;2.0;[(1.5, -2.0), (3.0, 4e1)]\n8;1.0;2.0;[]\n")
     at = lambda name: str(tmp_path / name)
-    assert recordings.read_odometry(spark, at("odo.csv")).first() == (100, 0.1, 2.5)
+    odometry = recordings.read_odometry(spark, at("odo.csv"))
+    assert odometry.select("vehicle", "t_ms", "kind", "steering", "speed").first() == ("full", 100, "odo", 0.1, 2.5)
+    assert track.discrete_kalman(odometry).count() == 1
     fixes = recordings.read_gps_seconds(spark, at("seconds.csv")).orderBy("t_ms").collect()
-    assert [tuple(r) for r in fixes] == [(0, 0.0, 0.0), (1202, -0.11, 0.03)]
+    assert [(r.t_ms, r.gps_x, r.gps_y) for r in fixes] == [(0, 0.0, 0.0), (1202, -0.11, 0.03)]
     assert recordings.read_track_steps(spark, at("steps.csv")).first() == ("vehicle1", "prediction", 5, 1.5, 2.5)
     marks = recordings.read_track_landmarks(spark, at("marks.csv")).orderBy("t_ms").collect()
     assert [tuple(p) for p in marks[0].landmarks] == [(1.5, -2.0), (3.0, 40.0)] and marks[1].landmarks == []
     merged = prep.merge_sensors(recordings.read_raw_odometry(spark, at("raw.csv")),
-                                recordings.read_gps(spark, at("gps.csv"))).orderBy("t_ms").collect()
+                                recordings.read_gps(spark, at("gps.csv")))
+    merged = prep.by_time(merged).collect()
     assert [(r.kind, r.t_ms) for r in merged] == [("gps", 150), ("odo", 21001)]
     assert merged[0].gps_y == -67.5 and merged[0].speed is None
 
@@ -156,3 +160,34 @@ def test_order_helpers(spark):
     rows = spark.createDataFrame([("v", 2, 0), ("v", 1, 1), ("u", 3, 0)], "vehicle string, t_ms bigint, seq bigint")
     assert [r.t_ms for r in prep.by_time(rows).collect()] == [1, 2, 3]
     assert [(r.vehicle, r.t_ms) for r in prep.by_vehicle_and_time(rows).collect()] == [("u", 3), ("v", 1), ("v", 2)]
+
+
+def test_names_and_numbers_of_tagged_lines(spark):
+    lines = ["odo,1,0.1,2.5,a b", "odo;2;0.1;2.5;ab", 'odo, 3 , 0.1 ,2.5,"ab"', "odo,4,NaN,2.5,ab", "gps,5,1.0,Infinity,ab",
+             "odo,xx,0.1,2.5,ab", "odo,7,0.1,2.5", "radar,8,0.1,2.5,ab"]
+    parsed = recordings.tagged(lines_of(spark, *lines))
+    assert sorted(r.vehicle for r in recordings.accepted(parsed).collect()) == ['vehicle"ab"', "vehiclea b", "vehicleab"]
+    assert sorted(r.reason for r in recordings.rejected(parsed).collect()) == ["kind", "number", "number", "time", "vehicle"]
+
+
+def test_rejected_rows_of_every_reader(spark, tmp_path):
+    (tmp_path / "odo.csv").write_text("100,0.1,2.5\nxx,0.1,2.5\n200,NaN,2.5\n300,0.1\n")
+    parsed = recordings.parsed_csv(spark, ODOMETRY, str(tmp_path / "odo.csv"), kind="odo")
+    assert [r.t_ms for r in recordings.accepted(parsed).collect()] == [100]
+    assert sorted(r.line for r in recordings.rejected(parsed).collect()) == ["200,NaN,2.5", "300,0.1,", "xx,0.1,2.5"]
+    lines = lines_of(spark, '1.0,0.1,0.2,0.3,"[1.0]"', '2.0,0.1,,0.3,"[1.0]"', 'z,0.1,0.2,0.3,"[1.0]"', '3.0,0.1,0.2,0.3,"[inf]"')
+    parsed = recordings.parsed_increments(lines)
+    assert sorted(r.reason for r in recordings.rejected(parsed).collect()) == ["number", "number", "time"]
+
+
+@pytest.mark.parametrize("split", ["200", "100000000"])
+def test_order_of_equal_times_in_two_files(spark, tmp_path, split):
+    for n, name in enumerate(("b.csv", "a.csv")):
+        (tmp_path / name).write_text("".join(f"odo,5,0.1,{n}.{i:03d},1\n" for i in range(100)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        rows = recordings.read_tagged(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"))
+        got = [r.speed for r in rows.orderBy("t_ms", "seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [n + i / 1000 for n in (1, 0) for i in range(100)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackfold.operators import ekf, scan, slam, track
 from trackfold.plans import adapter
 from trackfold.schema import SENSOR
-from trackfold.streaming import jobs, run
+from trackfold.streaming import jobs, run, windows
 
 CUTS = (0, 4000, 9000, 15000, 30000)
 
@@ -77,3 +77,17 @@ def test_late_rows(spark, tmp_path):
     assert counts == {"drop": 3, "apply": 4}
     with pytest.raises(ValueError):
         jobs.ekf_stream(stream, adapter.EKF, late="other")
+
+
+@pytest.mark.parametrize("in_order", [True, False])
+def test_windows_lose_no_row(spark, sensors, tmp_path, in_order):
+    path = str(tmp_path / "in")
+    if in_order:
+        files_in_time_order(sensors, path)
+    else:
+        sensors.repartition(5).write.parquet(path)
+    stream = spark.readStream.schema(sensors.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    windows.drain_windows(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    got, want = (sorted(map(tuple, df.collect()), key=str) for df in (
+        windows.read_windows(spark, str(tmp_path / "out")), windows.fix_windows(sensors)))
+    assert got == want

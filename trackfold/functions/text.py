@@ -9,26 +9,32 @@ KINDS = ("odo", "gps", "laser")
 
 
 def fields(line: Column) -> Column:
-    """Fields of a line separated by commas or semicolons, without quotes, brackets and blanks."""
-    return F.split(F.translate(line, ';"[] ', ","), ",")
+    """Fields of a line separated by commas or semicolons, as they are written."""
+    return F.split(F.translate(line, ";", ","), ",")
 
 
 def text_field(parts: Column, at: int) -> Column:
     return F.get(parts, F.lit(at))
 
 
+def number(written: Column) -> Column:
+    """A finite number, else null: one NaN or Infinity would spoil a filter for good."""
+    value = F.trim(written).try_cast("double")
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def double_field(parts: Column, at: int) -> Column:
-    return text_field(parts, at).try_cast("double")
+    return number(text_field(parts, at))
 
 
 def long_field(parts: Column, at: int) -> Column:
-    return text_field(parts, at).try_cast("bigint")
+    return F.trim(text_field(parts, at)).try_cast("bigint")
 
 
 def scan_field(parts: Column, at: int) -> Column:
-    """All fields from ``at`` on as numbers; a bad one is null."""
+    """All fields from ``at`` on, without quotes and brackets, as numbers; a bad one is null."""
     readings = F.slice(parts, F.lit(at + 1), F.greatest(F.size(parts) - F.lit(at), F.lit(0)))
-    return readings.try_cast("array<double>")
+    return F.transform(readings, lambda r: number(F.translate(r, '"[]', "")))
 
 
 def points(text: Column) -> Column:

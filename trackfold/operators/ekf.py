@@ -7,7 +7,6 @@ stepped for all of them together.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -203,11 +202,13 @@ def _step_batch(batch: pa.RecordBatch, starts: np.ndarray, states: np.ndarray, c
     given = {i: np.array(batch.column("state")[i].as_py()) for i in np.flatnonzero(code == slices.START_CODE)}
     track = np.empty((9, len(code)))
     lengths = np.diff(np.append(starts, len(code)))
-    if lengths.max() * LOCKSTEP_ROWS < len(code):
-        _lockstep(code, t_ms.astype(float), m0, m1, given, starts, lengths, states, track, config)
-    else:
-        for run, (begin, n) in enumerate(zip(starts, lengths)):
-            _one_run(code, t_ms, m0, m1, given, range(begin, begin + n), run, states, track, config)
+    # a bad value makes its vehicle's numbers NaN from there on, and no other's
+    with np.errstate(all="ignore"):
+        if lengths.max() * LOCKSTEP_ROWS < len(code):
+            _lockstep(code, t_ms.astype(float), m0, m1, given, starts, lengths, states, track, config)
+        else:
+            for run, (begin, n) in enumerate(zip(starts, lengths)):
+                _one_run(code, t_ms, m0, m1, given, range(begin, begin + n), run, states, track, config)
     return track
 
 
@@ -218,9 +219,9 @@ def _one_run(code, t_ms, m0, m1, given, positions, run, states, track, config) -
     poses = []
     for i, c, t, a, b in rows:
         if c == ODO:
-            state = steps.ekf_predict(math, state, float(t), a, b, config)
+            state = steps.ekf_predict(np, state, float(t), a, b, config)
         elif c == GPS:
-            state = steps.ekf_update(math, state, float(t), a, b, config)
+            state = steps.ekf_update(np, state, float(t), a, b, config)
         else:
             state = tuple(given[i].tolist())
         poses.append(state[:9])

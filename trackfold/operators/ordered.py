@@ -99,7 +99,11 @@ class Ordered:
                 for n in columns
             ]),
         )
-        df = df.withColumns({n: F.coalesce(F.col(f"_carry.{n}"), F.lit(0)) + F.col(f"_in_{n}") for n in columns})
+        # null only as long as no value was seen, as in an uncut window
+        df = df.withColumns({
+            n: F.when(F.col(f"_carry.{n}").isNull(), F.col(f"_in_{n}"))
+            .otherwise(F.col(f"_carry.{n}") + F.coalesce(F.col(f"_in_{n}"), F.lit(0)))
+            for n in columns})
         return Ordered(df.drop("_carry", *[f"_in_{n}" for n in columns]))
 
     def last_seen(self, name: str, value: Column) -> "Ordered":

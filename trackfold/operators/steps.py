@@ -1,7 +1,8 @@
 """One step of each sequential filter, as plain arithmetic.
 
 Batch and streaming wrappers call the same functions. The functions of the GPS filter take
-the math module ``m`` to use: ``math`` for one vehicle, ``numpy`` for many vehicles at once.
+the module ``m`` to use. The wrappers give ``numpy`` for one vehicle and for many at once, so a
+vehicle's numbers do not hang on the company it is computed in.
 """
 
 from __future__ import annotations

@@ -117,7 +117,27 @@ def merged_files(spark, sf_dir):
     merged = prep.merge_sensors(
         recordings.read_raw_odometry(spark, odometry), recordings.read_gps(spark, fixes)
     )
-    return merged.orderBy("t_ms").select("t_ms", "kind", "speed", "steering", "gps_x", "gps_y")
+    return prep.by_time(merged).select("t_ms", "kind", "speed", "steering", "gps_x", "gps_y")
+
+
+@query
+def discrete_from_files(spark, sf_dir):
+    """The discrete filter straight from odometry files, which name no vehicle."""
+    path = scratch_path(spark, "odometry")
+    # event numbers for times, so that no two rows are at one time
+    rows = adapter.sensors(spark, sf_dir, "odo").select(F.col("seq").alias("t_ms"), "steering", "speed")
+    exports.write_csv(rows, path)
+    out = track.discrete_kalman(recordings.read_odometry(spark, path))
+    return _rounded(out.select("vehicle", "t_ms", "x", "y", "phi", "gain", "variance"), "x", "y", "phi", "gain", "variance")
+
+
+@query
+def track_steps_roundtrip(spark, sf_dir):
+    """The track file of five comma fields, written and read back."""
+    path = scratch_path(spark, "steps")
+    exports.write_csv(exports.track_steps(_ekf(spark, sf_dir)), path)
+    rows = recordings.read_track_steps(spark, path).select("vehicle", "step", "t_ms", "x", "y")
+    return _rounded(rows, "x", "y", digits=4)
 
 
 @query
@@ -125,7 +145,7 @@ def gps_seconds_files(spark, sf_dir):
     path = scratch_path(spark, "seconds")
     rows = adapter.sensors(spark, sf_dir, "gps")
     exports.write_csv(rows.select((F.col("t_ms") / 1000.0).alias("seconds"), "gps_x", "gps_y"), path)
-    return recordings.read_gps_seconds(spark, path)
+    return recordings.read_gps_seconds(spark, path).select("t_ms", "gps_x", "gps_y")
 
 
 @query
@@ -133,7 +153,7 @@ def odometry_files(spark, sf_dir):
     path = scratch_path(spark, "steering")
     rows = adapter.sensors(spark, sf_dir, "odo")
     exports.write_csv(rows.select("t_ms", "steering", "speed"), path)
-    return recordings.read_odometry(spark, path)
+    return recordings.read_odometry(spark, path).select("t_ms", "steering", "speed")
 
 
 # --- preparation ---
@@ -499,8 +519,10 @@ def slam_stream(spark, sf_dir):
 
 @query
 def window_stream(spark, sf_dir):
-    """Windows closed by the watermark, so each vehicle window is final when it is written."""
-    return run.drain(windows.fix_windows(_sensor_stream(spark, sf_dir), delay="200 milliseconds"), "windows")
+    """Windows kept up to date by every micro-batch, in whatever order rows arrive."""
+    table = scratch_path(spark, "windows")
+    windows.drain_windows(_sensor_stream(spark, sf_dir), table, scratch_path(spark, "windows-state"))
+    return windows.read_windows(spark, table)
 
 
 def _sensor_stream(spark, sf_dir) -> DataFrame:

@@ -267,8 +267,7 @@ def oracle_sql() -> dict[str, str]:
             ELSE 'steering=' || printf('%.6f', steering) END || ' ' || t_ms AS value
             FROM sensor WHERE kind IN ('odo', 'gps')""",
         "fix_windows": _windows("true"),
-        # the watermark is 200 ms behind the newest row; a window is written once it lies before that
-        "window_stream": _windows("window_ms + 200 <= (SELECT max(t_ms) FROM sensor) - 200"),
+        "window_stream": _windows("true"),
     }
     x, y = _beam("beam * 0.5::DOUBLE", "r", "phi")
     cloud = f"""WITH {SCANS} SELECT {{columns}} FROM (
@@ -316,6 +315,18 @@ def oracle_sql() -> dict[str, str]:
     out["move_stream"] = out["pose_accumulate"]
     out["objects_stream"] = out["extract_objects"]
     out["discrete_stream"] = out["discrete_kalman"]
+    out["track_steps_roundtrip"] = out["track_csv_roundtrip"]
+    out["discrete_from_files"] = f"""WITH {SENSOR},
+        s AS (SELECT 'full' AS vehicle, seq AS t_ms, speed, steering FROM sensor WHERE kind = 'odo'),
+        a AS (SELECT *, t_ms - lag(t_ms, 1, 0) OVER w AS dt, lag(speed, 1, 0) OVER w AS v, row_number() OVER w AS n
+              FROM s WINDOW w AS (ORDER BY t_ms)),
+        b AS (SELECT *, v * dt * tan(steering) / ({L} * 1000) AS phi FROM a),
+        c AS (SELECT *, lag(phi, 1, 0) OVER (ORDER BY t_ms) AS h FROM b)
+        SELECT vehicle, t_ms, {_r('x', 6, 'sum(v * cos(h) * dt / 1000) OVER w')},
+          {_r('y', 6, 'sum(v * sin(h) * dt / 1000) OVER w')}, {_r('phi', 6)},
+          {_r('gain', 6, '1 / (1 + 10 * (n - 1)) / (1 / (1 + 10 * (n - 1)) + 0.1::DOUBLE)')},
+          {_r('variance', 6, '1 / (1 + 10 * n)')}
+        FROM c WINDOW w AS (ORDER BY t_ms)"""
     return out
 
 

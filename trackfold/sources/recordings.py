@@ -13,19 +13,20 @@ LINE = T.StructType([T.StructField("value", T.StringType())])
 
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines with ``file`` and ``seq``; ``seq`` (file offset, line number) keeps the line order.
+    """Lines with ``file`` and ``seq``; ``seq`` (file, offset, line number) keeps the line order.
 
-    Large files are read in parallel splits: the order lives in ``seq``, not in the reader.
+    Large files are read in parallel splits: the order lives in ``seq``, not in the reader. The
+    line number only has to rise inside one block of one file.
     """
-    lines = spark.read.schema(LINE).text(list(paths))
-    return lines.select(
-        "value",
+    return _numbered(spark.read.schema(LINE).text(list(paths))).select("value", "seq.file", "seq")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.struct(
         F.col("_metadata.file_path").alias("file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("line"),
-        ).alias("seq"),
-    )
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    ).alias("seq"))
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -51,10 +52,10 @@ def tagged(lines: DataFrame, vehicle: str | Column | None = None) -> DataFrame:
     kind = F.col("kind")
     odo, gps, laser = kind == "odo", kind == "gps", kind == "laser"
     if vehicle is None:
-        name = F.when(odo | gps, F.concat(F.lit("vehicle"), text.text_field(parts, 4)))
+        name = F.when(odo | gps, F.concat(F.lit("vehicle"), F.trim(text.text_field(parts, 4))))
     else:
         name = F.lit(vehicle) if isinstance(vehicle, str) else vehicle
-    split = _split(lines).withColumn("kind", text.text_field(parts, 0))
+    split = _split(lines).withColumn("kind", F.trim(text.text_field(parts, 0)))
     keep = [c for c in ("file", "seq") if c in lines.columns]
     rows = split.select(
         *keep,
@@ -90,12 +91,15 @@ def rejected(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("reason").isNotNull()).select("line", "reason")
 
 
-def increments(lines: DataFrame, vehicle: str = "full") -> DataFrame:
-    """Lines ``t,x_inc,y_inc,phi_inc,"[r0,...]"`` (metres); the time is rounded half up."""
+def parsed_increments(lines: DataFrame, vehicle: str = "full") -> DataFrame:
+    """Lines ``t,x_inc,y_inc,phi_inc,"[r0,...]"`` (metres) with ``reason`` (null for good rows).
+
+    The time is rounded half up.
+    """
     parts = F.col("_parts")
     split = _split(lines)
     keep = [c for c in ("file", "seq") if c in lines.columns]
-    return split.select(
+    rows = split.select(
         *keep,
         F.lit(vehicle).alias("vehicle"),
         geometry.half_up(text.double_field(parts, 0)).alias("t_ms"),
@@ -103,7 +107,16 @@ def increments(lines: DataFrame, vehicle: str = "full") -> DataFrame:
         text.double_field(parts, 2).alias("y_inc"),
         text.double_field(parts, 3).alias("phi_inc"),
         text.scan_field(parts, 4).alias("ranges"),
+        F.col("value").alias("line"),
     )
+    bad = F.col("x_inc").isNull() | F.col("y_inc").isNull() | F.col("phi_inc").isNull()
+    bad = bad | F.exists("ranges", lambda r: r.isNull())
+    return rows.withColumn("reason", F.when(F.col("t_ms").isNull(), "time").when(bad, "number"))
+
+
+def increments(lines: DataFrame, vehicle: str = "full") -> DataFrame:
+    """The good rows of ``parsed_increments``; see there."""
+    return accepted(parsed_increments(lines, vehicle))
 
 
 def read_tagged(spark: SparkSession, *paths: str, vehicle: str | None = None) -> DataFrame:
@@ -126,23 +139,51 @@ def read_csv(spark: SparkSession, schema: T.StructType, *paths: str, sep: str =
     return spark.read.schema(schema).option("sep", sep).option("header", False).csv(list(paths))
 
 
-def read_odometry(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_csv(spark, ODOMETRY, *paths)
+def parsed_csv(
+    spark: SparkSession, schema: T.StructType, *paths: str, sep: str = ",", vehicle: str = "full", kind: str | None = None,
+) -> DataFrame:
+    """Rows of a headerless file with ``vehicle``, ``seq``, ``kind`` and ``reason`` (null for good rows).
+
+    A row is rejected as ``number`` if one of its numbers is missing, no number or not finite.
+    ``line`` is the row as read, field by field.
+    """
+    written = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    rows = _numbered(read_csv(spark, written, *paths, sep=sep))
+    numbers = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    typed = {
+        f.name: F.trim(F.col(f.name)).try_cast("bigint") if isinstance(f.dataType, T.LongType) else text.number(F.col(f.name))
+        for f in numbers
+    }
+    line = F.concat_ws(sep, *[F.coalesce(f.name, F.lit("")) for f in schema.fields])
+    rows = rows.withColumn("line", line).withColumns(typed)
+    if "vehicle" not in schema.names:
+        rows = rows.withColumn("vehicle", F.lit(vehicle))
+    if kind is not None and "kind" not in schema.names:
+        rows = rows.withColumn("kind", F.lit(kind))
+    bad = F.lit(False)
+    for f in numbers:
+        bad = bad | F.col(f.name).isNull()
+    return rows.withColumn("reason", F.when(bad, "number"))
+
+
+def read_odometry(spark: SparkSession, *paths: str, vehicle: str = "full") -> DataFrame:
+    """Odometry rows as the trackers take them."""
+    return accepted(parsed_csv(spark, ODOMETRY, *paths, vehicle=vehicle, kind="odo"))
 
 
-def read_raw_odometry(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_csv(spark, RAW_ODOMETRY, *paths)
+def read_raw_odometry(spark: SparkSession, *paths: str, vehicle: str = "full") -> DataFrame:
+    return accepted(parsed_csv(spark, RAW_ODOMETRY, *paths, vehicle=vehicle))
 
 
-def read_gps(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_csv(spark, GPS, *paths)
+def read_gps(spark: SparkSession, *paths: str, vehicle: str = "full") -> DataFrame:
+    return accepted(parsed_csv(spark, GPS, *paths, vehicle=vehicle, kind="gps"))
 
 
-def read_gps_seconds(spark: SparkSession, *paths: str, offset_ms: int = 0) -> DataFrame:
-    """Fixes timed in seconds, as (t_ms, gps_x, gps_y)."""
-    raw = read_csv(spark, GPS_SECONDS, *paths)
+def read_gps_seconds(spark: SparkSession, *paths: str, offset_ms: int = 0, vehicle: str = "full") -> DataFrame:
+    """Fixes timed in seconds, as sensor rows."""
+    raw = accepted(parsed_csv(spark, GPS_SECONDS, *paths, vehicle=vehicle, kind="gps"))
     return raw.select(
-        geometry.align_clock(F.col("seconds"), offset_ms).alias("t_ms"),
+        "vehicle", geometry.align_clock(F.col("seconds"), offset_ms).alias("t_ms"), "seq", "kind",
         F.col("x").alias("gps_x"), F.col("y").alias("gps_y"),
     )
 

@@ -8,7 +8,6 @@ micro-batch are sorted in memory. Use the RocksDB state store for maps.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from trackfold.operators import scan as scans
 from trackfold.schema import METRE_SCAN, RAW_SCAN, EkfConfig, ScanConfig, SlamConfig, Start, Vehicle
 
 LATE = ("drop", "apply")
-STATE = T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("state", T.ArrayType(T.DoubleType()))])
+STATE = T.StructType([T.StructField("last_ms", T.LongType()), T.StructField("state", T.BinaryType())])
 
 
 def _stateful(rows: DataFrame, output: T.StructType, first, fold: Callable, late: str) -> DataFrame:
@@ -39,15 +38,16 @@ def _stateful(rows: DataFrame, output: T.StructType, first, fold: Callable, late
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState):
         # all rows of the vehicle in this micro-batch: their time order decides the result
         frame = pd.concat(list(frames), ignore_index=True)
-        last, vector = state.get if state.exists else (None, first)
+        last, held = state.get if state.exists else (None, None)
+        vector = np.array(first, dtype=float) if held is None else np.frombuffer(held)
         if last is not None and late == "drop":
             frame = frame[frame["t_ms"] >= last]
         if not len(frame):
             return
         frame = frame.sort_values(["t_ms", "seq"], kind="stable").reset_index(drop=True)
-        vector, columns = fold(np.array(vector, dtype=float), frame)
+        vector, columns = fold(vector, frame)
         newest = int(frame["t_ms"].iloc[-1])
-        state.update((newest if last is None else max(last, newest), [float(v) for v in vector]))
+        state.update((newest if last is None else max(last, newest), np.asarray(vector, dtype=float).tobytes()))
         out = {"vehicle": key[0], "t_ms": frame["t_ms"], "seq": frame["seq"], **columns}
         yield pd.DataFrame(out)[output.names]
 
@@ -147,10 +147,11 @@ def ekf_stream(
     def fold(vector, frame):
         state, poses = tuple(vector.tolist()), []
         code = frame["code"].to_numpy()
-        for c, t, a, b in zip(code.tolist(), frame["t_ms"].tolist(), frame["m0"].tolist(), frame["m1"].tolist()):
-            step = steps.ekf_predict if c == ekf.ODO else steps.ekf_update
-            state = step(math, state, float(t), a, b, config)
-            poses.append(state[:3])
+        with np.errstate(all="ignore"):
+            for c, t, a, b in zip(code.tolist(), frame["t_ms"].tolist(), frame["m0"].tolist(), frame["m1"].tolist()):
+                step = steps.ekf_predict if c == ekf.ODO else steps.ekf_update
+                state = step(np, state, float(t), a, b, config)
+                poses.append(state[:3])
         return state, {"step": ekf.STEP_NAMES[code], **_pose_columns(poses)}
 
     out = _stateful(narrow, _output(rows, ("step", T.StringType()), *_POSE), steps.ekf_start(config), fold, late)
@@ -166,13 +167,13 @@ def slam_stream(
     def fold(vector, frame):
         state, poses = steps.SlamState.unpack(vector), []
         code = frame["code"].to_numpy()
+        times, m0, m1 = (frame[n].to_numpy(dtype=float) for n in ("t_ms", "m0", "m1"))
+        reach, degrees = frame["reach"].to_numpy(), frame["degrees"].to_numpy()
         for i, c in enumerate(code):
-            t = float(frame["t_ms"].iloc[i])
             if c == slam.ODO:
-                steps.slam_predict(state, t, frame["m0"].iloc[i], frame["m1"].iloc[i], config)
+                steps.slam_predict(state, times[i], m0[i], m1[i], config)
             else:
-                steps.slam_update(state, t, np.asarray(frame["reach"].iloc[i]), np.asarray(frame["degrees"].iloc[i]),
-                                  config)
+                steps.slam_update(state, times[i], np.asarray(reach[i]), np.asarray(degrees[i]), config)
             poses.append((*state.mean[:3], (state.size - 3) // 2))
         table = np.array(poses).reshape(-1, 4)
         step = np.where(code == slam.ODO, "prediction", "update").astype(object)

@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+PARTS = """vehicle string, window_ms bigint, n_rows bigint,
+    fix struct<at: struct<t_ms: bigint, seq: bigint>, gps_x: double, gps_y: double>, batch bigint"""
 
-def with_event_time(rows: DataFrame, delay: str | None = None) -> DataFrame:
-    """Add ``ts`` from ``t_ms``; on streams set a watermark that trails by ``delay``."""
-    timed = rows.withColumn("ts", F.timestamp_millis("t_ms"))
-    return timed.withWatermark("ts", delay) if delay is not None else timed
 
-
-def fix_windows(rows: DataFrame, width_ms: int = 200, delay: str | None = None) -> DataFrame:
-    """Rows per vehicle and window, and the last GPS fix in it (null without a fix).
+def window_parts(rows: DataFrame, width_ms: int = 200) -> DataFrame:
+    """Rows per vehicle and window, and the last GPS fix in it with its place in time.
 
     The aggregates combine before the shuffle, so a crowded window costs one row per task.
     """
-    timed = with_event_time(rows, delay)
-    fix = F.col("kind") == "gps"
-    at = F.when(fix, F.struct("t_ms", "seq"))
-    grouped = timed.groupBy("vehicle", F.window("ts", f"{width_ms} milliseconds").alias("_w")).agg(
-        F.count("*").alias("n_rows"),
-        F.max_by(F.struct("gps_x", "gps_y"), at).alias("_fix"),
-    )
-    return grouped.select(
-        "vehicle",
-        F.unix_millis(F.col("_w.start")).alias("window_ms"),
-        "n_rows",
-        F.col("_fix.gps_x").alias("gps_x"),
-        F.col("_fix.gps_y").alias("gps_y"),
-    )
+    start = F.floor(F.col("t_ms") / width_ms).cast("bigint") * width_ms
+    fix = F.when(F.col("kind") == "gps", F.struct(F.struct("t_ms", "seq").alias("at"), "gps_x", "gps_y"))
+    return rows.groupBy("vehicle", start.alias("window_ms")).agg(
+        F.count("*").alias("n_rows"), F.max_by(fix, F.when(fix.isNotNull(), F.struct("t_ms", "seq"))).alias("fix"))
+
+
+def merged_windows(parts: DataFrame) -> DataFrame:
+    """Windows from any number of parts of each; in which order parts were made does not matter."""
+    whole = parts.groupBy("vehicle", "window_ms").agg(
+        F.sum("n_rows").alias("n_rows"), F.max_by("fix", F.when(F.col("fix").isNotNull(), F.col("fix.at"))).alias("fix"))
+    return whole.select("vehicle", "window_ms", "n_rows", "fix.gps_x", "fix.gps_y")
+
+
+def fix_windows(rows: DataFrame, width_ms: int = 200) -> DataFrame:
+    """Rows per vehicle and window, and the last GPS fix in it (null without a fix)."""
+    parts = window_parts(rows, width_ms)
+    return parts.select("vehicle", "window_ms", "n_rows", "fix.gps_x", "fix.gps_y")
+
+
+def drain_windows(stream: DataFrame, table: str, checkpoint: str, width_ms: int = 200) -> None:
+    """Add all that has arrived to a table of window parts.
+
+    Every micro-batch writes its parts to a folder of its own, which is rewritten if the batch is
+    retried. No row is late: one that belongs to an old window becomes another part of it.
+    """
+    def add(batch: DataFrame, number: int) -> None:
+        window_parts(batch, width_ms).write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def read_windows(spark: SparkSession, table: str) -> DataFrame:
+    return merged_windows(spark.read.schema(PARTS).parquet(table))
