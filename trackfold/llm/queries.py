@@ -64,7 +64,8 @@ def op8_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence_rules.quality(documents(spark, sf_dir)).drop("mark")
+    return divergence_rules.quality(documents(spark, sf_dir)).drop("mark").withColumns(
+        {n: F.round(n, 6) for n in ("char_distance", "word_distance")})
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+GAP = r"[\x20\x09-\x0D]"
+JS = """(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END
+    + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2"""
+
+
+def _quality_sql() -> str:
+    rules = divergence_rules
+    counted = ", ".join(f"strlen(regexp_replace(txt, '[^{regex[1:-2]}]', '', 'g')) AS {name}" for name, regex in (
+        (n, r.replace("'", "''")) for n, r in rules.CLASSES.items()))
+    named = " + ".join(rules.CLASSES)
+    sums = ", ".join(f"sum({n}) AS {n}" for n in rules.SHARES)
+    chars = " + ".join(JS.format(p=f"(c.{n} / c.bytes)", q=f"(r.{n} / r.bytes)") for n in rules.SHARES)
+    return f"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS txt, {WORDS} AS w FROM documents),
+c AS (
+  SELECT *, bytes - chars AS wide, chars - word_chars AS blanks, word_chars - ({named}) AS rest FROM (
+    SELECT doc_id, lang, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, strlen(txt) AS bytes,
+           length(txt) AS chars, {counted} FROM t)),
+line AS (SELECT doc_id, unnest(string_split(txt, chr(10))) AS line FROM t),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM line
+        WHERE regexp_matches(line, '[^' || substr('{GAP}', 2)) GROUP BY doc_id),
+place AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t),
+gram AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM place),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM gram, (SELECT unnest([0, 1, 2]) AS k)
+        WHERE times > 1 GROUP BY doc_id),
+word AS (SELECT doc_id, lang, unnest(w) AS word FROM t),
+known AS (SELECT lang, word, count(*) AS n FROM word WHERE lang IS NOT NULL GROUP BY lang, word),
+top AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS share FROM known
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {rules.COMMON}),
+ref AS (SELECT lang, sum(share) AS all_share FROM top GROUP BY lang),
+own AS (SELECT doc_id, word, count(*) AS n FROM word GROUP BY doc_id, word),
+seen AS (
+  SELECT doc_id, top.lang, sum({JS.format(p='(n / n_words)', q='share')} - share / 2) AS seen, sum(n / n_words) AS p
+  FROM own JOIN c USING (doc_id) JOIN top USING (word) GROUP BY doc_id, top.lang),
+wd AS (
+  SELECT doc_id, min(sqrt(least(greatest(coalesce(seen, 0) + all_share / 2
+      + {JS.format(p='greatest(1 - coalesce(p, 0), 0)', q='(1 - all_share)')}, 0), 1))) AS word_distance
+  FROM c CROSS JOIN ref LEFT JOIN seen USING (doc_id) WHERE (seen.lang = ref.lang OR seen.lang IS NULL) GROUP BY doc_id),
+lone AS (
+  SELECT c.doc_id, min(sqrt(least(greatest(all_share / 2 + {JS.format(p='1.0', q='(1 - all_share)')}, 0), 1))) AS word_distance
+  FROM c CROSS JOIN ref LEFT JOIN seen ON seen.doc_id = c.doc_id AND seen.lang = ref.lang WHERE seen.lang IS NULL
+  GROUP BY c.doc_id),
+shares AS (SELECT lang, sum(bytes) AS bytes, {sums} FROM c WHERE lang IS NOT NULL GROUP BY lang),
+cd AS (SELECT doc_id, min(sqrt(least(greatest({chars}, 0), 1))) AS char_distance FROM c CROSS JOIN shares r GROUP BY doc_id),
+v AS (
+  SELECT c.doc_id, n_words, word_chars, symbols AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CASE WHEN bytes >= {rules.MIN_CHARS} THEN char_distance END AS char_distance,
+         CASE WHEN n_words >= {rules.MIN_WORDS} THEN least(wd.word_distance, lone.word_distance) END AS word_distance
+  FROM c LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cd USING (doc_id)
+  LEFT JOIN wd USING (doc_id) LEFT JOIN lone USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(char_distance <= {rules.MAX_CHAR_DISTANCE}, true)
+         AND coalesce(word_distance <= {rules.MAX_WORD_DISTANCE}, true) AS kept,
+       round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v)"""
+
+
 ORACLES: dict[str, str] = {
+    "op9_divergence_rules": _quality_sql(),
     "op6_extendible_shards": f"""
 WITH bits AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
