@@ -65,7 +65,7 @@ def _run(narrow: DataFrame, config, what: str, covariance: bool, hot_rows, emit)
         return out
     starts = slices.settle(
         hot,
-        lambda df: _fold(df, config, "end", covariance, None),
+        lambda df: _fold(df, config, "end", covariance, None, split.hot_rows),
         F.array(*[F.lit(float(v)) for v in steps.ekf_start(config)]),
         lambda df: _guess(df, config),
     )
@@ -73,7 +73,7 @@ def _run(narrow: DataFrame, config, what: str, covariance: bool, hot_rows, emit)
         last = Window.partitionBy("vehicle").orderBy(F.desc("slice"))
         starts = starts.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
         hot = hot.join(starts.select(*slices.KEYS), slices.KEYS, "left_semi")
-    return out.unionByName(_fold(slices.with_starts(hot, starts), config, what, covariance, emit))
+    return out.unionByName(_fold(slices.with_starts(hot, starts), config, what, covariance, emit, split.hot_rows))
 
 
 def _guess(hot: DataFrame, config: EkfConfig) -> DataFrame:

@@ -24,11 +24,12 @@ BROADCAST_VEHICLES = 100_000
 
 @dataclass(frozen=True)
 class Split:
-    """Rows of usual vehicles, sliced rows of hot vehicles (or None), and how many rows in all."""
+    """Rows of usual vehicles, sliced rows of hot vehicles (or None), how many rows in all and hot."""
 
     usual: DataFrame
     hot: DataFrame | None
     rows: int | None
+    hot_rows: int | None = None
 
 
 def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFrame | None = None) -> Split:
@@ -57,7 +58,7 @@ def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFr
     )
     # range bounds come from sampling, so the slices are written down before they are used;
     # a slice is one task's output and becomes one folder
-    return Split(usual, cut(hot, "slice"), total)
+    return Split(usual, cut(hot, "slice"), total, theirs)
 
 
 class Ordered:

@@ -67,12 +67,12 @@ def _run(narrow: DataFrame, config: SlamConfig, what: str, hot_rows) -> DataFram
         return out
     # a map forgets nothing, so slices are run one after the other, each from a stored state
     first = F.array(*[F.lit(float(v)) for v in steps.SlamState.first(config).pack()])
-    starts = slices.settle(hot, lambda df: _fold(df, config, "end"), first)
+    starts = slices.settle(hot, lambda df: _fold(df, config, "end", split.hot_rows), first)
     if what == "map":
         last = Window.partitionBy("vehicle").orderBy(F.desc("slice"))
         starts = starts.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
         hot = hot.join(starts.select(*slices.KEYS), slices.KEYS, "left_semi")
-    return out.unionByName(_fold(slices.with_starts(hot, starts), config, what))
+    return out.unionByName(_fold(slices.with_starts(hot, starts), config, what, split.hot_rows))
 
 
 def _fold(rows: DataFrame, config: SlamConfig, what: str, total: int | None = None) -> DataFrame:

@@ -25,15 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     A local session without that setting gets a folder of its own, once. A cluster session
-    without it is refused: a machine-local folder would be lost with its machine.
+    without it is refused: a machine-local folder would be lost with its machine. A path without
+    a scheme is refused there too, as each machine may take it for another place; ``file:`` is
+    taken at its word, for a folder that all machines mount.
     """
+    context = spark.sparkContext
+    cluster = not context.master.startswith("local")
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        if cluster and ":" not in named:
+            raise ValueError("give spark.checkpoint.dir with its scheme, such as hdfs: or file:")
         return named.rstrip("/")
-    context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if cluster:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="trackfold-"))
         current = context.getCheckpointDir()
