@@ -10,13 +10,13 @@ unseen words are one outcome. Emissions are smoothed by ``MU`` tokens of the bas
 so they sum to one over the same outcomes as the base model does. Training sequences are
 stretches of up to ``STRETCH`` tokens, so that many advance together.
 
-How it is spread: a task turns its documents into blocks of numbered tokens, one file each in the
+How it is spread: a task turns its documents into blocks of numbered tokens, a file each in the
 shared folder, and a list of the block's distinct words. Words are dealt into buckets by hash;
 each bucket counts its words and holds their expected counts per state as one small matrix. In a
 round, every block asks the buckets for the rows of its own words, computes forward and backward
-over its file and sends expected counts back to the buckets, where they are added up. Only class
+over its files and sends expected counts back to the buckets, where they are added up. Only class
 counts, transitions and sums per state (about a thousand numbers) meet in the driver; words,
-counts and emissions never do. A block's file is named by the row of the task attempt that Spark
+counts and emissions never do. A block's files are named by rows of the task attempts that Spark
 committed.
 
 A null or blank text is its end token alone. A null id is given to a training document. Rows that
@@ -53,11 +53,13 @@ CLASSES = 1 + 2 * SUFFIXES  # unseen; seen once by suffix; seen up to OWN - 1 ti
 BLOCK_BYTES = 32 << 20
 BUCKETS = 64
 TOGETHER = 8192
+SUMS = CLASSES * STATES + STATES * STATES + STATES
 END = b""
 
-REQUEST = "block string, file string, bucket int, size bigint, words binary, local binary, counts binary"
+REQUEST = "block string, file string, bucket int, words binary, local binary, counts binary"
 ANSWER = "block string, file string, bucket int, slots int, local binary, row binary, c binary"
-GATHERED = ANSWER + ", part binary"
+ASK = "block string, file string, words string, bucket int, slots int, row binary"
+GATHERED = ASK + ", part binary"
 
 
 @dataclass(frozen=True)
@@ -130,11 +132,11 @@ def _blocks(rows: DataFrame, path: str) -> DataFrame:
                 own = order[edges[b] : edges[b + 1]]
                 if len(own):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([block]), pa.array([file]), pa.array([b], pa.int32()), pa.array([len(words)], pa.int64()),
+                        pa.array([block]), pa.array([file]), pa.array([b], pa.int32()),
                         pa.array([b"\n".join(words[n] for n in own)], pa.binary()),
                         pa.array([own.astype(np.uint32).tobytes()], pa.binary()),
                         pa.array([counts[own].tobytes()], pa.binary())],
-                        names=["block", "file", "bucket", "size", "words", "local", "counts"])
+                        names=["block", "file", "bucket", "words", "local", "counts"])
 
         for batch in batches:
             for doc_id, train, text in zip(
@@ -272,10 +274,48 @@ def _summed(rows: DataFrame, column: str, length: int) -> np.ndarray:
     return out
 
 
+def _asks(answers: DataFrame, path: str) -> DataFrame:
+    """Keep what a block knows of its words in a file of its own; what it asks for in every round.
+
+    The file has, in the order of the block's numbers, the row of each word in the block's matrix
+    (classes first, then own words bucket by bucket) and its training count. Asked for are the
+    bucket rows of own words: one row per bucket, or an empty one for a block without such words.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        attempt = TaskContext.get().taskAttemptId()
+        names = [f.split()[0] for f in ASK.split(", ")]
+        for rows in _by_block(batches):
+            block, file = rows[0][0], rows[0][1]
+            local = [np.frombuffer(r[4], np.uint32) for r in rows]
+            at, c = np.zeros(sum(map(len, local)), np.int32), np.zeros(sum(map(len, local)), np.int64)
+            first, asked = CLASSES, []
+            for r, numbers in zip(rows, local):
+                row = np.frombuffer(r[5], np.int32)
+                own = row >= 0
+                c[numbers] = np.frombuffer(r[6], np.int64)
+                at[numbers[~own]] = -1 - row[~own]
+                at[numbers[own]] = first + np.arange(own.sum())
+                first += int(own.sum())
+                if own.any():
+                    asked.append((r[2], r[3], row[own].tobytes()))
+            name = f"{path}/{block}-words-{attempt}.parquet"
+            fs, place = pa.fs.FileSystem.from_uri(name)
+            fs.create_dir(place.rpartition("/")[0], recursive=True)
+            pq.write_table(pa.table({"at": at, "c": c}), place, filesystem=fs, compression="zstd", use_dictionary=False)
+            for bucket, slots, row in asked or [(rows[0][2], rows[0][3], b"")]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([v], t) for v, t in zip((block, file, name, bucket, slots, row), GATHERED_TYPES)], names=names)
+
+    rows = answers.repartition("block").sortWithinPartitions("block", "bucket")
+    return rows.mapInArrow(write, ASK)
+
+
 # --- one round ----------------------------------------------------------------------------------
 
-def _gather(answers: DataFrame, matrices: DataFrame) -> DataFrame:
-    """The answers with the matrix rows of their own words, in order of the answer, by block."""
+def _gather(asks: DataFrame, matrices: DataFrame) -> DataFrame:
+    """The asked rows of the buckets' matrices, by block and bucket."""
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = None
         for batch in batches:
@@ -284,42 +324,53 @@ def _gather(answers: DataFrame, matrices: DataFrame) -> DataFrame:
                     matrix = np.frombuffer(held, np.float32).reshape(-1, STATES)
                     continue
                 row = np.frombuffer(rest[5], np.int32)
-                own = row[row >= 0]
-                part = matrix[own].tobytes() if len(own) else b""
+                part = matrix[row].tobytes() if len(row) else b""
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], t) for v, t in zip([*rest, part], GATHERED_TYPES)], names=GATHERED_NAMES)
 
-    names = [f.split()[0] for f in ANSWER.split(", ")]
-    asked = answers.select(F.lit(1).alias("kind"), *names, F.lit(None).cast("binary").alias("matrix"))
+    names = [f.split()[0] for f in ASK.split(", ")]
+    asked = asks.select(F.lit(1).alias("kind"), *names, F.lit(None).cast("binary").alias("matrix"))
     head = matrices.select(F.lit(0).alias("kind"), "bucket", "matrix")
     rows = head.unionByName(asked, allowMissingColumns=True).select("kind", *names, "matrix")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(pick, GATHERED)
-    return rows.repartition("block").sortWithinPartitions("block")
+    return rows.repartition("block").sortWithinPartitions("block", "bucket")
 
 
-GATHERED_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+GATHERED_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 GATHERED_NAMES = [f.split()[0] for f in GATHERED.split(", ")]
 
 
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each block, from rows sorted by block; holds one block's at a time."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _read(file: str) -> pa.Table:
+    fs, at = pa.fs.FileSystem.from_uri(file)
+    return pq.read_table(at, filesystem=fs).combine_chunks()
+
+
 class Block:
     """A block's tokens with everything its words need: emission rows, counts, base probabilities."""
 
     def __init__(self, rows: list[tuple], model: Model):
-        local = [np.frombuffer(r[4], np.uint32) for r in rows]
-        row = [np.frombuffer(r[5], np.int32) for r in rows]
-        size = sum(map(len, local))
-        self.c = np.zeros(size, np.int64)
-        self.at = np.zeros(size, np.int64)  # row in self.counts: classes first, then own words
-        parts, first = [model.class_counts], CLASSES
-        self.buckets = []
-        for r, l, w in zip(rows, local, row):
-            own = w >= 0
-            self.c[l] = np.frombuffer(r[6], np.int64)
-            self.at[l[~own]] = -1 - w[~own]
-            self.at[l[own]] = first + np.arange(own.sum())
-            parts.append(np.frombuffer(r[7], np.float32).reshape(-1, STATES))
-            self.buckets.append((r[2], r[3], w[own], first, first + int(own.sum())))
-            first += int(own.sum())
+        words = _read(rows[0][2])
+        self.at, self.c = words.column("at").to_numpy().astype(np.int64), words.column("c").to_numpy()
+        parts, self.buckets = [model.class_counts], []
+        first = CLASSES
+        for r in rows:
+            own = np.frombuffer(r[5], np.int32)
+            parts.append(np.frombuffer(r[6], np.float32).reshape(-1, STATES))
+            self.buckets.append((r[3], r[4], own, first, first + len(own)))
+            first += len(own)
         base = np.concatenate([model.class_base, np.zeros(first - CLASSES)])
         own = self.at >= CLASSES
         base[self.at[own]] = model.base(self.c[own])
@@ -327,11 +378,10 @@ class Block:
         # a rare word's part of its class does not depend on the state
         self.log_base = np.log10(model.base(self.c))
         self.log_part = np.where(own, 0.0, self.log_base - np.log10(np.maximum(base[self.at], 1e-300)))
-        fs, at = pa.fs.FileSystem.from_uri(rows[0][1])
-        table = pq.read_table(at, filesystem=fs, memory_map=False).combine_chunks()
+        table = _read(rows[0][1])
         self.ids = table.column("doc_id")
         self.train = table.column("train").to_numpy()
-        tokens = table.column("tokens").chunk(0) if table.num_rows else None
+        tokens = table.column("tokens").chunk(0)
         self.first = tokens.offsets.to_numpy()[:-1]
         self.length = np.diff(tokens.offsets.to_numpy())
         self.tokens = tokens.values.to_numpy()
@@ -409,19 +459,6 @@ def log_likelihoods(
     return out
 
 
-def _by_block(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[Block]:
-    """Blocks from rows sorted by block; holds the rows of one block at a time."""
-    rows: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[0] != rows[0][0]:
-                yield Block(rows, model)
-                rows = []
-            rows.append(row)
-    if rows:
-        yield Block(rows, model)
-
-
 def _expect(gathered: DataFrame, model: Model) -> DataFrame:
     """Expected counts of all blocks: a row per block and bucket, and each task's sums (bucket -1)."""
     shared = gathered.sparkSession.sparkContext.broadcast(model)
@@ -432,7 +469,7 @@ def _expect(gathered: DataFrame, model: Model) -> DataFrame:
         row = lambda bucket, slots, at, counts: pa.RecordBatch.from_arrays(
             [pa.array([bucket], pa.int32()), pa.array([slots], pa.int32()), pa.array([at.tobytes()], pa.binary()),
              pa.array([counts.tobytes()], pa.binary())], names=["bucket", "slots", "row", "counts"])
-        for block in _by_block(batches, model):
+        for block in (Block(rows, model) for rows in _by_block(batches)):
             begin, length = stretches(block.first[block.train], block.length[block.train])
             if not len(begin):
                 continue
@@ -448,47 +485,45 @@ def _expect(gathered: DataFrame, model: Model) -> DataFrame:
 
 
 def _add_up(expected: DataFrame) -> DataFrame:
-    """The buckets' new matrices: expected counts of all blocks summed per bucket."""
+    """The buckets' new matrices: expected counts of all blocks summed per bucket.
+
+    The tasks' sums come out as the totals of bucket -1.
+    """
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, matrix = None, None
 
         def close() -> pa.RecordBatch:
+            held, totals = (b"", matrix) if now < 0 else (matrix.astype(np.float32).tobytes(), matrix.sum(axis=0))
             return pa.RecordBatch.from_arrays(
-                [pa.array([now], pa.int32()), pa.array([matrix.astype(np.float32).tobytes()], pa.binary()),
-                 pa.array([matrix.sum(axis=0).tolist()], pa.list_(pa.float64()))], names=["bucket", "matrix", "totals"])
+                [pa.array([now], pa.int32()), pa.array([held], pa.binary()),
+                 pa.array([totals.tolist()], pa.list_(pa.float64()))], names=["bucket", "matrix", "totals"])
 
         for batch in batches:
             for bucket, slots, row, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now:
                     if now is not None:
                         yield close()
-                    now, matrix = bucket, np.zeros((slots, STATES))
-                matrix[np.frombuffer(row, np.int32)] += np.frombuffer(counts, np.float32).reshape(-1, STATES)
+                    now, matrix = bucket, np.zeros((slots, STATES) if bucket >= 0 else SUMS)
+                if bucket < 0:
+                    matrix += np.frombuffer(counts)
+                else:
+                    matrix[np.frombuffer(row, np.int32)] += np.frombuffer(counts, np.float32).reshape(-1, STATES)
         if now is not None:
             yield close()
 
-    rows = expected.filter("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket")
+    rows = expected.repartition("bucket").sortWithinPartitions("bucket")
     return rows.mapInArrow(add, "bucket int, matrix binary, totals array<double>")
 
 
-def _reestimate(model: Model, expected: DataFrame, matrices: DataFrame) -> Model:
+def _reestimate(model: Model, added: DataFrame) -> Model:
     """The next model from the tasks' sums of class counts, transitions and first states."""
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for held in batch.column(0).to_pylist():
-                part = np.frombuffer(held)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
-
-    sums = _summed(expected.filter("bucket = -1").select("counts").mapInArrow(unpack, "sums array<double>"), "sums",
-                   CLASSES * STATES + STATES * STATES + STATES)
+    sums = _summed(added.filter("bucket = -1"), "totals", SUMS)
     classes = sums[: CLASSES * STATES].reshape(CLASSES, STATES)
     moves = sums[CLASSES * STATES : -STATES].reshape(STATES, STATES) + 1
     firsts = sums[-STATES:] + 1
     return replace(
-        model, class_counts=classes, state_totals=_summed(matrices, "totals", STATES) + classes.sum(axis=0),
+        model, class_counts=classes,
+        state_totals=_summed(added.filter("bucket >= 0"), "totals", STATES) + classes.sum(axis=0),
         transitions=moves / moves.sum(axis=1, keepdims=True), first=firsts / firsts.sum())
 
 
@@ -497,7 +532,7 @@ def _score(gathered: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for block in _by_block(batches, model):
+        for block in (Block(rows, model) for rows in _by_block(batches)):
             sums = lambda values: np.add.reduceat(values[block.tokens], block.first)
             score = log_likelihoods(
                 block.at[block.tokens], block.first, block.length, block.emission, model.transitions, model.first)
@@ -524,10 +559,9 @@ def score_documents(
         F.col(text_col).alias("text"))
     requests = cut(_blocks(rows, path))
     vocabulary = cut(_count_words(requests))
-    answers = cut(_answers(requests, vocabulary))
+    asks = cut(_asks(_answers(requests, vocabulary), path))
     matrices, model = _start(vocabulary)
     for _ in range(rounds):
-        expected = cut(_expect(_gather(answers, matrices), model))
-        matrices = cut(_add_up(expected))
-        model = _reestimate(model, expected, matrices)
-    return _score(_gather(answers, matrices), model)
+        added = cut(_add_up(_expect(_gather(asks, matrices), model)))
+        matrices, model = added.filter("bucket >= 0"), _reestimate(model, added)
+    return _score(_gather(asks, matrices), model)
