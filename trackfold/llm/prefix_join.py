@@ -15,8 +15,8 @@ Two documents link when ``100 * common >= percent * union``.
    component, and the step is repeated with other hubs while it joins anything and long lists are
    left. Large groups of near copies go away in this step without their pairs being made.
 5. Then all pairs of lists that are not in one component yet are made, and those that share
-   enough shingles and could still overlap enough by the position of their first common one are
-   compared in full. Nothing is capped: step 4 only saves pairs whose answer is known.
+   enough shingles and could still overlap enough by their sizes and the position of their first
+   common one are compared in full. Nothing is capped: step 4 only saves pairs whose answer is known.
 6. Components by alternating large and small stars over the links, a table per round.
 
 A null, blank or empty text has no shingles and is linked with nothing. Rows with the same words
@@ -136,8 +136,9 @@ def choose_matches(partners: np.ndarray, n: int, percent: int) -> int:
 
     ``partners`` are estimates for the shingles in order. A prefix costs an entry per shingle and
     one per partner; what shares ``m`` of them falls with the square of ``m`` and is compared.
+    The prefix looked at is the one that counts for partners of the same size.
     """
-    base = n - needed(n, percent)
+    base = n + (-2 * percent * n // (100 + percent))
     m = np.arange(1, min(MOST_MATCHES, needed(n, percent)) + 1)
     size = base + m
     met = np.cumsum(partners[: size[-1]])[size - 1]
@@ -151,11 +152,11 @@ def texts_with_prefixes(
     """Per row: ``doc_id, digest`` of the words, ``n`` shingles, ``matches`` and the ``prefix``."""
     load = float(counts.sum(dtype=np.float64)) / len(counts)
     noise = load + 2 * load**0.5
-    shared = docs.sparkSession.sparkContext.broadcast(np.maximum(counts - noise, 0).astype(np.float32))
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
     mask = np.uint64(len(counts) - 1)
 
     def cut_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, excess = WordHashes(), shared.value
+        hashes, counts = WordHashes(), shared.value
         for batch in batches:
             rows = []
             for text in text_bytes(batch.column(1)):
@@ -166,9 +167,9 @@ def texts_with_prefixes(
                 if not n:
                     rows.append((digest, 0, 0, b""))
                     continue
-                common = excess[(y & mask).astype(np.int64)]
+                common = counts[(y & mask).astype(np.int64)]
                 order = np.lexsort((y, common))
-                m = choose_matches(common[order] + CHANCE, n, percent)
+                m = choose_matches(np.maximum(common[order] - noise, 0) + CHANCE, n, percent)
                 rows.append((digest, n, m, y[order[: n - needed(n, percent) + m]].tobytes()))
             if rows:
                 digest, n, m, prefix = zip(*rows)
@@ -180,20 +181,27 @@ def texts_with_prefixes(
     return rows.mapInArrow(cut_prefix, TEXTS_DDL)
 
 
-def posting_lists(texts: DataFrame) -> DataFrame:
-    """Entries of prefixes that at least two texts have: ``token, id, n, matches, copies, at``."""
+def posting_lists(texts: DataFrame, percent: int) -> DataFrame:
+    """Entries of prefixes that at least two texts have: ``token, id, n, matches, copies, at, lone``.
+
+    ``lone`` counts the text's earlier shingles that no other prefix has. A text that shares this
+    entry cannot have them: in its order they would come before it, so in its prefix. Entries
+    with too many of these are left out. They travel as four numbers.
+    """
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = 500
             for begin in range(0, batch.num_rows, size):
                 part = batch.slice(begin, size)
+                ids, n, matches, copies = (part.column(c).to_numpy() for c in range(4))
                 tokens = [np.frombuffer(p, np.int64) for p in part.column(4).to_pylist()]
                 many = np.array([len(t) for t in tokens])
-                each = [pa.array(np.repeat(part.column(c).to_numpy(), many)) for c in range(4)]
                 at = np.concatenate([np.arange(m) for m in many])
+                place = np.repeat(n.astype(np.int64) << 32, many) | at
+                weight = np.repeat(copies.astype(np.int64) << 8 | matches, many)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), *each, pa.array(at, pa.int64())],
-                    names=["token", "id", "n", "matches", "copies", "at"])
+                    [pa.array(np.concatenate(tokens)), pa.array(np.repeat(ids, many)), pa.array(place), pa.array(weight)],
+                    names=["token", "id", "place", "weight"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows whose token is that of the row before or after; the last row waits for the next batch."""
@@ -210,9 +218,14 @@ def posting_lists(texts: DataFrame) -> DataFrame:
         if waiting is not None and before is not None and waiting.column(0)[0].as_py() == before:
             yield waiting
 
-    ddl = "token bigint, id bigint, n bigint, matches int, copies bigint, at bigint"
-    rows = texts.select("id", "n", "matches", "copies", "prefix")
-    return rows.mapInArrow(spread, ddl).repartition("token").sortWithinPartitions("token").mapInArrow(shared, ddl)
+    ddl = "token bigint, id bigint, place bigint, weight bigint"
+    rows = texts.select("id", "n", "matches", "copies", "prefix").mapInArrow(spread, ddl)
+    rows = cut(rows.repartition("token").sortWithinPartitions("token").mapInArrow(shared, ddl)).selectExpr(
+        "token", "id", "shiftright(place, 32) AS n", "cast(weight & 255 AS int) AS matches",
+        "shiftright(weight, 8) AS copies", "place & 4294967295L AS at")
+    shared_before = F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1
+    rows = rows.withColumn("lone", (F.col("at") - shared_before).cast("bigint"))
+    return rows.filter(f"100 * (n - lone) >= {percent} * n")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,38 +261,40 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _possible(left: str, right: str, percent: int) -> str:
-    """Two entries of one list that can belong to linked texts and count for the smaller ``m``."""
+    """Two entries of one list that can belong to linked texts and count for the smaller ``m``.
+
+    Linked texts have at least ``common`` shingles in common, and none of either's lone ones. So
+    ``m`` of them are among the first ``n - common + m`` of either: the sizes of the two allow a
+    shorter prefix than the one a text takes for all its partners.
+    """
     m = f"least({left}.matches, {right}.matches)"
-    inside = " AND ".join(
-        f"{x}.at < {x}.n - ceil({percent} * {x}.n / 100) + {m}" for x in (left, right))
-    return (f"{left}.component <> {right}.component AND {inside} "
-            f"AND 100 * least({left}.n, {right}.n) >= {percent} * greatest({left}.n, {right}.n)")
+    common = f"ceil({percent} * ({left}.n + {right}.n) / {100 + percent})"
+    inside = " AND ".join(f"{x}.at < {x}.n - {common} + {m} AND {x}.n - {x}.lone >= {common}" for x in (left, right))
+    return f"{left}.component <> {right}.component AND {inside}"
+
+
+def _pair_columns(x: str, y: str, percent: int) -> list[str]:
+    """Two entries as one pair, smaller id first; ``reach``: whether it may overlap enough from here on."""
+    rest = f"least({x}.n - {x}.at, {y}.n - {y}.at)"
+    return [
+        f"least({x}.id, {y}.id) AS a", f"greatest({x}.id, {y}.id) AS b",
+        f"least({x}.matches, {y}.matches) AS m",
+        f"{100 + percent} * {rest} >= {percent} * ({x}.n + {y}.n) AS reach"]
 
 
-def _candidates(pairs: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Pairs worth comparing, from ``a, b`` with sizes, matches and positions per common shingle.
+def _candidates(pairs: DataFrame, whole: bool) -> DataFrame:
+    """Pairs worth comparing, from an entry per common shingle.
 
-    Where ``whole``, all common shingles of the pair's prefixes are there and are counted.
+    Where ``whole``, all common shingles of the pair's prefixes are there: there have to be ``m``.
+    What two texts have in common is what follows their first common shingle, at most.
     """
     found = pairs.groupBy("a", "b").agg(
-        F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("m").alias("m"),
-        F.count(F.lit(1)).alias("common"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
+        F.max("m").alias("m"), F.count(F.lit(1)).alias("common"), F.max("reach").alias("reach"))
     if whole:
-        overlap = F.least(F.col("na") - F.col("at_a"), F.col("nb") - F.col("at_b"))
-        found = found.filter("common >= m").filter(
-            overlap * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+        found = found.filter("reach AND common >= m")
     return found.select("a", "b")
 
 
-def _pair_columns(x: str, y: str) -> list[str]:
-    """Two entries as one pair, smaller id first."""
-    first = lambda name: f"if({x}.id < {y}.id, {x}.{name}, {y}.{name})"
-    second = lambda name: f"if({x}.id < {y}.id, {y}.{name}, {x}.{name})"
-    return [
-        f"{first('id')} AS a", f"{second('id')} AS b", f"{first('n')} AS na", f"{second('n')} AS nb",
-        f"least({x}.matches, {y}.matches) AS m", f"{first('at')} AS at_a", f"{second('at')} AS at_b"]
-
-
 def _compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs that link, by their whole sets. Only texts that are in a pair are read again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_wanted")).distinct()
@@ -313,18 +328,20 @@ def _compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col
 def _hub_pairs(lists: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
     """Pairs of each long list's hub with its other texts, one entry per common shingle.
 
-    The hub is the text with most copies at first, later one by chance, so other pairs turn up.
+    The hub is at first the text with the fewest lone shingles, as the middle of a group of near
+    copies has, later one by chance, so other pairs turn up.
     """
     rows = _labelled(lists, labels)
-    rank = F.struct(F.col("copies") if turn == 0 else F.lit(0), F.xxhash64("id", F.lit(turn)), F.col("id"))
-    entry = F.struct("id", "n", "matches", "component", "at")
+    central = (-F.col("lone"), F.col("copies")) if turn == 0 else ()
+    rank = F.struct(*central, F.xxhash64("id", F.lit(turn)), F.col("id"))
+    entry = F.struct("id", "n", "matches", "component", "at", "lone")
     hubs = rows.groupBy("token").agg(
         F.count(F.lit(1)).alias("long"), F.min("component").alias("least"), F.max("component").alias("most"),
         F.max(F.struct(rank.alias("rank"), entry.alias("hub"))).alias("best"))
     hubs = hubs.filter((F.col("long") > SMALL) & (F.col("least") < F.col("most"))).select(
         F.col("token").alias("_token"), F.col("best.hub.*"))
     return rows.alias("x").join(hubs.alias("y"), F.expr("x.token = y._token AND " + _possible("x", "y", percent))).selectExpr(
-        *_pair_columns("x", "y"))
+        *_pair_columns("x", "y", percent))
 
 
 def _all_pairs(lists: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
@@ -334,7 +351,7 @@ def _all_pairs(lists: DataFrame, labels: DataFrame | None, percent: int) -> Data
         open_lists = open_lists.filter("least < most").select("token")
         rows = cut(rows.join(open_lists, "token", "left_semi"))
     both = F.expr("x.token = y.token AND x.id < y.id AND " + _possible("x", "y", percent))
-    return rows.alias("x").join(rows.alias("y"), both).selectExpr(*_pair_columns("x", "y"))
+    return rows.alias("x").join(rows.alias("y"), both).selectExpr(*_pair_columns("x", "y", percent))
 
 
 def _long_lists(lists: DataFrame, labels: DataFrame | None) -> int:
@@ -356,12 +373,12 @@ def similar_documents(
         F.count(F.lit(1)).alias("copies"), F.first("prefix").alias("prefix"))
     # an id that repeats has several texts: the texts of one id are joined by it
     names = cut(texts.select("digest", "id"))
-    lists = cut(posting_lists(cut(texts.filter("id is not null and n > 0"))))
+    lists = cut(posting_lists(cut(texts.filter("id is not null and n > 0")), percent))
 
     links, labels, turn = None, None, 0
     left = _long_lists(lists, labels)
     while left:
-        pairs = cut(_candidates(_hub_pairs(lists, labels, turn, percent), percent, whole=False))
+        pairs = cut(_candidates(_hub_pairs(lists, labels, turn, percent), whole=False))
         found = cut(_compare(pairs, docs, width, percent, id_col, text_col))
         links = found if links is None else cut(links.unionByName(found))
         labels = components(links)
@@ -369,7 +386,7 @@ def similar_documents(
         # other hubs help as long as they take a good part of the long lists away
         if left > before // 2:
             break
-    pairs = cut(_candidates(_all_pairs(lists, labels, percent), percent, whole=True))
+    pairs = cut(_candidates(_all_pairs(lists, labels, percent), whole=True))
     found = cut(_compare(pairs, docs, width, percent, id_col, text_col))
     labels = components(found if links is None else cut(links.unionByName(found)))
     named = names.join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left").select(
