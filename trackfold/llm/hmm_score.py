@@ -51,8 +51,8 @@ SUFFIXES = 64
 STAY = 0.9
 CLASSES = 1 + 2 * SUFFIXES  # unseen; seen once by suffix; seen up to OWN - 1 times by suffix
 BLOCK_BYTES = 32 << 20
-BUCKETS = 64
-TOGETHER = 8192
+BUCKETS = (64, 4096)
+TOGETHER = 4096
 SUMS = CLASSES * STATES + STATES * STATES + STATES
 END = b""
 
@@ -102,7 +102,7 @@ class Numbers(dict):
         return number
 
 
-def _blocks(rows: DataFrame, path: str) -> DataFrame:
+def _blocks(rows: DataFrame, path: str, buckets: int) -> DataFrame:
     """Write blocks of ``doc_id, train, text`` as numbered tokens; what each asks of each bucket."""
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -125,10 +125,10 @@ def _blocks(rows: DataFrame, path: str) -> DataFrame:
             counts = np.bincount(
                 flat[np.repeat(np.array(flags, bool), lengths)], minlength=len(numbers)).astype(np.int64)
             words = list(numbers)
-            bucket = np.fromiter((xxhash.xxh32_intdigest(w) % BUCKETS for w in words), np.int64, len(words))
+            bucket = np.fromiter((xxhash.xxh32_intdigest(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-            for b in range(BUCKETS):
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            for b in range(buckets):
                 own = order[edges[b] : edges[b + 1]]
                 if len(own):
                     yield pa.RecordBatch.from_arrays([
@@ -424,14 +424,15 @@ def expected_counts(
             scales.append(scale)
             seen.append(now)
         beta = np.ones((states, alive[-1]), np.float32)
-        gammas = [alphas[-1]]
+        gammas = [alphas.pop()]
         for t in range(len(alive) - 2, -1, -1):
             n = alive[t + 1]
             ahead = emission.take(seen[t + 1], axis=1) * beta / scales[t + 1]
-            pairs += alphas[t][:, :n] @ ahead.T
+            alpha = alphas.pop()
+            pairs += alpha[:, :n] @ ahead.T
             beta = np.ones((states, alive[t]), np.float32)
             beta[:, :n] = moves32 @ ahead
-            gammas.append(alphas[t] * beta)
+            gammas.append(alpha * beta)
         firsts += gammas[-1].sum(axis=1)
         where = np.concatenate(seen[::-1])
         for k in range(states):
@@ -557,7 +558,9 @@ def score_documents(
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"),
         F.col(text_col).alias("text"))
-    requests = cut(_blocks(rows, path))
+    # words per bucket stay about the same while the table grows
+    buckets = int(np.clip(2 * rows.rdd.getNumPartitions(), *BUCKETS))
+    requests = cut(_blocks(rows, path, buckets))
     vocabulary = cut(_count_words(requests))
     asks = cut(_asks(_answers(requests, vocabulary), path))
     matrices, model = _start(vocabulary)
