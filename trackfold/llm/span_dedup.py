@@ -27,7 +27,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackfold.llm.base import bounded
 from trackfold.session import cut
 
 RUN = 2
@@ -92,10 +91,12 @@ def sentence_runs(docs: DataFrame, run: int, min_words: int, id_col: str, text_c
 def repeated_runs(found: DataFrame) -> DataFrame:
     """Runs that are not the first of their hash: ``doc_id, at, many, first_doc``."""
     twice = found.groupBy("high").count().filter("count > 1").select("high")
-    again = cut(found.join(bounded(cut(twice)), "high", "left_semi"))
+    # tables on both sides, so that a run that very many documents have can be split in the joins
+    again = cut(found.join(cut(twice), "high", "left_semi"))
     firsts = again.groupBy("high", "low").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1").select(
         F.col("high").alias("_high"), F.col("low").alias("_low"), "first")
+    firsts = cut(firsts)
     own = F.struct("doc_id", "at").eqNullSafe(F.col("first"))
     return (
         again.join(firsts, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
@@ -113,7 +114,7 @@ def without_repeats(
     spans = repeated_runs(found).groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set(F.struct("at", "many")).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(bounded(cut(spans), rows=20_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
         "doc_id", "text", F.col("spans.at").alias("at"), F.col("spans.many").alias("many"), "first_docs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
