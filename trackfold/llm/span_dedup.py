@@ -1,24 +1,34 @@
-"""Substring dedup by sliding runs of sentences.
-
-A text is cut into sentences: behind ``. ! ? , ; :`` and at line ends, and where a lower-case
-word is followed by a capitalised one, so that a passage pasted into the middle of a sentence
-still begins a sentence of its own. Clauses count as sentences, so that one long sentence can
-repeat too. From every sentence a run goes on until it has ``run`` sentences and ``min_words``
-words; its 128-bit hash is over its words in lower case (A-Z), whatever the white space.
+"""Substring dedup by sliding runs of pieces.
+
+A text is cut into pieces between words. It is cut behind a word that ends in ``. ! ? , ; :``,
+and, so that a long stretch without such words is several pieces too, at content-defined places:
+of any ``WINDOW`` gaps between words in a row one is cut, a gap behind punctuation or else the
+one with the least hash of the two words beside it (all of them if equal). These cuts depend on
+nothing but the words near by in lower case (A-Z), so texts that share a passage share its cuts
+from at most ``WINDOW`` words inside its edges on. It is also cut at line ends and where a
+lower-case word is followed by a capitalised one, so that a passage pasted into the middle of a
+sentence still begins a piece of its own.
+
+From every piece a run goes on, and up to every piece a run comes from before, to the nearest
+cut of the first kind (or the edge of the text) that gives it ``run`` pieces and ``min_words``
+words; its 128-bit hash is over its words in lower case, whatever the white space. Thus every
+piece of a repeated passage that lies between two cuts ``min_words`` apart is in a repeated run,
+and of any repeated passage of ``min_words + 2 * WINDOW`` words only less than a window at each
+edge can stay, where the passage begins or ends inside a piece.
 
 Runs are joined globally. Counting takes one half of the hash and combines on the map side; only
 runs whose half occurs twice go on, with the whole hash. The first run of a hash, by smallest id
-and then position, stays; sentences covered by any other run of it are removed.
+and then position, stays; pieces covered by any other run of it are removed.
 
-A null or empty text has no sentences and comes back as empty text. A text shorter than one run
-has no run and is left alone. Rows with the same id count as one document: equal rows keep or
-lose the same sentences. A null id comes before all others. A document that repeats an earlier
-one whole comes back empty. Empty table: empty result. Other columns are not looked at.
+A null or empty text has no pieces and comes back as empty text. A text shorter than one run is
+one run as a whole, so it goes only where an earlier text is the same. Rows with the same id
+count as one document: equal rows keep or lose the same pieces. A null id comes before all
+others. A document that repeats an earlier one whole comes back empty. Empty table: empty
+result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,33 +41,105 @@ from trackfold.session import cut
 
 RUN = 2
 MIN_WORDS = 24
-BREAK = re.compile(r"((?<=[.!?,;:])[\x20\t-\r]+|[\x20\t-\r]*\n[\x20\t-\r]*|(?<=[a-zß-ÿ])[\x20\t]+(?=[A-ZÀ-Þ]))")
+WINDOW = 13
+STOPS = np.isin(np.arange(256), list(b".!?,;:"))
+WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+POWERS = np.random.Generator(np.random.PCG64(4)).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 RUNS_DDL = "high bigint, low bigint, doc_id bigint, at int, many int"
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(32))
+
+
+def _over_window(pick: np.ufunc, values: np.ndarray) -> np.ndarray:
+    """``pick`` of every ``WINDOW`` values in a row."""
+    width = 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        values = pick(values[:-step], values[step:])
+        width += step
+    return values
+
+
+def _chosen(ranks: np.ndarray) -> np.ndarray:
+    """Which ranks are the least of any ``WINDOW`` in a row."""
+    if len(ranks) < WINDOW:
+        return np.zeros(len(ranks), bool)
+    padded = np.zeros(len(ranks) + WINDOW - 1, np.uint64)
+    padded[WINDOW - 1:len(ranks)] = _over_window(np.minimum, ranks)
+    return _over_window(np.maximum, padded) == ranks
+
+
+def _cuts(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words in lower case with a blank behind each, where each begins there and in ``data``, and
+    per gap between words whether it is cut by its words, and whether it is cut at all."""
+    spoken = b" ".join([*data.lower().split(), b""])
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(WHITE[raw], prepend=True, append=True))
+    begins, ends = edges[0::2], edges[1::2]
+    sizes = ends - begins + 1
+    at = np.cumsum(sizes) - sizes
+    if len(begins) < 2:
+        none = np.zeros(0, bool)
+        return spoken, at, begins, none, none
+    place = np.arange(len(spoken)) - np.repeat(at, sizes)
+    letters = np.frombuffer(spoken, np.uint8).astype(np.uint64)
+    hashes = _mixed(np.add.reduceat(letters * POWERS[place & 255], at))
+    ranks = _mixed(hashes[:-1] * np.uint64(3) + hashes[1:]) | np.uint64(1)
+    last, first = raw[ends[:-1] - 1], raw[begins[1:]]
+    stops = STOPS[last]
+    ranks[stops] = 0
+    fixed = stops | _chosen(ranks)
+    breaks = np.concatenate([[0], np.cumsum((raw >= 10) & (raw <= 13))])
+    lines = np.concatenate([[0], np.cumsum(raw == 10)])
+    within = lambda sums: sums[begins[1:]] > sums[ends[:-1]]
+    # a-z and the letters from sharp s on; A-Z and those up to capital thorn
+    lead = (ends[:-1] - begins[:-1] > 1) & (raw[ends[:-1] - 2] == 0xC3)
+    lower = ((last >= 97) & (last <= 122)) | (lead & (last >= 0x9F) & (last <= 0xBF))
+    second = raw[np.minimum(begins[1:] + 1, len(raw) - 1)]
+    upper = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+    return spoken, at, begins, fixed, fixed | within(lines) | (lower & upper & ~within(breaks))
+
+
 def sentences(text: str) -> tuple[list[str], list[str]]:
-    """Sentences, and the white space behind each (none behind the last)."""
-    parts = BREAK.split(text)
-    return parts[0::2], [*parts[1::2], ""]
+    """Pieces, and the white space behind each (none behind the last)."""
+    data = text.encode("utf-8", "replace")
+    _, _, begins, _, cuts = _cuts(data)
+    edges = [0, *begins[1:][cuts].tolist(), len(data)]
+    parts, gaps = [], []
+    for low, high in zip(edges, edges[1:]):
+        part = data[low:high]
+        bare = part if high == len(data) else part.rstrip(b" \t\n\v\f\r")
+        parts.append(bare.decode())
+        gaps.append(part[len(bare):].decode())
+    return parts, gaps
 
 
 def runs(text: str, run: int, min_words: int) -> list[tuple[bytes, int, int]]:
-    """Hash, first sentence and number of sentences of every run; sentences without words are passed over."""
-    found, _ = sentences(text)
-    spoken = [(n, b" ".join(w)) for n, s in enumerate(found) if (w := s.encode("utf-8", "replace").lower().split())]
-    counts = [w.count(b" ") + 1 for _, w in spoken]
-    out, end, held = [], 0, 0
-    for begin in range(len(spoken)):
-        while end < len(spoken) and (end - begin < run or held < min_words):
-            held += counts[end]
-            end += 1
-        if end - begin < run or held < min_words:
-            break
-        first = spoken[begin][0]
-        key = xxhash.xxh3_128_digest(b"\n".join(w for _, w in spoken[begin:end]))
-        out.append((key, first, spoken[end - 1][0] - first + 1))
-        held -= counts[begin]
-    return out
+    """Hash, first piece and number of pieces of every run."""
+    spoken, at, _, fixed, cuts = _cuts(text.encode("utf-8", "replace"))
+    n = len(at)
+    if not n:
+        return []
+    inner = np.flatnonzero(cuts) + 1
+    begins, ends = np.concatenate([[0], inner]), np.concatenate([inner, [n]])
+    inner = np.flatnonzero(fixed) + 1
+    sources, goals = np.concatenate([[0], inner]), np.concatenate([inner, [n]])
+    on = np.maximum(np.searchsorted(goals, begins + min_words), np.searchsorted(goals, begins, "right") + run - 1)
+    back = np.minimum(np.searchsorted(sources, ends - min_words, "right") - 1, np.searchsorted(sources, ends) - run)
+    on_ok, back_ok = on < len(goals), back >= 0
+    low = np.concatenate([begins[on_ok], sources[back[back_ok]]])
+    high = np.concatenate([goals[on[on_ok]], ends[back_ok]])
+    pairs = np.unique(low * (n + 1) + high) if len(low) else np.array([n])
+    low, high = np.divmod(pairs, n + 1)
+    first = np.searchsorted(begins, low)
+    many = np.searchsorted(ends, high) + 1 - first
+    at = np.append(at, len(spoken))
+    digest = xxhash.xxh3_128_digest
+    return [(digest(spoken[a:b]), f, m) for a, b, f, m in zip(
+        at[low].tolist(), at[high].tolist(), first.tolist(), many.tolist())]
 
 
 def sentence_runs(docs: DataFrame, run: int, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -123,18 +205,20 @@ def without_repeats(
                 continue
             texts, counts, removed = [], [], []
             for text, at, many in zip(*(batch.column(c).to_pylist() for c in range(1, 4))):
-                parts, gaps = sentences(text or "")
-                counts.append(sum(1 for p in parts if p.strip()))
                 if not at:
+                    _, spoken, _, _, cuts = _cuts((text or "").encode("utf-8", "replace"))
+                    counts.append(int(cuts.sum()) + (len(spoken) > 0))
                     texts.append(text or "")
                     removed.append(0)
                     continue
+                parts, gaps = sentences(text)
+                counts.append(len(parts))
                 edges = np.zeros(len(parts) + 1, np.int64)
                 np.add.at(edges, at, 1)
                 np.add.at(edges, np.add(at, many), -1)
                 gone = np.cumsum(edges)[:-1] > 0
                 texts.append("".join(p + g for p, g, x in zip(parts, gaps, gone) if not x))
-                removed.append(sum(1 for p, x in zip(parts, gone) if x and p.strip()))
+                removed.append(int(gone.sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
                  batch.column(4)], names=["doc_id", "text", "n_sentences", "n_removed", "first_docs"])
