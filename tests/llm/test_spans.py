@@ -64,3 +64,14 @@ def test_whole_copies_come_back_empty(spark):
     assert all(got[i]["text"] == text for i, text in rows if i < len(texts) - 1)
     assert [i for i, r in got.items() if i >= 100 and r["text"]] == []
     assert all(r["n_removed"] == r["n_sentences"] > 0 for i, r in got.items() if i >= 100)
+
+
+@pytest.mark.parametrize("doc", [7, None])
+def test_rows_that_share_only_the_id_are_documents_of_their_own(spark, doc):
+    passage, one, two = " ".join(prose(1, 60)), " ".join(prose(2, 60)), " ".join(prose(3, 60))
+    # the passage begins both texts of one id; the later document holds the passage and, at its place, its own text
+    rows = [(doc, f"{passage}. {one}"), (doc, f"{passage}. {two}"), (doc, " ".join(prose(4, 200))), (9, f"{passage}. end")]
+    got = [r["text"] for r in span_dedup.without_repeats(spark.createDataFrame(rows, DDL)).collect()]
+    assert sum(passage in t for t in got) == 1
+    assert sorted(sum(x in t for t in got) for x in (one, two, rows[2][1])) == [1, 1, 1]
+    assert len(got) == 4 and sum(t.endswith("end") for t in got) == 1

@@ -18,12 +18,13 @@ edge can stay, where the passage begins or ends inside a piece.
 
 Runs are joined globally. Counting takes one half of the hash and combines on the map side; only
 runs whose half occurs twice go on, with the whole hash. The first run of a hash, by smallest id
-and then position, stays; pieces covered by any other run of it are removed.
+text hash and then position, stays; pieces covered by any other run of it are removed.
 
 A null or empty text has no pieces and comes back as empty text. A text shorter than one run is
-one run as a whole, so it goes only where an earlier text is the same. Rows with the same id
-count as one document: equal rows keep or lose the same pieces. A null id comes before all
-others. A document that repeats an earlier one whole comes back empty. Empty table: empty
+one run as a whole, so it goes only where an earlier text is the same. A document is its id and
+a hash of its text: rows that share both are one document and keep or lose the same pieces; of
+rows that share the id alone the one with the smaller hash comes first. A null id comes before
+all others. A document that repeats an earlier one whole comes back empty. Empty table: empty
 result. Other columns are not looked at.
 """
 
@@ -45,7 +46,7 @@ WINDOW = 13
 STOPS = np.isin(np.arange(256), list(b".!?,;:"))
 WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 POWERS = np.random.Generator(np.random.PCG64(4)).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-RUNS_DDL = "high bigint, low bigint, doc_id bigint, at int, many int"
+RUNS_DDL = "high bigint, low bigint, doc_id bigint, mark bigint, at int, many int"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -142,47 +143,53 @@ def runs(text: str, run: int, min_words: int) -> list[tuple[bytes, int, int]]:
         at[low].tolist(), at[high].tolist(), first.tolist(), many.tolist())]
 
 
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"),
+                       F.col(text_col).cast("string").alias("text"))
+
+
 def sentence_runs(docs: DataFrame, run: int, min_words: int, id_col: str, text_col: str) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, at, many = [], [], [], []
-            owners = batch.column(0).to_pylist()
+            keys, ids, marks, at, many = [], [], [], [], []
+            owners = zip(*(batch.column(c).to_pylist() for c in range(3)))
 
             def block() -> pa.RecordBatch:
                 halves = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64()), pa.array(at, pa.int32()),
-                     pa.array(many, pa.int32())], names=["high", "low", "doc_id", "at", "many"])
+                    [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(ids, pa.int64()),
+                     pa.array(marks, pa.int64()), pa.array(at, pa.int32()), pa.array(many, pa.int32())],
+                    names=["high", "low", "doc_id", "mark", "at", "many"])
 
-            for owner, text in zip(owners, batch.column(1).to_pylist()):
+            for owner, mark, text in owners:
                 for key, first, length in runs(text or "", run, min_words):
                     keys.append(key)
                     ids.append(owner)
+                    marks.append(mark)
                     at.append(first)
                     many.append(length)
                 if len(keys) > 50_000:
                     yield block()
-                    keys, ids, at, many = [], [], [], []
+                    keys, ids, marks, at, many = [], [], [], [], []
             if keys:
                 yield block()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(spread, RUNS_DDL)
+    return _documents(docs, id_col, text_col).mapInArrow(spread, RUNS_DDL)
 
 
 def repeated_runs(found: DataFrame) -> DataFrame:
-    """Runs that are not the first of their hash: ``doc_id, at, many, first_doc``."""
+    """Runs that are not the first of their hash: ``doc_id, mark, at, many, first_doc``."""
     twice = found.groupBy("high").count().filter("count > 1").select("high")
     # tables on both sides, so that a run that very many documents have can be split in the joins
     again = cut(found.join(cut(twice), "high", "left_semi"))
     firsts = again.groupBy("high", "low").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first")).filter("n > 1").select(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "at")).alias("first")).filter("n > 1").select(
         F.col("high").alias("_high"), F.col("low").alias("_low"), "first")
     firsts = cut(firsts)
-    own = F.struct("doc_id", "at").eqNullSafe(F.col("first"))
+    own = F.struct("doc_id", "mark", "at").eqNullSafe(F.col("first"))
     return (
         again.join(firsts, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")))
-        .filter(~own).select("doc_id", "at", "many", F.col("first.doc_id").alias("first_doc")))
+        .filter(~own).select("doc_id", "mark", "at", "many", F.col("first.doc_id").alias("first_doc")))
 
 
 def without_repeats(
@@ -193,10 +200,12 @@ def without_repeats(
     ``first_docs`` are the documents that keep what is removed here, in ascending order.
     """
     found = cut(sentence_runs(docs, run, min_words, id_col, text_col))
-    spans = repeated_runs(found).groupBy(F.col("doc_id").alias("_id")).agg(
+    spans = repeated_runs(found).groupBy(
+        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
         F.collect_set(F.struct("at", "many")).alias("spans"), F.array_sort(F.collect_set("first_doc")).alias("first_docs"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(
+    rows = _documents(docs, id_col, text_col)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark"))
+    joined = rows.join(spans, same, "left").select(
         "doc_id", "text", F.col("spans.at").alias("at"), F.col("spans.many").alias("many"), "first_docs")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
