@@ -485,26 +485,29 @@ def fix_windows(spark, sf_dir):
 
 @query
 def move_stream(spark, sf_dir):
-    rows = _scan_stream(spark, sf_dir).drop("ranges")
+    rows = run.in_time_order(_scan_stream(spark, sf_dir).drop("ranges"), "move")
     return _rounded(run.drain(jobs.move_stream(rows), "move"), "x", "y", "phi")
 
 
 @query
 def objects_stream(spark, sf_dir):
-    out = run.drain(jobs.objects_stream(_scan_stream(spark, sf_dir)), "objects")
+    rows = run.in_time_order(_scan_stream(spark, sf_dir), "objects")
+    out = run.drain(jobs.objects_stream(rows), "objects")
     rows = out.select("vehicle", "seq", "phi", F.inline("objects")).drop("range", "bearing")
     return _rounded(rows, "x", "y", "diameter", "phi")
 
 
 @query
 def discrete_stream(spark, sf_dir):
-    out = run.drain(jobs.discrete_stream(_sensor_stream(spark, sf_dir)), "discrete")
+    rows = run.in_time_order(_sensor_stream(spark, sf_dir), "discrete")
+    out = run.drain(jobs.discrete_stream(rows), "discrete")
     return _rounded(out, "x", "y", "phi", "gain", "variance", digits=8)
 
 
 @query
 def ekf_stream(spark, sf_dir):
-    return _pose(run.drain(jobs.ekf_stream(_sensor_stream(spark, sf_dir), adapter.EKF), "ekf"))
+    rows = run.in_time_order(_sensor_stream(spark, sf_dir), "ekf")
+    return _pose(run.drain(jobs.ekf_stream(rows, adapter.EKF), "ekf"))
 
 
 @query
@@ -513,7 +516,7 @@ def slam_stream(spark, sf_dir):
         "vehicle", "t_ms", "seq", "kind", "speed", "steering")
     laser = _scan_stream(spark, sf_dir).select(
         "vehicle", "t_ms", "seq", "kind", F.transform("ranges", lambda r: r * 100.0).alias("ranges"))
-    both = rows.unionByName(laser, allowMissingColumns=True)
+    both = run.in_time_order(rows.unionByName(laser, allowMissingColumns=True), "slam")
     return _rounded(run.drain(jobs.slam_stream(both, adapter.SLAM), "slam"), "x", "y", "phi", digits=3)
 
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from trackfold.session import scratch_path
+from trackfold.session import cut, scratch_path
+
+# of a micro-batch in time order; a vehicle's rows within one are sorted in memory
+BATCH_ROWS = 4_000_000
 
 
 def drain(stream: DataFrame, name: str, output: str | None = None, checkpoint: str | None = None) -> DataFrame:
@@ -25,3 +29,23 @@ def drain(stream: DataFrame, name: str, output: str | None = None, checkpoint: s
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(output)
+
+
+def in_time_order(stream: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+    """The same rows as a stream whose micro-batches follow one another in ``t_ms``.
+
+    All that is available, of every source of ``stream`` and in whatever order it comes, is held
+    in a table first. It is dealt into stretches of time of about ``batch_rows`` rows, one file and
+    micro-batch each; rows of one time stay together, rows without a time come last.
+    """
+    spark = stream.sparkSession
+    held = drain(stream, f"{name}-held")
+    parts = -(-held.count() // (batch_rows or BATCH_ROWS))
+    shares = [n / parts for n in range(1, parts)]
+    bounds = sorted(set(held.approxQuantile("t_ms", shares, 0.1 / parts))) if shares else []
+    nth = sum(((F.col("t_ms") > b).cast("int") for b in bounds), F.lit(0))
+    dealt = cut(held.withColumn("_nth", F.coalesce(nth, F.lit(len(bounds)))), "_nth")
+    path = scratch_path(spark, f"{name}-ordered")
+    for n in range(len(bounds) + 1):  # one after the other: the source takes files by their age
+        dealt.filter(F.col("_nth") == n).drop("_nth").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(stream.schema).option("maxFilesPerTrigger", 1).parquet(path)
