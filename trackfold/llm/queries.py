@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfold.llm import (
+    block_rotation,
     divergence_rules,
     exact_copies,
     extendible_shards,
@@ -72,8 +73,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.taken_words(*source_mix.source_mix(documents(spark, sf_dir)))
 
 
+def op11_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_rotation.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hmm_score, op2_piece_lattice, op3_token_frames, op4_span_dedup, op5_lang_centroids, op6_extendible_shards, op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix)
+    f.__name__: f for f in (
+        op1_hmm_score, op2_piece_lattice, op3_token_frames, op4_span_dedup, op5_lang_centroids, op6_extendible_shards,
+        op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix, op11_block_rotation)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -138,6 +145,26 @@ FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 
 
 ORACLES: dict[str, str] = {
+    "op11_block_rotation": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS txt, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+         sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+d AS (
+  SELECT *, len(lines)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN txt = '' OR contains(txt, '<P>') OR contains(txt, '<S>') OR contains(txt, '<M>') THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(lines[1:a], '') AS pre, array_to_string(lines[a + 1:b], '') AS mid,
+         array_to_string(lines[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN txt WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(txt) AS restored_sha256
+FROM p""",
     "op9_divergence_rules": _quality_sql(),
     "op6_extendible_shards": f"""
 WITH bits AS (
