@@ -13,6 +13,7 @@ from trackfold.llm import (
     divergence_rules,
     exact_copies,
     extendible_shards,
+    hamming_tables,
     hmm_score,
     lang_centroids,
     piece_lattice,
@@ -77,10 +78,14 @@ def op11_block_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_rotation.digests(documents(spark, sf_dir))
 
 
+def op12_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_tables.similar_prints(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_hmm_score, op2_piece_lattice, op3_token_frames, op4_span_dedup, op5_lang_centroids, op6_extendible_shards,
-        op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix, op11_block_rotation)
+        op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix, op11_block_rotation, op12_hamming_tables)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
