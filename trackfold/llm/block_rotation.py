@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,7 +133,7 @@ def _strings(texts: list[bytes]) -> pa.Array:
 def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``SLICE_BYTES`` of the text in ``column``."""
     for batch in batches:
-        sizes = np.array(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)
+        sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
         group = np.cumsum(sizes) // SLICE_BYTES
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
         for begin, end in zip(edges, edges[1:]):

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackfold.llm import (
+    bitmask_codes,
     block_rotation,
     divergence_rules,
     exact_copies,
@@ -82,10 +83,15 @@ def op12_hamming_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_tables.similar_prints(documents(spark, sf_dir))
 
 
+def op13_bitmask_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitmask_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_hmm_score, op2_piece_lattice, op3_token_frames, op4_span_dedup, op5_lang_centroids, op6_extendible_shards,
-        op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix, op11_block_rotation, op12_hamming_tables)
+        op7_exact_copies, op8_prefix_join, op9_divergence_rules, op10_source_mix, op11_block_rotation, op12_hamming_tables,
+        op13_bitmask_codes)
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -149,7 +155,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM v)"""
 
 
+def _codes_sql() -> str:
+    """Assignment and move of the codebooks, written out round by round."""
+    rules = bitmask_codes
+    sql = f"""
+WITH raw AS (SELECT vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({rules.SCALE} * x::DOUBLE)) AS v FROM raw),
+part AS MATERIALIZED (
+  SELECT vec_id, label, p, v[p * len(v) // {rules.PARTS} + 1:(p + 1) * len(v) // {rules.PARTS}] AS x
+  FROM cut, (SELECT unnest(range({rules.PARTS})) AS p)),
+book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM part
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {rules.ENTRIES})"""
+    for n in range(rules.ROUNDS + 1):
+        sql += f""",
+near{n} AS MATERIALIZED (
+  SELECT vec_id, label, p, any_value(x) AS x,
+         min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': e}}) AS best
+  FROM part JOIN book{n} USING (p) GROUP BY vec_id, label, p)"""
+        if n < rules.ROUNDS:
+            sql += f""",
+mean{n} AS (
+  SELECT p, e, list(m ORDER BY i) AS c FROM (
+    SELECT p, best.e AS e, i, floor(sum(x[i]) / count(*)) AS m FROM near{n}, (SELECT unnest(range(1, 4097)) AS i)
+    WHERE i <= len(x) GROUP BY ALL) GROUP BY p, e),
+book{n + 1} AS MATERIALIZED (SELECT p, e, coalesce(mean{n}.c, book{n}.c) AS c FROM book{n} LEFT JOIN mean{n} USING (p, e))"""
+    last = rules.ROUNDS
+    return sql + f""",
+code AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error
+  FROM near{last} GROUP BY vec_id, label),
+sha AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(c, lambda v: v::BIGINT), ','), ',' ORDER BY p, e)) AS codebooks_sha256
+  FROM book{last})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM code, sha"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_bitmask_codes": _codes_sql(),
     "op11_block_rotation": r"""
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS txt, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
