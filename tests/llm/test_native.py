@@ -216,3 +216,10 @@ def test_mix_of_odd_rows(odd, empty):
     assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in taken)
     assert source_mix.mixed_documents(empty).count() == 0
     assert source_mix.taken_words(*source_mix.source_mix(empty)).count() == 0
+
+
+def test_copies_that_differ_in_case_under_one_id(spark):
+    rows = [(1, "Hello"), (1, "hello"), (None, "ABC"), (None, "abc"), (2, "other"), (2, "another")]
+    got = exact_copies.drop_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in got.collect()) == [
+        (0, "abc"), (1, "hello"), (2, "another"), (2, "other")]

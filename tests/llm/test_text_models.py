@@ -355,3 +355,28 @@ def test_matches_are_the_cheapest():
             assert 1 <= m <= min(prefix_join.MOST_MATCHES, prefix_join.needed(n, 90))
     assert prefix_join.choose_matches(np.zeros(300), 300, 90) == 1
     assert prefix_join.choose_matches(np.full(300, 50.0), 300, 90) > 4
+
+
+def test_encode_and_decode_in_one_pass(odd, spark):
+    two = piece_lattice.decode_documents(piece_lattice.encode_documents(odd, PIECES), PIECES)
+    one = piece_lattice.encode_documents(odd, PIECES, decode=True)
+    assert Counter(map(str, one.select(two.columns).collect())) == Counter(map(str, two.collect()))
+    # texts far longer than a slice, between others
+    long = "many words of one long text " * 120_000
+    docs = spark.createDataFrame([(1, "a b"), (2, long), (3, None), (4, "c")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in piece_lattice.encode_documents(docs, PIECES, decode=True).collect()}
+    assert got[2]["text"] == long and got[3]["text"] == "" and got[3]["ids"] == [] and got[4]["text"] == "c"
+    back = piece_lattice.decode_documents(piece_lattice.encode_documents(docs, PIECES).drop("text"), PIECES)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: r["text"] for i, r in got.items()}
+
+
+def test_a_text_is_not_dropped_for_another_of_its_id(spark):
+    text = " ".join(f"word{n}" for n in range(60))
+    near = text.replace("word59", "other")
+    rows = [(1, text), (2, text), (2, "something with nothing in common at all"), (None, text), (None, near),
+            (None, "one more text that is like no other"), (3, near), (4, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, number string").repartition(3)
+    got = prefix_join.drop_similar(docs)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(
+        [rows[0], rows[2], rows[5], rows[7], rows[8], rows[9]])

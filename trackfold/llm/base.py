@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BREAK = "[\\x20\\x09-\\x0D]+"
 # of a few numbers or a digest each: some tens of MB
 BROADCAST_ROWS = 300_000
+SLICE_BYTES = 1 << 20
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -44,6 +47,21 @@ def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterat
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of a text column, or numbers of a list column.
+
+    Handled one after the other, they bound what a worker holds, however large Spark's batches are.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        lengths = np.array(length(values).fill_null(0), np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1), batch.num_rows]
+        for begin, end in zip(edges, edges[1:]):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+
+
 def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint if it has few rows; as it is, to be shuffled, beyond that."""
     return F.broadcast(side) if side.count() <= rows else side

@@ -13,7 +13,7 @@ it already, or is empty, is left as it is, so a sentinel in an output is always
 begins with ``<`` and has no other, so none can come about where two parts meet.
 
 Only this text is held while a task works on it, plus its bytearray. Batches are handed on in
-slices of about ``SLICE_BYTES``, so what a worker holds does not hang on the size of an Arrow batch.
+slices of about a megabyte, so what a worker holds does not hang on the size of an Arrow batch.
 
 Nulls: a null text is an empty one. A null id is cut by the hash of the word ``null``, so all rows
 without an id are cut at the same shares. Repeated rows are cut alike. An empty table gives an
@@ -29,12 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+from trackfold.llm.base import slices
+
 SWAP_BYTES = 1 << 16
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 ADDED = T.StructType([
@@ -130,17 +130,6 @@ def _strings(texts: list[bytes]) -> pa.Array:
     return pa.array(texts, pa.binary()).view(pa.string())
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE_BYTES`` of the text in ``column``."""
-    for batch in batches:
-        sizes = np.array(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
-        group = np.cumsum(sizes) // SLICE_BYTES
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]
-        for begin, end in zip(edges, edges[1:]):
-            if end > begin:
-                yield batch.slice(begin, end - begin)
-
-
 def fill_in_middle(
     docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", check: bool = False,
 ) -> DataFrame:

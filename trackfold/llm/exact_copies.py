@@ -81,11 +81,15 @@ def drop_copies(
 ) -> DataFrame:
     """The documents that stay, with all their columns as they are.
 
-    Rows that share id and text are one document: any one of them stays.
+    Rows that share an id (or have none) and whose texts are equal are one document: any one of them stays.
     """
     found = cut(exact_copies(docs, id_col, text_col, normalise, salts).select("doc_id", "keep_id", "kept", "text_sha256"))
     gone = found.filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark"))
-    stay = without(docs, gone, id_col, lambda: F.sha2(normalise(F.col(text_col)), 256))
+    mark = lambda: F.sha2(normalise(F.col(text_col)), 256)
+    stay = without(docs, gone, id_col, mark)
     kept, texts = found.filter("kept").agg(
         F.count(F.lit(1)), F.count_distinct(F.struct("keep_id", "text_sha256"))).first()
-    return stay if kept == texts else stay.dropDuplicates([id_col, text_col])
+    if kept == texts:
+        return stay
+    marked = stay.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), mark().alias("_mark"))
+    return marked.dropDuplicates(["_id", "_mark"]).select("_doc.*")

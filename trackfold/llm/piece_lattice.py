@@ -37,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trackfold.llm.base import slices
+
 SPACE = "▁"
 LONG = 200
-CHUNKS_KEPT = 600_000
-CHUNKS_AT_ONCE = 100_000
+CHUNKS_KEPT = 250_000
+CHUNKS_AT_ONCE = 40_000
 BATCH_CHARS = 1 << 20
 CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*")
 
@@ -340,15 +342,32 @@ def _ids_column(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """All columns of every document with ``ids_col array<int>`` added (one of that name is replaced)."""
+def _decoded(column: pa.Array, path: str) -> pa.Array:
+    """Texts of a list column, straight from its numbers."""
+    decode = _coder(path).decode
+    values, starts = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([decode(values[a:b]) if ok else "" for a, b, ok in zip(starts, starts[1:], valid)], pa.string())
+
+
+def encode_documents(
+    docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", decode: bool = False,
+) -> DataFrame:
+    """All columns of every document with ``ids_col array<int>`` added (one of that name is replaced).
+
+    With ``decode`` the text is replaced by what the ids decode to, in the same pass: one worker a
+    task, a slice of documents at a time.
+    """
     keep = [c for c in docs.columns if c != ids_col]
+    place = keep.index(text_col)
 
     def encode(batches):
-        for batch in batches:
-            if batch.num_rows:
-                ids = _ids_column(_encoded(batch.column(keep.index(text_col)), model_path))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+        for batch in slices(batches, place):
+            ids = _ids_column(_encoded(batch.column(place), model_path))
+            columns = list(batch.columns)
+            if decode:
+                columns[place] = _decoded(ids, model_path)
+            yield pa.RecordBatch.from_arrays([*columns, ids], names=[*keep, ids_col])
 
     rows = docs.select(*keep)
     return rows.mapInArrow(encode, T.StructType([*rows.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
@@ -359,13 +378,9 @@ def decode_documents(encoded: DataFrame, model_path: str, text_col: str = "text"
     keep = [c for c in encoded.columns if c != text_col]
 
     def decode(batches):
-        for batch in batches:
-            if batch.num_rows:
-                coder, texts = _coder(model_path), []
-                for ids in batch.column(keep.index(ids_col)).to_pylist():
-                    texts.append(coder.decode(np.array(ids or [], np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+        for batch in slices(batches, keep.index(ids_col)):
+            texts = _decoded(batch.column(keep.index(ids_col)), model_path)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*keep, text_col])
 
     rows = encoded.select(*keep)
     return rows.mapInArrow(decode, T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())]))
@@ -378,17 +393,16 @@ def piece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     false only where the text has a literal ``▁``.
     """
     def digest(batches):
-        for batch in batches:
-            if batch.num_rows:
-                texts = _texts(batch.column(1))
-                ids = _encoded(batch.column(1), model_path)
-                decode = _coder(model_path).decode
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0),
-                    pa.array([len(i) for i in ids], pa.int64()),
-                    pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
-                    pa.array([decode(i) == t for i, t in zip(ids, texts)], pa.bool_()),
-                ], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
+        for batch in slices(batches, 1):
+            texts = _texts(batch.column(1))
+            ids = _encoded(batch.column(1), model_path)
+            decode = _coder(model_path).decode
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0),
+                pa.array([len(i) for i in ids], pa.int64()),
+                pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64()),
+                pa.array([decode(i) == t for i, t in zip(ids, texts)], pa.bool_()),
+            ], names=["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(digest, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, round_trip boolean")

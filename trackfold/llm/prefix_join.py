@@ -397,11 +397,24 @@ def similar_documents(
 
 
 def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays, the one that names it; all columns as they are.
+    """One document of each component stays, the one with the smallest id; all columns as they are.
 
-    Documents without words or without id are linked with nothing and stay.
+    Documents without words are linked with nothing and stay. Where ids repeat or are missing, links
+    and removal go by row instead, so a text is not dropped for another one of its id: of a component
+    one row stays, the one of the smallest id, null being the largest.
     """
-    found = similar_documents(docs, width, percent, id_col, text_col)
-    gone = found.filter("n_shingles > 0 and doc_id <> component_id").select(
-        F.col("doc_id").alias("id"), F.lit(0).alias("mark"))
-    return without(docs, cut(gone), id_col, lambda: F.lit(0))
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+    if rows == ids:
+        found = similar_documents(docs, width, percent, id_col, text_col)
+        gone = found.filter("n_shingles > 0 and doc_id <> component_id").select(
+            F.col("doc_id").alias("id"), F.lit(0).alias("mark"))
+        return without(docs, cut(gone), id_col, lambda: F.lit(0))
+    held = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("number")))
+    numbered = held.select("number", F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"))
+    found = cut(similar_documents(numbered, width, percent, "number", "text").filter("n_shingles > 0"))
+    named = numbered.select("number", "id").join(found, F.col("number") == F.col("doc_id"))
+    stay = named.groupBy("component_id").agg(
+        F.min_by("number", F.struct(F.col("id").isNull(), F.col("id"), F.col("number"))).alias("stays"))
+    gone = named.join(stay, "component_id").filter("number <> stays").select(
+        F.col("number").alias("id"), F.lit(0).alias("mark"))
+    return without(held, cut(gone), "number", lambda: F.lit(0)).select("doc.*")
