@@ -24,7 +24,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, the smallest id."""
+    """Of documents linked by a Jaccard similarity of 0.8 over five-word shingles, one stays: the smallest id."""
     return prefix_join.drop_similar(docs)
 
 
@@ -36,9 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their number; the text is what the ids decode to."""
     model = public_tokenizers.path(MODEL)
-    encoded = piece_lattice.encode_documents(docs, model)
-    decoded = piece_lattice.decode_documents(encoded, model)
-    return decoded.withColumn("n_tokens", F.size("ids").cast("bigint"))
+    encoded = piece_lattice.encode_documents(docs, model, decode=True)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("bigint"))
 
 
 STAGES = [
