@@ -122,32 +122,33 @@ place AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t),
 gram AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS times FROM place),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM gram, (SELECT unnest([0, 1, 2]) AS k)
         WHERE times > 1 GROUP BY doc_id),
-word AS (SELECT doc_id, lang, unnest(w) AS word FROM t),
+plain AS (
+  SELECT doc_id, lang, list_filter(string_split_regex(' ' || translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz') || ' ', '{rules.APART}'), lambda x: x <> '') AS pw FROM t),
+word AS (SELECT doc_id, lang, len(pw) AS n_plain, unnest(pw) AS word FROM plain),
 known AS (SELECT lang, word, count(*) AS n FROM word WHERE lang IS NOT NULL GROUP BY lang, word),
+langs AS (SELECT lang FROM known GROUP BY lang HAVING sum(n) >= {rules.MIN_SHARE} * (SELECT sum(n) FROM known)),
 top AS (SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS share FROM known
         QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= {rules.COMMON}),
-ref AS (SELECT lang, sum(share) AS all_share FROM top GROUP BY lang),
-own AS (SELECT doc_id, word, count(*) AS n FROM word GROUP BY doc_id, word),
+ref AS (SELECT lang, sum(share) AS all_share FROM top JOIN langs USING (lang) GROUP BY lang),
+own AS (SELECT doc_id, word, any_value(n_plain) AS n_plain, count(*) AS n FROM word GROUP BY doc_id, word),
 seen AS (
-  SELECT doc_id, top.lang, sum({JS.format(p='(n / n_words)', q='share')} - share / 2) AS seen, sum(n / n_words) AS p
-  FROM own JOIN c USING (doc_id) JOIN top USING (word) GROUP BY doc_id, top.lang),
+  SELECT doc_id, top.lang, sum({JS.format(p='(n / n_plain)', q='share')} - share / 2) AS seen, sum(n / n_plain) AS p
+  FROM own JOIN top USING (word) GROUP BY doc_id, top.lang),
 wd AS (
-  SELECT doc_id, min(sqrt(least(greatest(coalesce(seen, 0) + all_share / 2
-      + {JS.format(p='greatest(1 - coalesce(p, 0), 0)', q='(1 - all_share)')}, 0), 1))) AS word_distance
-  FROM c CROSS JOIN ref LEFT JOIN seen USING (doc_id) WHERE (seen.lang = ref.lang OR seen.lang IS NULL) GROUP BY doc_id),
-lone AS (
-  SELECT c.doc_id, min(sqrt(least(greatest(all_share / 2 + {JS.format(p='1.0', q='(1 - all_share)')}, 0), 1))) AS word_distance
-  FROM c CROSS JOIN ref LEFT JOIN seen ON seen.doc_id = c.doc_id AND seen.lang = ref.lang WHERE seen.lang IS NULL
-  GROUP BY c.doc_id),
-shares AS (SELECT lang, sum(bytes) AS bytes, {sums} FROM c WHERE lang IS NOT NULL GROUP BY lang),
+  SELECT doc_id, min(sqrt(least(greatest(seen + all_share / 2 + {JS.format(p='greatest(1 - p, 0)', q='(1 - all_share)')}, 0), 1))
+    / sqrt(all_share / 2 + {JS.format(p='1.0', q='(1 - all_share)')})) AS near
+  FROM seen JOIN ref USING (lang) GROUP BY doc_id),
+shares AS (SELECT lang, sum(bytes) AS bytes, {sums} FROM c JOIN langs USING (lang) GROUP BY lang),
 cd AS (SELECT doc_id, min(sqrt(least(greatest({chars}, 0), 1))) AS char_distance FROM c CROSS JOIN shares r GROUP BY doc_id),
 v AS (
   SELECT c.doc_id, n_words, word_chars, symbols AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
-         CASE WHEN bytes >= {rules.MIN_CHARS} THEN char_distance END AS char_distance,
-         CASE WHEN n_words >= {rules.MIN_WORDS} THEN least(wd.word_distance, lone.word_distance) END AS word_distance
+         CASE WHEN bytes >= {rules.MIN_CHARS} AND judged THEN char_distance END AS char_distance,
+         CASE WHEN n_words >= {rules.MIN_WORDS} AND judged THEN least(coalesce(near, 1), 1) END AS word_distance
   FROM c LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN cd USING (doc_id)
-  LEFT JOIN wd USING (doc_id) LEFT JOIN lone USING (doc_id))
+  LEFT JOIN wd USING (doc_id)
+  LEFT JOIN (SELECT doc_id, lang IS NULL OR lang IN (FROM langs) AS judged FROM documents) USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(char_distance <= {rules.MAX_CHAR_DISTANCE}, true)
          AND coalesce(word_distance <= {rules.MAX_WORD_DISTANCE}, true) AS kept,
