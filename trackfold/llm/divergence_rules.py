@@ -56,22 +56,24 @@ def plain_words(text: Column) -> Column:
 def with_repeats(docs: DataFrame) -> DataFrame:
     """Add ``n_repeat_words`` from the words ``w``: words in a 3-word window found twice or more.
 
-    Hashes of the windows tell whether any two may be the same. Only then windows are compared, as
-    text, sorted, each with its neighbours. The sum takes each word once where windows overlap.
+    Hashes of the windows tell which may be the same. Only these are compared, as text, sorted, each with
+    its neighbours. The sum takes each word once where windows overlap.
     """
     at = lambda i: [F.get(F.col("w"), i + k) for k in range(3)]
-    places = F.sequence(F.lit(0), F.size("w") - 3)
-    docs = docs.withColumn("hashes", F.when(F.size("w") > 3, F.transform(places, lambda i: F.xxhash64(*at(i)))))
-    placed = F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", *at(i)).alias("g"), i.alias("i"))))
-    docs = docs.withColumn(
-        "placed", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), placed)
-        .otherwise(F.array().cast("array<struct<g:string,i:int>>")))
-    gram_at = lambda k: F.get(F.col("placed"), k)["g"]
-    twice = F.filter("placed", lambda x, k: (x["g"] == gram_at(k + 1)) | (x["g"] == gram_at(k - 1)))
+    beside = lambda column, x, k, name: (
+        (x[name] == F.get(F.col(column), k + 1)[name]) | (x[name] == F.get(F.col(column), k - 1)[name]))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(*at(i)))
+    docs = docs.withColumn("hashes", F.when(F.size("w") > 3, hashes))
+    places = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    docs = docs.withColumn("places", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), places))
+    alike = F.filter("places", lambda x, k: beside("places", x, k, "h"))
+    placed = F.sort_array(F.transform(alike, lambda x: F.struct(F.concat_ws(" ", *at(x["i"])).alias("g"), x["i"].alias("i"))))
+    docs = docs.withColumn("placed", F.coalesce(placed, F.array().cast("array<struct<g:string,i:int>>")))
+    twice = F.filter("placed", lambda x, k: beside("placed", x, k, "g"))
     docs = docs.withColumn("hits", F.array_sort(F.transform(twice, lambda x: x["i"])))
     new_words = F.transform("hits", lambda i, k: F.least(F.lit(3), F.coalesce(F.get(F.col("hits"), k + 1) - i, F.lit(3))))
     count = F.aggregate(new_words, F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return docs.withColumn("n_repeat_words", count).drop("hashes", "placed", "hits")
+    return docs.withColumn("n_repeat_words", count).drop("hashes", "places", "placed", "hits")
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str, common: int, min_share: float) -> DataFrame:
