@@ -28,11 +28,11 @@ BLOCK_ROWS = 131_072
 LOCKSTEP_ROWS = 16
 
 
-def ekf_input(rows: DataFrame) -> DataFrame:
-    """The few numbers per row the filter needs; other sensors' rows are left behind."""
+def ekf_input(rows: DataFrame, *also: str) -> DataFrame:
+    """The few numbers per row the filter needs, and columns ``also``; other sensors' rows are left behind."""
     odo = F.col("kind") == "odo"
     return rows.filter(F.col("kind").isin("odo", "gps")).select(
-        "vehicle", "t_ms", "seq",
+        "vehicle", "t_ms", "seq", *also,
         F.when(odo, ODO).otherwise(GPS).cast("tinyint").alias("code"),
         F.when(odo, F.col("speed")).otherwise(F.col("gps_x")).alias("m0"),
         F.when(odo, F.col("steering")).otherwise(F.col("gps_y")).alias("m1"),

@@ -19,13 +19,13 @@ from trackfold.schema import RAW_SCAN, ScanConfig, SlamConfig
 ODO, LASER = 0, 1
 
 
-def slam_input(rows: DataFrame, scan: ScanConfig = RAW_SCAN, cleaned: bool = False) -> DataFrame:
-    """Odometry numbers, and of each scan only distance and angle of its objects.
+def slam_input(rows: DataFrame, scan: ScanConfig = RAW_SCAN, cleaned: bool = False, *also: str) -> DataFrame:
+    """Odometry numbers, and of each scan only distance and angle of its objects; also the columns ``also``.
 
     Cutting the scan into objects does not need the pose, so it runs before the rows move. Only
     scans pass through it: the two kinds are read apart, each with the columns it needs.
     """
-    keys = ("vehicle", "t_ms", "seq")
+    keys = ("vehicle", "t_ms", "seq", *also)
     none = F.lit(None).cast("array<double>")
     odometry = rows.filter(F.col("kind") == "odo").select(
         *keys, F.lit(ODO).cast("tinyint").alias("code"),

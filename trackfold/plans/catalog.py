@@ -483,31 +483,52 @@ def fix_windows(spark, sf_dir):
     return windows.fix_windows(adapter.sensors(spark, sf_dir))
 
 
+# no row of these tables is further behind the newest of its files than this
+TABLE_DELAY = "1 hour"
+
+
+def _drained(spark, name: str, job: Callable, *sources: tuple[DataFrame, str]) -> DataFrame:
+    """What the job makes of the whole recording, in event time, and no row late."""
+    end = run.end_mark(spark, name)
+    rows = [jobs.timed(run.with_end(source, end, kind), TABLE_DELAY) for source, kind in sources]
+    both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1], allowMissingColumns=True)
+    return jobs.on_time(run.drain(job(both), name, end=end))
+
+
 @query
 def move_stream(spark, sf_dir):
-    rows = run.in_time_order(_scan_stream(spark, sf_dir).drop("ranges"), "move")
-    return _rounded(run.drain(jobs.move_stream(rows), "move"), "x", "y", "phi")
+    rows = _scan_stream(spark, sf_dir).drop("ranges")
+    return _rounded(_drained(spark, "move", jobs.move_stream, (rows, "laser")), "x", "y", "phi")
 
 
 @query
 def objects_stream(spark, sf_dir):
-    rows = run.in_time_order(_scan_stream(spark, sf_dir), "objects")
-    out = run.drain(jobs.objects_stream(rows), "objects")
+    out = _drained(spark, "objects", jobs.objects_stream, (_scan_stream(spark, sf_dir), "laser"))
     rows = out.select("vehicle", "seq", "phi", F.inline("objects")).drop("range", "bearing")
     return _rounded(rows, "x", "y", "diameter", "phi")
 
 
 @query
 def discrete_stream(spark, sf_dir):
-    rows = run.in_time_order(_sensor_stream(spark, sf_dir), "discrete")
-    out = run.drain(jobs.discrete_stream(rows), "discrete")
+    out = _drained(spark, "discrete", jobs.discrete_stream, (_sensor_stream(spark, sf_dir), "odo"))
     return _rounded(out, "x", "y", "phi", "gain", "variance", digits=8)
 
 
 @query
 def ekf_stream(spark, sf_dir):
-    rows = run.in_time_order(_sensor_stream(spark, sf_dir), "ekf")
-    return _pose(run.drain(jobs.ekf_stream(rows, adapter.EKF), "ekf"))
+    job = lambda rows: jobs.ekf_stream(rows, adapter.EKF)
+    return _pose(_drained(spark, "ekf", job, (_sensor_stream(spark, sf_dir), "odo")))
+
+
+@query
+def ekf_text_stream(spark, sf_dir):
+    """Text files as recorded, parsed and tracked while they arrive."""
+    path = scratch_path(spark, "arriving")
+    lines = adapter.tagged_lines(adapter.sensors(spark, sf_dir)).orderBy("seq")
+    lines.select("value").write.text(path)
+    rows = recordings.accepted(recordings.tagged(recordings.stream_lines(spark, path, max_files=4)))
+    job = lambda rows: jobs.ekf_stream(rows, adapter.EKF)
+    return _pose(_drained(spark, "ekf-text", job, (rows, "odo")).drop("seq"))
 
 
 @query
@@ -516,8 +537,8 @@ def slam_stream(spark, sf_dir):
         "vehicle", "t_ms", "seq", "kind", "speed", "steering")
     laser = _scan_stream(spark, sf_dir).select(
         "vehicle", "t_ms", "seq", "kind", F.transform("ranges", lambda r: r * 100.0).alias("ranges"))
-    both = run.in_time_order(rows.unionByName(laser, allowMissingColumns=True), "slam")
-    return _rounded(run.drain(jobs.slam_stream(both, adapter.SLAM), "slam"), "x", "y", "phi", digits=3)
+    job = lambda rows: jobs.slam_stream(rows, adapter.SLAM)
+    return _rounded(_drained(spark, "slam", job, (rows, "odo"), (laser, "laser")), "x", "y", "phi", digits=3)
 
 
 @query

@@ -258,6 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "ekf_gps_only": _ekf_track("gps_only"),
         "ekf_pose_only": _ekf_track("pose_only"),
         "ekf_stream": _ekf_track(),
+        "ekf_text_stream": f"{_ekf()} SELECT vehicle, t_ms, step, {_POSE} FROM track",
         "export_points": f"""WITH {SENSOR} SELECT 'speed\\ of\\ car,key=' || vehicle || ' value=' || printf('%.6f', speed)
             || ' ' || t_ms AS value FROM sensor WHERE speed IS NOT NULL""",
         "export_gps_points": f"""WITH {SENSOR} SELECT 'gps,key=' || vehicle || ' latitude=' || printf('%.6f', gps_x)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,11 +33,24 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The lines of the files arriving in a folder."""
+    """The lines of the files arriving in a folder, with ``file`` and ``seq`` as ``read_lines`` gives them."""
     reader = spark.readStream.schema(LINE)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.text(path)
+    rows = reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    fields = T.StructType([*rows.schema.fields, T.StructField("line", T.LongType())])
+    counted = rows.mapInArrow(_with_line_numbers, fields)
+    return counted.select("value", "file", F.struct("file", "block", "line").alias("seq"))
+
+
+def _with_line_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spark's own row numbers are not there for streams; a task reads the lines of a block in order."""
+    seen = 0
+    for batch in batches:
+        lines = pa.array(range(seen, seen + batch.num_rows), pa.int64())
+        seen += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, lines], names=[*batch.schema.names, "line"])
 
 
 def _split(lines: DataFrame) -> DataFrame:
