@@ -264,3 +264,18 @@ def test_a_vehicle_alone_and_in_company(spark):
         alone = ekf.ekf_track(rows([(v, bad)])).collect()
         assert len(alone) == 40
         assert [repr(tuple(r)) for r in alone] == [repr(company[v, r.seq]) for r in alone]
+
+
+def test_partitions_in_order_of_time_change_nothing(spark, sf_dir, monkeypatch):
+    """Vehicles stepped side by side through stretches of time, to the last bit as one after the other."""
+    rows = adapter.sensors(spark, sf_dir)
+    unnamed = rows.filter("vehicle = 'vehicle1'").selectExpr("CAST(NULL AS string) AS vehicle", *rows.columns[1:])
+    rows = rows.unionByName(unnamed)
+    plan = ekf.ekf_track(rows, adapter.EKF)
+    want = sorted(map(repr, plan.collect())), sorted(map(repr, ekf.ekf_final(rows, adapter.EKF).collect()))
+    monkeypatch.setattr(ekf, "LONG_TRACK", 1)
+    for block in (ekf.BLOCK_ROWS, 50):
+        monkeypatch.setattr(ekf, "BLOCK_ROWS", block)
+        got = sorted(map(repr, ekf.ekf_track(rows, adapter.EKF).collect())), sorted(
+            map(repr, ekf.ekf_final(rows, adapter.EKF).collect()))
+        assert got == want

@@ -2,7 +2,8 @@
 
 Rows are moved once, by vehicle, and sorted; tasks read them as a stream of Arrow batches and
 keep one state per vehicle in work, never a whole vehicle. A batch with many vehicles is
-stepped for all of them together.
+stepped for all of them together, row by row of each. Where vehicles have many rows, a partition is
+sorted by time across its vehicles, so that its batches hold a stretch of time of all of them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ STEP_NAMES = np.array(["prediction", "update"], dtype=object)
 BLOCK_ROWS = 131_072
 # one numpy step over many vehicles costs about as much as this many single steps
 LOCKSTEP_ROWS = 16
+# rows per vehicle from which a partition goes by time: a task then has few vehicles, all in work
+LONG_TRACK = 512
 
 
 def ekf_input(rows: DataFrame, *also: str) -> DataFrame:
@@ -60,7 +63,8 @@ def ekf_final(
 def _run(narrow: DataFrame, config, what: str, covariance: bool, hot_rows, emit) -> DataFrame:
     split = split_hot(narrow, hot_rows)
     hot = split.hot
-    out = _fold(split.usual, config, what, covariance, emit, split.rows)
+    long = split.vehicles is not None and split.rows is not None and split.rows >= LONG_TRACK * split.vehicles > 0
+    out = _fold(split.usual, config, what, covariance, emit, split.rows, by_time=long)
     if hot is None:
         return out
     starts = slices.settle(
@@ -96,7 +100,7 @@ def _guess(hot: DataFrame, config: EkfConfig) -> DataFrame:
 
 
 def _fold(
-    rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit, total: int | None = None
+    rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit, total: int | None = None, by_time: bool = False,
 ) -> DataFrame:
     fields = [T.StructField("vehicle", T.StringType())]
     if what == "track":
@@ -108,18 +112,40 @@ def _fold(
     if what != "end":
         names = ("x", "y", "phi") + (COVARIANCE if covariance else ())
         fields += [T.StructField(n, T.DoubleType()) for n in names]
-    return slices.gather(rows, total).mapInArrow(_Fold(config, what, covariance, emit), T.StructType(fields))
+    fold = _Fold(config, what, covariance, emit, by_time)
+    return slices.gather(rows, total, by_time).mapInArrow(fold, T.StructType(fields))
 
 
 class _Fold:
-    """Folds a sorted stream of batches; holds the state of the run in work only."""
+    """Folds a sorted stream of batches; holds the state of the run in work only, or of all in order of time."""
 
-    def __init__(self, config: EkfConfig, what: str, covariance: bool, emit):
-        self.config, self.what = config, what
+    def __init__(self, config: EkfConfig, what: str, covariance: bool, emit, by_time: bool = False):
+        self.config, self.what, self.by_time = config, what, by_time
         self.width = 9 if covariance else 3
         self.emit = None if emit is None or len(emit) == 2 else [("prediction", "update").index(e) for e in emit]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return self._through_time(batches) if self.by_time else self._through_vehicles(batches)
+
+    def _through_time(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = {}, np.empty((len(steps.EKF_FIELDS), 0))
+        first = np.array(steps.ekf_start(self.config))[:, None]
+        for batch in _blocks(batches):
+            # a vehicle's rows next to each other, in the order they have
+            codes = batch.column("vehicle").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            batch = batch.take(pa.array(np.argsort(codes, kind="stable")))
+            starts, keys = _runs(batch)
+            at = np.array([number.setdefault(k, len(number)) for k in keys])
+            held = np.concatenate([held, np.repeat(first, len(number) - held.shape[1], axis=1)], axis=1)
+            states = held[:, at]
+            track = _step_batch(batch, starts, states, self.config)
+            held[:, at] = states
+            if self.what == "track":
+                yield self._track(batch, track)
+        if number and self.what != "track":
+            yield self._ends([(k, held[:, i]) for k, i in number.items()])
+
+    def _through_vehicles(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in _blocks(batches):
             starts, keys = _runs(batch)

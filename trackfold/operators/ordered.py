@@ -24,12 +24,13 @@ BROADCAST_VEHICLES = 100_000
 
 @dataclass(frozen=True)
 class Split:
-    """Rows of usual vehicles, sliced rows of hot vehicles (or None), how many rows in all and hot."""
+    """Rows of usual vehicles, sliced rows of hot vehicles (or None), how many rows in all and hot, how many vehicles."""
 
     usual: DataFrame
     hot: DataFrame | None
     rows: int | None
     hot_rows: int | None = None
+    vehicles: int | None = None
 
 
 def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFrame | None = None) -> Split:
@@ -45,9 +46,10 @@ def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFr
     counts = (rows if sized_by is None else sized_by).groupBy("vehicle").count()
     many = F.col("count") > hot_rows
     # at most (all rows / hot_rows) vehicles can be hot
-    total, vehicles, theirs = counts.agg(F.sum("count"), F.count_if(many), F.sum(F.when(many, F.col("count")))).first()
+    total, vehicles, theirs, fleet = counts.agg(
+        F.sum("count"), F.count_if(many), F.sum(F.when(many, F.col("count"))), F.count(F.lit(1))).first()
     if not vehicles:
-        return Split(rows, None, total)
+        return Split(rows, None, total, vehicles=fleet)
     names = cut(counts.filter(many).select("vehicle"))
     side = F.broadcast(names) if vehicles <= BROADCAST_VEHICLES else names
     usual = rows.join(side, "vehicle", "left_anti")
@@ -58,7 +60,7 @@ def split_hot(rows: DataFrame, hot_rows: int | None = HOT_ROWS, sized_by: DataFr
     )
     # range bounds come from sampling, so the slices are written down before they are used;
     # a slice is one task's output and becomes one folder
-    return Split(usual, cut(hot, "slice"), total, theirs)
+    return Split(usual, cut(hot, "slice"), total, theirs, fleet)
 
 
 class Ordered:

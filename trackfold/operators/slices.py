@@ -35,8 +35,10 @@ def with_starts(rows: DataFrame, starts: DataFrame) -> DataFrame:
     return rows.withColumn("state", F.lit(None).cast("array<double>")).unionByName(lead, allowMissingColumns=True)
 
 
-def gather(rows: DataFrame, total: int | None = None) -> DataFrame:
-    """Rows of a vehicle (or slice) together and in order, ready to be folded.
+def gather(rows: DataFrame, total: int | None = None, by_time: bool = False) -> DataFrame:
+    """Rows of a vehicle (or slice) in one partition and in order, ready to be folded.
+
+    They follow one another there, or with ``by_time`` all vehicles of the partition are in one order of time.
 
     The number of partitions is set, from the number of rows where that is known: adaptive
     execution would judge the few bytes per row and put the whole fold, which is bound by
@@ -46,7 +48,7 @@ def gather(rows: DataFrame, total: int | None = None) -> DataFrame:
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if total is not None:
         partitions = max(partitions, ceil(total / ROWS_PER_TASK))
-    return rows.repartition(partitions, *keys).sortWithinPartitions(*keys, "t_ms", "seq")
+    return rows.repartition(partitions, *keys).sortWithinPartitions(*([] if by_time else keys), "t_ms", "seq")
 
 
 def settle(
