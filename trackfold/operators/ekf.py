@@ -208,7 +208,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _runs(batch: pa.RecordBatch) -> tuple[np.ndarray, list]:
     """Positions where a vehicle (and slice) begins, and the key of each run."""
     vehicle = batch.column("vehicle")
-    codes = vehicle.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    codes = vehicle.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
     change = codes[1:] != codes[:-1]
     part = None
     if "slice" in batch.schema.names:
