@@ -245,9 +245,9 @@ def _one_run(code, t_ms, m0, m1, given, positions, run, states, track, config) -
     poses = []
     for i, c, t, a, b in rows:
         if c == ODO:
-            state = steps.ekf_predict(np, state, float(t), a, b, config)
+            state = steps.ekf_predict(steps.NUMBERS, state, float(t), a, b, config)
         elif c == GPS:
-            state = steps.ekf_update(np, state, float(t), a, b, config)
+            state = steps.ekf_update(steps.NUMBERS, state, float(t), a, b, config)
         else:
             state = tuple(given[i].tolist())
         poses.append(state[:9])
@@ -268,7 +268,7 @@ def _lockstep(code, t_ms, m0, m1, given, starts, lengths, states, track, config)
             pick = np.flatnonzero(kinds == kind)
             if len(pick):
                 here = at[pick]
-                after = step(np, tuple(work[:, pick]), t_ms[here], m0[here], m1[here], config)
+                after = step(steps.NUMBERS, tuple(work[:, pick]), t_ms[here], m0[here], m1[here], config)
                 work[:, pick] = np.array(after)
         for k in np.flatnonzero(kinds == slices.START_CODE):
             work[:, k] = given[int(at[k])]

@@ -1,8 +1,8 @@
 """One step of each sequential filter, as plain arithmetic.
 
 Batch and streaming wrappers call the same functions. The functions of the GPS filter take
-the module ``m`` to use. The wrappers give ``numpy`` for one vehicle and for many at once, so a
-vehicle's numbers do not hang on the company it is computed in.
+the module ``m`` to use. The wrappers give ``NUMBERS`` for one vehicle and for many at once, so a
+vehicle's numbers do not hang on the company it is computed in, nor on the machine.
 """
 
 from __future__ import annotations
@@ -18,6 +18,34 @@ EKF_FIELDS = ("x", "y", "phi", "p_xx", "p_xy", "p_xphi", "p_yy", "p_yphi", "p_ph
 TWO_PI = 2.0 * math.pi
 
 
+def _each(f):
+    """A function of the C library for numbers and arrays; NaN where it has no value."""
+    def safe(*values):
+        try:
+            return f(*values)
+        except ValueError:
+            return math.nan
+
+    def run(*values):
+        if not any(isinstance(v, np.ndarray) for v in values):
+            return np.float64(safe(*values))
+        arrays = np.broadcast_arrays(*values)
+        return np.fromiter(map(safe, *(a.tolist() for a in arrays)), float, arrays[0].size)
+
+    return staticmethod(run)
+
+
+class NUMBERS:
+    """numpy, but with the C library's angles.
+
+    numpy's own differ in the last bit from one kind of processor to another, and filters that no
+    fix holds back make much of it.
+    """
+
+    fmod, sqrt = np.fmod, np.sqrt
+    sin, cos, tan, atan2 = _each(math.sin), _each(math.cos), _each(math.tan), _each(math.atan2)
+
+
 def ekf_start(config: EkfConfig) -> tuple:
     s = config.start
     return (s.x, s.y, s.phi, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, float(s.t_ms))

@@ -248,7 +248,7 @@ def ekf_stream(
         with np.errstate(all="ignore"):
             for c, t, a, b in zip(code.tolist(), frame["t_ms"].tolist(), frame["m0"].tolist(), frame["m1"].tolist()):
                 step = steps.ekf_predict if c == ekf.ODO else steps.ekf_update
-                state = step(np, state, float(t), a, b, config)
+                state = step(steps.NUMBERS, state, float(t), a, b, config)
                 poses.append(state[:3])
         return state, {"step": ekf.STEP_NAMES[code], **_pose_columns(poses)}
 
