@@ -155,6 +155,112 @@ def _ekf_track(innovation: str = "position", kinds: str = "'odo', 'gps'", where:
     return f"{_ekf(innovation, kinds)} SELECT vehicle, t_ms, seq, step, {_POSE} FROM track WHERE {where}"
 
 
+def _slam(frame: str = "world", predict: str = "full") -> str:
+    """The mapping filter: one recursion step a row of odometry or an object of a scan.
+
+    The covariance is a list of rows. Objects of a scan are told apart by the map as it
+    was before the scan (``base``).
+    """
+    world = frame == "world"
+    shift_x, shift_y = ("base[1]", "base[2]") if world else ("0", "0")
+    new_x, new_y = ("ox + mean[1]", "oy + mean[2]") if world else ("ox", "oy")
+    seen_x, seen_y = ("mean[place + 1] - mean[1]", "mean[place + 2] - mean[2]") if world else ("base[place + 1]", "base[place + 2]")
+    turn = f"turn - {TWO_PI} * round_even(turn / {TWO_PI}, 0)" if world else "turn"
+    tail_x, tail_y, rest = "c1[4:]", "c2[4:]", "cov[4:]"
+    if predict == "full":
+        tail_x = "list_transform(range(4, n + 1), lambda j: c1[j] - dy * c3[j])"
+        tail_y = "list_transform(range(4, n + 1), lambda j: c2[j] + dx * c3[j])"
+        rest = "list_transform(cov[4:], lambda v: [v[1] - dy * v[3], v[2] + dx * v[3]] || v[3:])"
+    away = f"sqrt(pow(base[2 * i + 4] - (ox + {shift_x}), 2) + pow(base[2 * i + 5] - (oy + {shift_y}), 2))"
+    marks = "range((len(base) - 3) // 2)"
+    pxy = "c1[2] + dx * c1[3] - dy * c2[3] - dx * dy * c3[3]"
+    ox, oy = _beam("m1", "m0", "base[3]")
+    return f"""
+WITH RECURSIVE {SENSOR}, {SCANS}, {_segments('raw_beams', '2.0', 'parts')},
+_rows AS (
+  SELECT vehicle, t_ms, seq, 'prediction' AS step, speed AS m0, steering AS m1, -1 AS k FROM sensor WHERE kind = 'odo'
+  UNION ALL
+  SELECT s.vehicle, s.t_ms, s.seq, 'update', nearest + diameter / 2, first * 0.5::DOUBLE + degrees(width / 2), first
+  FROM scans s LEFT JOIN parts p ON p.seq = s.seq),
+_in AS MATERIALIZED (
+  SELECT *, row_number() OVER w AS nth, coalesce(lag(seq) OVER w <> seq, true) AS opens,
+         coalesce(lead(seq) OVER w <> seq, true) AS closes
+  FROM _rows WINDOW w AS (PARTITION BY vehicle ORDER BY t_ms, seq, k)),
+_slam(vehicle, nth, t_ms, mean, cov, base, track) USING KEY (vehicle) AS (
+  SELECT DISTINCT vehicle, 0::BIGINT, 0::BIGINT, [0, 0, 0]::DOUBLE[], [[0, 0, 0], [0, 0, 0], [0, 0, 0]]::DOUBLE[][],
+         [0, 0, 0]::DOUBLE[],
+         []::STRUCT(t_ms BIGINT, seq BIGINT, step VARCHAR, x DOUBLE, y DOUBLE, phi DOUBLE, landmarks INTEGER)[]
+  FROM _in
+  UNION ALL
+  SELECT vehicle, nth, t_ms, after, cov, base,
+    CASE WHEN closes THEN list_append(track, {{'t_ms': t_ms, 'seq': seq, 'step': step, 'x': after[1], 'y': after[2],
+      'phi': after[3], 'landmarks': ((len(after) - 3) // 2)::INTEGER}}) ELSE track END
+  FROM (
+    SELECT * EXCLUDE (cov),
+      CASE WHEN step = 'prediction' THEN [mean[1] + dx, mean[2] + dy, mean[3] + dphi] || mean[4:]
+           WHEN place IS NULL THEN mean
+           ELSE list_transform(range(1, n + 1), lambda i: mean[i] + g0[i] * miss + g1[i] * ({turn})) END AS after,
+      CASE WHEN step = 'prediction' THEN [
+             [c1[1] - 2 * dy * c1[3] + dy * dy * c3[3] + 0.5::DOUBLE, {pxy}, c1[3] - dy * c3[3]] || {tail_x},
+             [{pxy}, c2[2] + 2 * dx * c2[3] + dx * dx * c3[3] + 0.5::DOUBLE, c2[3] + dx * c3[3]] || {tail_y},
+             [c1[3] - dy * c3[3], c2[3] + dx * c3[3], c3[3] + 0.5::DOUBLE] || c3[4:]] || {rest}
+           WHEN place IS NULL THEN cov
+           ELSE list_transform(cov[:wide], lambda v, i: list_transform(v, lambda c, j: c - (w0[i] * g0[j] + w1[i] * g1[j])))
+           END AS cov
+    FROM (
+      SELECT *, list_transform(range(1, wide + 1), lambda i: (w0[i] * sc - w1[i] * sb) / (sa * sc - sb * sb)) AS g0,
+             list_transform(range(1, wide + 1), lambda i: (w1[i] * sa - w0[i] * sb) / (sa * sc - sb * sb)) AS g1
+      FROM (
+        SELECT *, orange - r AS miss, bearing - (atan2(sy, sx) - mean[3]) AS turn,
+          (sx * (w0[place + 1] - w0[1]) + sy * (w0[place + 2] - w0[2])) / r + 0.01::DOUBLE AS sa,
+          (sx * (w1[place + 1] - w1[1]) + sy * (w1[place + 2] - w1[2])) / r AS sb,
+          (sx * (w1[place + 2] - w1[2]) - sy * (w1[place + 1] - w1[1])) / q - w1[3] + 0.01::DOUBLE AS sc
+        FROM (
+          SELECT *, list_transform(range(1, wide + 1), lambda i: (sx * (cp[i] - c1[i]) + sy * (cq[i] - c2[i])) / r) AS w0,
+                    list_transform(range(1, wide + 1), lambda i: (sx * (cq[i] - c2[i]) - sy * (cp[i] - c1[i])) / q - c3[i]) AS w1
+          FROM (
+            SELECT *, len(mean) AS n, CASE WHEN place IS NULL THEN 0 ELSE len(mean) END AS wide,
+                   sx * sx + sy * sy AS q, sqrt(sx * sx + sy * sy) AS r,
+                   cov[1] AS c1, cov[2] AS c2, cov[3] AS c3, cov[place + 1] AS cp, cov[place + 2] AS cq
+            FROM (
+              SELECT * EXCLUDE (mean, cov), CASE WHEN fresh THEN ox ELSE {seen_x} END AS sx,
+                CASE WHEN fresh THEN oy ELSE {seen_y} END AS sy,
+                CASE WHEN fresh THEN mean || [{new_x}, {new_y}] ELSE mean END AS mean,
+                CASE WHEN fresh THEN list_transform(cov, lambda v: v || [0, 0]::DOUBLE[]) || [
+                  list_resize([]::DOUBLE[], place, 0) || [1000000, 0]::DOUBLE[],
+                  list_resize([]::DOUBLE[], place, 0) || [0, 1000000]::DOUBLE[]] ELSE cov END AS cov
+              FROM (
+                SELECT *, sqrt(ox * ox + oy * oy) AS orange, atan2(oy, ox) - base[3] AS bearing,
+                  ox IS NOT NULL AND hit IS NULL AND NOT close AS fresh,
+                  CASE WHEN hit IS NOT NULL THEN 2 * hit + 1 WHEN ox IS NOT NULL AND NOT close THEN len(mean) END AS place
+                FROM (
+                  SELECT *, list_position(list_transform({marks}, lambda i: {away} < 0.4::DOUBLE), true) AS hit,
+                    list_contains(list_transform({marks}, lambda i: {away} > 0.4::DOUBLE AND {away} < 2), true) AS close,
+                    dt * (speed - rate * {B}) * cos(wrapped) - dt * rate * {A} * sin(wrapped) AS dx,
+                    dt * (speed - rate * {B}) * sin(wrapped) + dt * rate * {A} * cos(wrapped) AS dy, dt * rate AS dphi
+                  FROM (
+                    SELECT *, CASE WHEN step = 'update' THEN {ox} END AS ox, CASE WHEN step = 'update' THEN {oy} END AS oy,
+                           speed / {L} * tan(m1) AS rate
+                    FROM (
+                      SELECT r.*, s.mean, s.cov, s.track, CASE WHEN r.opens THEN s.mean ELSE s.base END AS base,
+                             (r.t_ms - s.t_ms) / 1000::DOUBLE AS dt, s.mean[3] % {TWO_PI} AS wrapped,
+                             r.m0 / (1 - tan(r.m1) * {H} / {L}) AS speed
+                      FROM _slam s JOIN _in r ON r.vehicle = s.vehicle AND r.nth = s.nth + 1)))))))))))"""
+
+
+def slam_track_sql(frame: str = "world", predict: str = "full") -> str:
+    rounded = ", ".join(_r(c, 3) for c in ("x", "y", "phi"))
+    return f"""{_slam(frame, predict)}
+        SELECT vehicle, t_ms, seq, step, {rounded}, landmarks
+        FROM (SELECT vehicle, unnest(track, recursive := true) FROM _slam)"""
+
+
+def _slam_map() -> str:
+    return f"""{_slam()}
+        SELECT vehicle, idx::INTEGER AS idx, {_r('x', 3, 'mean[2 * idx + 2]')}, {_r('y', 3, 'mean[2 * idx + 3]')}
+        FROM (SELECT vehicle, mean, unnest(range(1, (len(mean) - 3) // 2 + 1)) AS idx FROM _slam)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sensor_columns = "vehicle, t_ms, kind, speed, steering, gps_x, gps_y"
     tagged = f"WITH {SENSOR} SELECT seq, {sensor_columns} FROM sensor WHERE kind IN ('odo', 'gps')"
@@ -313,6 +419,9 @@ def oracle_sql() -> dict[str, str]:
     # the mapping filter keeps phi unwrapped, which its sine and cosine do not show
     odometry = _ekf(kinds="'odo'", start=(0.0, 0.0))
     out["slam_predictions_only"] = f"{odometry} SELECT vehicle, t_ms, seq, step, {_pose(8)} FROM track"
+    out["slam_track"] = out["slam_stream"] = slam_track_sql()
+    out["slam_relative"] = slam_track_sql(frame="relative")
+    out["slam_map"] = _slam_map()
     out["move_stream"] = out["pose_accumulate"]
     out["objects_stream"] = out["extract_objects"]
     out["discrete_stream"] = out["discrete_kalman"]
