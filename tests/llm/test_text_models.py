@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import itertools
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -273,6 +274,72 @@ def test_language_of_odd_rows(odd, empty):
     assert {r["lang_pred"] for r in lang_centroids.predict(odd, F.lit(True)).collect()} == {"und"}
 
 
+def test_sample_is_the_smallest_hashes_of_each_label(documents):
+    rows = documents.filter("lang IS NOT NULL").select("doc_id", "text", "lang")
+    both = rows.unionByName(rows)  # rows that repeat count once
+    all_of = defaultdict(set)
+    for r in rows.select("lang", F.xxhash64("doc_id", "text").alias("hash")).collect():
+        all_of[r["lang"]].add(r["hash"])
+    got = defaultdict(list)
+    for r in lang_centroids.chosen_rows(both, 7, 500).collect():
+        got[r["_lang"]].append(r["_hash"])
+    assert {lang: sorted(h) for lang, h in got.items()} == {lang: sorted(h)[:7] for lang, h in all_of.items()}
+
+
+def test_any_number_of_labels(documents):
+    rows = documents.select("doc_id", "text", "lang")
+    dirty = rows.unionByName(rows.select(
+        "doc_id", "text", F.concat(F.lit("x"), F.col("doc_id").cast("string")).alias("lang")))
+    got = lang_centroids.predict(dirty, F.lit(False), sample=40, languages=3)
+    top = [r["lang"] for r in rows.filter("lang IS NOT NULL").groupBy("lang").count()
+           .orderBy(F.desc("count"), "lang").limit(3).collect()]
+    assert {r["lang_pred"] for r in got.select("lang_pred").distinct().collect()} <= {*top, "und"}
+
+
+def plain_vector(text, idf):
+    """Counts of n-grams in a dictionary, one n-gram after the other."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower())
+    while "  " in words:
+        words = words.replace("  ", " ")
+    shown = " " + words.lstrip() + " "
+    counts, mask = Counter(), 0xFFFFFFFF
+    for begin in range(len(shown)):
+        mixed = 0
+        for n, factor in enumerate(int(f) for f in lang_centroids.SPREAD):
+            if begin + n >= len(shown):
+                break
+            mixed = (mixed + ord(shown[begin + n])) * factor & mask
+            mixed ^= mixed >> 15
+            counts[mixed % lang_centroids.DIMENSIONS] += 1
+    weights = {at: (1 + math.log(c)) * idf[at] for at, c in counts.items()}
+    length = math.sqrt(sum(w * w for w in weights.values()))
+    return {at: w / length for at, w in weights.items()}
+
+
+def test_language_by_plain_loops(documents):
+    rows = documents.filter("lang IS NOT NULL").select("doc_id", "text", "lang").filter("doc_id < 80")
+    idf, found = lang_centroids.fit(rows, sample=10, centroids=2)
+    frequencies, total = Counter(), 0
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for text in texts.values():
+        if any(c.isalpha() for c in text or ""):
+            total += 1
+            frequencies.update(plain_vector(text, np.ones(lang_centroids.DIMENSIONS)).keys())
+    want_idf = [math.log((1 + total) / (1 + frequencies[at])) + 1 for at in range(lang_centroids.DIMENSIONS)]
+    assert np.allclose(idf, want_idf)
+    centers = [(lang, np.frombuffer(c, np.float32)) for lang, c in zip(found["lang"], found["center"])]
+    got = {r["doc_id"]: r for r in lang_centroids.predict(rows, F.lit(False), sample=10, centroids=2).collect()}
+    for i, text in texts.items():
+        if not any(c.isalpha() for c in text or ""):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        vector = plain_vector(text, want_idf)
+        near = [(sum(w * float(c[at]) for at, w in vector.items()), lang) for lang, c in centers]
+        best = max(score for score, _ in near)
+        assert abs(got[i]["score"] - best) < 1e-5
+        assert got[i]["lang_pred"] in {lang for score, lang in near if score > best - 1e-5}
+
+
 def test_far_texts_are_rejected(documents):
     held = queries.id_remainder(4) == 2
     strange = documents.limit(20).selectExpr("-doc_id - 1 AS doc_id", "'ъыц жщш ѣѣ юфх ' || doc_id AS text", "lang")

@@ -9,8 +9,9 @@ with the largest cosine. A centroid's reach is the cosine that all but ``OUTSIDE
 have; a text farther from its centroid than that is ``rejected`` (the nearest language is named
 all the same, so that callers choose what a rejection means).
 
-Labels with over ``MAX_LANGUAGES`` values are refused with an error. Only text and label of
-training rows are learned from. A null text, or one without letters, is ``und`` with score 0, as
+Of the values of the label, the ``LANGUAGES`` with the most training rows are learned
+(ties: first by name), so that a dirty label column ends no job; texts of the others are predicted
+like any. Only text and label of training rows are learned from. A null text, or one without letters, is ``und`` with score 0, as
 is every text if nothing could be learned (no labelled training row with letters, empty table).
 Languages with few rows have fewer centroids; ties go to the language first by name. Rows that
 repeat are predicted each. A null id is a training row. Columns beyond these are not read.
@@ -35,7 +36,8 @@ SAMPLE = 1500
 CENTROIDS = 4
 STEPS = 8
 OUTSIDE = 0.005
-MAX_LANGUAGES = 500
+LANGUAGES = 500
+SALTS = 256
 SPREAD = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
@@ -108,17 +110,29 @@ def k_means(vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return centers.astype(np.float32), np.argmax(vectors @ centers.T, axis=1)
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tuple[np.ndarray, pd.DataFrame]:
+def chosen_rows(rows: DataFrame, sample: int, languages: int) -> DataFrame:
+    """``_lang, _hash`` of the training rows to fit centroids on: the smallest hashes of each learned label.
+
+    No label is sorted as a whole: ranks are taken within salts of a label first, and what is left
+    of all salts, ``SALTS`` times the sample at most, is ranked once more.
+    """
+    hashed = rows.select("lang", F.xxhash64("doc_id", "text").alias("hash")).distinct()
+    learned = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    hashed = hashed.join(F.broadcast(learned), "lang", "left_semi").withColumn("salt", F.pmod("hash", F.lit(SALTS)))
+    for keys in (("lang", "salt"), ("lang",)):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+        hashed = hashed.withColumn("n", nth).filter(F.col("n") <= sample).drop("n")
+    return hashed.select(F.col("lang").alias("_lang"), F.col("hash").alias("_hash"))
+
+
+def fit(
+    rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES,
+) -> tuple[np.ndarray, pd.DataFrame]:
     """Weights of places, and centroids (``lang, center, reach``), from ``doc_id, text, lang``."""
     frequencies = document_frequencies(rows.select("text"))
     idf = np.log((1 + frequencies[-1]) / (1 + frequencies[:-1])) + 1
     # the sample is chosen by hashes; texts are fetched for the chosen only
-    hashed = rows.select("lang", F.xxhash64("doc_id", "text").alias("hash")).distinct()
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    chosen = cut(hashed.withColumn("n", nth).filter(F.col("n") <= sample).select(
-        F.col("lang").alias("_lang"), F.col("hash").alias("_hash")))
-    if chosen.select("_lang").distinct().count() > MAX_LANGUAGES:
-        raise ValueError("the label column holds more values than languages there are")
+    chosen = cut(chosen_rows(rows, sample, languages))
     wanted = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
     wanted = wanted.join(bounded(chosen), (F.col("lang") == F.col("_lang")) & (F.col("hash") == F.col("_hash")))
 
@@ -139,13 +153,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> tu
 
 def predict(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    sample: int = SAMPLE, centroids: int = CENTROIDS,
+    sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES,
 ) -> DataFrame:
     """Per row ``doc_id, held_out, lang_pred, score, rejected``; learns from rows not held out."""
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    idf, found = fit(rows.filter("not held_out and lang is not null").select("doc_id", "text", "lang"), sample, centroids)
+    idf, found = fit(rows.filter("not held_out and lang is not null").select("doc_id", "text", "lang"), sample, centroids, languages)
     names, reach = found["lang"].tolist(), found["reach"].to_numpy()
     centers = np.stack([np.frombuffer(c, np.float32) for c in found["center"]]) if names else np.zeros((0, DIMENSIONS))
     shared = docs.sparkSession.sparkContext.broadcast((idf, names, reach, centers))
