@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,46 @@ def test_association_equals_a_loop(spark):
                 want = ("match", idx)
                 break
         assert found[i] == want
+
+
+def one_by_one(objects, marks):
+    """Status and landmark of each object, every landmark looked at: (status, idx) by numpy."""
+    out = []
+    for x, y in objects:
+        d = np.sqrt((marks[:, 0] - x) ** 2 + (marks[:, 1] - y) ** 2)
+        hits = np.flatnonzero(d < 0.4)
+        out.append(("match", int(hits[0])) if len(hits) else ("ambiguous" if ((d > 0.4) & (d < 2.0)).any() else "new", None))
+    return out
+
+
+def associated(spark, objects, marks):
+    seen = pd.DataFrame({"vehicle": "v", "obs_id": range(len(objects)), "x": objects[:, 0], "y": objects[:, 1]})
+    known = pd.DataFrame({"vehicle": "v", "idx": range(len(marks)), "x": marks[:, 0], "y": marks[:, 1]})
+    got = associate.associate(spark.createDataFrame(seen), spark.createDataFrame(known)).orderBy("obs_id").collect()
+    for r in got:
+        at = (None, None) if r.landmark is None else tuple(marks[r.landmark])
+        assert (r.lx, r.ly) == at
+    return [(r.status, r.landmark) for r in got]
+
+
+@pytest.mark.parametrize("falling", [False, True])
+def test_a_crowded_square(spark, falling):
+    """Very many landmarks in one square: those of lowest index in the middle, or at the far side."""
+    rng = np.random.default_rng(4)
+    marks = rng.uniform(0, 2, (100_000, 2))
+    away = np.hypot(*(marks - 1).T)
+    marks = marks[np.argsort(-away if falling else away)]
+    objects = rng.uniform(-2.3, 4.3, (10_000, 2))
+    got = associated(spark, objects, marks)
+    some = rng.choice(len(objects), 400, replace=False)
+    assert [got[i] for i in some] == one_by_one(objects[some], marks)
+
+
+def test_places_on_the_limits(spark):
+    """Distances that are exactly a limit, boxes of one place and of several, places that are no numbers."""
+    rng = np.random.default_rng(5)
+    marks = np.concatenate([rng.integers(-12, 12, (150, 2)) * 0.2, rng.integers(-3, 3, (40, 2)) * 0.05, np.full((1, 2), np.nan),
+                            rng.uniform(5, 5.1, (30, 2)), np.array([[0.05, np.inf]])])
+    marks = marks[rng.permutation(len(marks))]
+    objects = np.concatenate([rng.integers(-20, 20, (300, 2)) * 0.2, rng.uniform(3, 7.5, (200, 2)), np.full((1, 2), np.nan)])
+    assert associated(spark, objects, marks) == one_by_one(objects, marks)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from trackfold.functions import geometry
 
 
+# fine cells per ``match_below``: their diagonal is well below it, so few of them are cut by its circle
+FINE = 4
+
+
 def associate(
     observations: DataFrame, landmarks: DataFrame, match_below: float = 0.4, ambiguous_below: float = 2.0
 ) -> DataFrame:
@@ -17,47 +21,78 @@ def associate(
     The landmark of lowest ``idx`` nearer than ``match_below`` wins, not the nearest one. Without
     a match, a landmark between the two limits makes the observation ambiguous.
 
-    Range join over square cells of side ``ambiguous_below``: a landmark is put into its own and
-    the eight cells around it, an observation into its own only, so the big side is not
-    multiplied and all candidates of an observation meet in one task, where they are combined
-    before the shuffle. Landmarks at one place count once: the lowest index stands for all.
+    Landmarks are first gathered in fine cells, each with the box they fill and its lowest index. A
+    cell goes into the square of side ``ambiguous_below`` it lies in and the eight around it, an
+    observation into its own only, so the big side is not multiplied. A box that lies wholly on one
+    side of both limits speaks for all its landmarks; a box of one place always does. Only of boxes
+    that a limit cuts, and that could still change the answer, are the landmarks looked at one by
+    one. So an observation meets a bounded number of cells, however many landmarks are in them.
     """
-    side = F.lit(ambiguous_below)
-    places = (
-        landmarks.groupBy("vehicle", "x", "y")
-        .agg(F.min("idx").alias("idx"))
-        .select(
-            "vehicle", "idx", F.col("x").alias("lx"), F.col("y").alias("ly"),
-            F.explode(F.expr("sequence(-1, 1)")).alias("_i"),
-        )
-        .select("vehicle", "idx", "lx", "ly", "_i", F.explode(F.expr("sequence(-1, 1)")).alias("_j"))
-        .select(
-            "vehicle", "idx", "lx", "ly",
-            (F.floor(F.col("lx") / side) + F.col("_i")).alias("cx"),
-            (F.floor(F.col("ly") / side) + F.col("_j")).alias("cy"),
-        )
+    square, fine = F.lit(ambiguous_below), F.lit(match_below / FINE)
+    cell = ["vehicle", "cx", "cy", "fx", "fy"]
+    # a place that is not finite is near nothing, and would spoil the box it is put into
+    known = landmarks.filter((F.abs("x") < F.lit(float("inf"))) & (F.abs("y") < F.lit(float("inf"))))
+    placed = known.select(
+        "vehicle", "idx", F.col("x").alias("lx"), F.col("y").alias("ly"),
+        F.floor(F.col("x") / square).alias("cx"), F.floor(F.col("y") / square).alias("cy"),
+        F.floor(F.col("x") / fine).alias("fx"), F.floor(F.col("y") / fine).alias("fy"),
+    )
+    boxes = placed.groupBy(*cell).agg(
+        F.min("idx").alias("idx"), F.min_by("lx", "idx").alias("lx"), F.min_by("ly", "idx").alias("ly"),
+        F.min("lx").alias("x0"), F.max("lx").alias("x1"), F.min("ly").alias("y0"), F.max("ly").alias("y1"),
+    )
+    around = F.explode(F.expr("sequence(-1, 1)"))
+    spread = boxes.select("*", around.alias("_i")).select("*", around.alias("_j")).select(
+        "vehicle", "idx", "lx", "ly", "x0", "x1", "y0", "y1", F.struct("cx", "cy", "fx", "fy", "idx").alias("_cell"),
+        (F.col("cx") + F.col("_i")).alias("sx"), (F.col("cy") + F.col("_j")).alias("sy"),
     )
     seen = observations.select(
         "vehicle", "obs_id", "x", "y",
-        F.floor(F.col("x") / side).alias("cx"),
-        F.floor(F.col("y") / side).alias("cy"),
+        F.floor(F.col("x") / square).alias("sx"), F.floor(F.col("y") / square).alias("sy"),
     )
-    # same form as the distance in the filter step, so both decide alike on the limits
-    away = geometry.sight_range(F.col("lx") - F.col("x"), F.col("ly") - F.col("y"))
-    # the size of the spread-out landmarks is not known beforehand: sorted and spillable, never
-    # broadcast; adaptive execution splits crowded cells on the observation side
-    pairs = seen.join(places.hint("merge"), ["vehicle", "cx", "cy"], "left").withColumn("_d", away)
-    near = F.col("_d") < F.lit(match_below)
-    between = (F.col("_d") > F.lit(match_below)) & (F.col("_d") < side)
-    hit = F.when(near, F.col("idx"))
-    # plain numbers only, so the pairs are combined in a hash table and need no sort
+    # the size of the spread-out boxes is not known beforehand: sorted and spillable, never
+    # broadcast; adaptive execution splits crowded squares on the observation side
+    pairs = seen.join(spread.hint("merge"), ["vehicle", "sx", "sy"], "left")
+    # the distance of every landmark of the box is between these, also after rounding: each step of
+    # sight_range rises with its operands
+    nearest = geometry.sight_range(
+        F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0.0)),
+        F.greatest(F.col("y0") - F.col("y"), F.col("y") - F.col("y1"), F.lit(0.0)))
+    farthest = geometry.sight_range(
+        F.greatest(F.abs(F.col("x0") - F.col("x")), F.abs(F.col("x") - F.col("x1"))),
+        F.greatest(F.abs(F.col("y0") - F.col("y")), F.abs(F.col("y") - F.col("y1"))))
+    pairs = pairs.withColumns({"_low": nearest, "_high": farthest})
+    one = (F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))
+    low, high = F.col("_low"), F.col("_high")
+    inside = high < F.lit(match_below)
+    between = (low > F.lit(match_below)) & (high < square)
+    cut = ~one & (low < square) & ~inside & ~between
+    # a box the smaller circle cuts may hold a match; any that is cut may hold a landmark between
+    part = F.struct("_cell", (low < F.lit(match_below)).alias("near"))
+    hit = F.when(inside, F.col("idx"))
     found = pairs.groupBy("vehicle", "obs_id", "x", "y").agg(
-        F.min(hit).alias("landmark"),
-        F.min_by("lx", hit).alias("lx"),
-        F.min_by("ly", hit).alias("ly"),
+        F.min(hit).alias("idx"), F.min_by("lx", hit).alias("lx"), F.min_by("ly", hit).alias("ly"),
         F.max(F.coalesce(between, F.lit(False))).alias("_close"),
+        # at most the fine cells of nine squares
+        F.collect_list(F.when(cut, part)).alias("_cut"),
+    )
+    unsure = F.filter("_cut", lambda c: F.when(F.col("idx").isNotNull(), c["near"] & (c["_cell"]["idx"] < F.col("idx")))
+                      .otherwise(c["near"] | ~F.col("_close")))
+    looked = found.select("vehicle", "obs_id", "x", "y", F.explode(unsure).alias("_part"))
+    looked = looked.select("vehicle", "obs_id", "x", "y", *[F.col(f"_part._cell.{n}").alias(n) for n in cell[1:]])
+    away = geometry.sight_range(F.col("lx") - F.col("x"), F.col("ly") - F.col("y"))
+    listed = placed.groupBy(*cell, "lx", "ly").agg(F.min("idx").alias("idx"))
+    singly = looked.join(listed.hint("merge"), cell).withColumn("_d", away)
+    hit = F.when(F.col("_d") < F.lit(match_below), F.col("idx"))
+    more = singly.groupBy("vehicle", "obs_id", "x", "y").agg(
+        F.min(hit).alias("_idx"), F.min_by("lx", hit).alias("_lx"), F.min_by("ly", hit).alias("_ly"),
+        F.max((F.col("_d") > F.lit(match_below)) & (F.col("_d") < square)).alias("_between"),
     )
+    both = found.drop("_cut").join(more, ["vehicle", "obs_id", "x", "y"], "left")
+    better = F.col("_idx").isNotNull() & (F.col("idx").isNull() | (F.col("_idx") < F.col("idx")))
     status = (
-        F.when(F.col("landmark").isNotNull(), "match").when(F.col("_close"), "ambiguous").otherwise("new")
+        F.when(F.coalesce("_idx", "idx").isNotNull(), "match")
+        .when(F.col("_close") | F.coalesce("_between", F.lit(False)), "ambiguous").otherwise("new")
     )
-    return found.select("vehicle", "obs_id", "x", "y", status.alias("status"), "landmark", "lx", "ly")
+    best = {a: F.when(better, F.col(f"_{b}")).otherwise(F.col(b)) for a, b in (("landmark", "idx"), ("lx", "lx"), ("ly", "ly"))}
+    return both.select("vehicle", "obs_id", "x", "y", status.alias("status"), *[c.alias(n) for n, c in best.items()])
