@@ -132,3 +132,26 @@ def test_windows_lose_no_row(spark, sensors, tmp_path, in_order):
     got, want = (sorted(map(tuple, df.collect()), key=str) for df in (
         windows.read_windows(spark, str(tmp_path / "out")), windows.fix_windows(sensors)))
     assert got == want
+
+
+def test_window_parts_are_merged(spark, sensors, tmp_path):
+    """Few folders are read after many micro-batches, also while some are retried or half written."""
+    table = str(tmp_path / "parts")
+    batches = [sensors.filter(F.col("seq") % 11 == n) for n in range(11)]
+    for n, batch in enumerate(batches):
+        windows.add_batch(batch, n, table, merge=3)
+        if n in (2, 8):
+            windows.add_batch(batch, n, table, merge=3)
+    folders = windows.whole_folders(spark, table)
+    assert windows.newest_folders(folders, 3) == [(0, 9), (0, 10), (2, 0)]
+    whole = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = whole(windows.fix_windows(sensors))
+    assert whole(windows.read_windows(spark, table, 3)) == want
+    # a merged folder that is being written again: the ones it was made of stand in
+    (tmp_path / "parts" / "level=2" / "first=0" / "_SUCCESS").rename(tmp_path / "moved")
+    assert windows.newest_folders(windows.whole_folders(spark, table), 3) == [(0, 9), (0, 10), (1, 0), (1, 3), (1, 6)]
+    assert whole(windows.read_windows(spark, table, 3)) == want
+
+
+def test_windows_of_an_empty_table(spark, tmp_path):
+    assert windows.read_windows(spark, str(tmp_path / "none")).collect() == []
