@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,39 @@ def test_track_judging(rows):
     same(prep.prediction_error(walked, hot_rows=None), prep.prediction_error(walked, hot_rows=HOT))
 
 
+@pytest.mark.parametrize("long", [1, ekf.LONG_TRACK])
+def test_judged_track(rows, monkeypatch, long):
+    """Values out of the filter are those of windows over its track: by vehicle, in time order, in slices."""
+    monkeypatch.setattr(ekf, "LONG_TRACK", long)
+    walked = ekf.ekf_track(rows, adapter.EKF, hot_rows=None)
+    shifts, errors = prep.step_shift(walked, hot_rows=None), prep.prediction_error(walked, hot_rows=None)
+    for hot in (HOT, 10_000_000):
+        judged = ekf.ekf_judged(rows, adapter.EKF, hot_rows=hot)
+        same(shifts, prep.shifts(judged), exact=True)
+        same(errors, prep.errors(judged), exact=True)
+
+
+@pytest.mark.parametrize("by_time", [False, True])
+def test_judged_track_over_blocks(rows, monkeypatch, by_time):
+    """A vehicle's memory goes from block to block."""
+    keys = [] if by_time else ["vehicle"]
+    table = ekf.ekf_input(rows).orderBy(*keys, "t_ms", "seq").toArrow()
+    outs = []
+    for block in (7, 10**6):
+        monkeypatch.setattr(ekf, "BLOCK_ROWS", block)
+        fold = ekf._Fold(adapter.EKF, "judged", False, None, by_time)
+        out = pa.Table.from_batches(fold(iter(table.to_batches(max_chunksize=3)))).to_pandas()
+        outs.append(out.sort_values(["vehicle", "t_ms", "seq"]).reset_index(drop=True))
+    assert outs[0]["pred_x"].notna().sum() > len(table) // 2
+    pd.testing.assert_frame_equal(*outs, check_exact=False, rtol=1e-12, atol=1e-12)
+
+
+def test_judging_moves_nothing(rows):
+    for judge in (prep.shifts, prep.errors):
+        plan = judge(ekf.ekf_judged(rows, adapter.EKF))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
 @pytest.mark.parametrize("config", [adapter.EKF, EkfConfig()], ids=["adapter", "default"])
 def test_ekf(rows, config):
     whole = ekf.ekf_track(rows, config, covariance=True, hot_rows=None)

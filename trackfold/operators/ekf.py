@@ -8,6 +8,7 @@ sorted by time across its vehicles, so that its batches hold a stretch of time o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,10 @@ from trackfold.schema import EkfConfig
 
 ODO, GPS = 0, 1
 COVARIANCE = steps.EKF_FIELDS[3:9]
+STATE = len(steps.EKF_FIELDS)
+# what a judged track keeps beside the state: whether a row was seen, and the last prediction (NaN without one)
+MEMORY = (0.0, math.nan, math.nan, math.nan)
+JUDGED = ("prev_x", "prev_y", "pred_t_ms", "pred_x", "pred_y")
 STEP_NAMES = np.array(["prediction", "update"], dtype=object)
 # rows stepped together: more vehicles at once, still a few megabytes
 BLOCK_ROWS = 131_072
@@ -53,6 +58,17 @@ def ekf_track(
     return _run(ekf_input(rows), config, "track", covariance, hot_rows, emit)
 
 
+def ekf_judged(
+    rows: DataFrame, config: EkfConfig = EkfConfig(), covariance: bool = False, hot_rows: int | None = HOT_ROWS
+) -> DataFrame:
+    """The track, each row with the pose before it and the last prediction before it.
+
+    ``prev_x, prev_y`` are null on a vehicle's first row; ``pred_t_ms, pred_x, pred_y`` before its first
+    prediction. The filter has them at hand, so ``prep.shifts`` and ``prep.errors`` need no second sort.
+    """
+    return _run(ekf_input(rows), config, "judged", covariance, hot_rows, None)
+
+
 def ekf_final(
     rows: DataFrame, config: EkfConfig = EkfConfig(), covariance: bool = True, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
@@ -67,11 +83,12 @@ def _run(narrow: DataFrame, config, what: str, covariance: bool, hot_rows, emit)
     out = _fold(split.usual, config, what, covariance, emit, split.rows, by_time=long)
     if hot is None:
         return out
+    memory = MEMORY if what == "judged" else ()
     starts = slices.settle(
         hot,
-        lambda df: _fold(df, config, "end", covariance, None, split.hot_rows),
-        F.array(*[F.lit(float(v)) for v in steps.ekf_start(config)]),
-        lambda df: _guess(df, config),
+        lambda df: _fold(df, config, "judged end" if memory else "end", covariance, None, split.hot_rows),
+        F.array(*[F.lit(float(v)) for v in (*steps.ekf_start(config), *memory)]),
+        lambda df: _guess(df, config, memory),
     )
     if what == "final":
         last = Window.partitionBy("vehicle").orderBy(F.desc("slice"))
@@ -80,7 +97,7 @@ def _run(narrow: DataFrame, config, what: str, covariance: bool, hot_rows, emit)
     return out.unionByName(_fold(slices.with_starts(hot, starts), config, what, covariance, emit, split.hot_rows))
 
 
-def _guess(hot: DataFrame, config: EkfConfig) -> DataFrame:
+def _guess(hot: DataFrame, config: EkfConfig, memory: tuple = ()) -> DataFrame:
     """A start for each slice: at its first fix, at the time the slice before it ends."""
     order = F.struct("t_ms", "seq")
     gps = F.col("code") == GPS
@@ -95,6 +112,7 @@ def _guess(hot: DataFrame, config: EkfConfig) -> DataFrame:
         F.coalesce("x", F.lit(config.start.x)), F.coalesce("y", F.lit(config.start.y)), F.lit(config.start.phi),
         *[F.lit(v) for v in (r, 0.0, 0.0, r, 0.0, r)],
         F.coalesce(before, F.lit(config.start.t_ms).cast("bigint")).cast("double"),
+        *[F.lit(v) for v in memory],
     )
     return per_slice.select(*slices.KEYS, state.alias("start"))
 
@@ -103,15 +121,17 @@ def _fold(
     rows: DataFrame, config: EkfConfig, what: str, covariance: bool, emit, total: int | None = None, by_time: bool = False,
 ) -> DataFrame:
     fields = [T.StructField("vehicle", T.StringType())]
-    if what == "track":
+    if what in ("track", "judged"):
         fields += [rows.schema["t_ms"], rows.schema["seq"], T.StructField("step", T.StringType())]
     elif what == "final":
         fields += [T.StructField("t_ms", T.LongType())]
     else:
         fields += [rows.schema["slice"], T.StructField("end", T.ArrayType(T.DoubleType()))]
-    if what != "end":
+    if what not in ("end", "judged end"):
         names = ("x", "y", "phi") + (COVARIANCE if covariance else ())
         fields += [T.StructField(n, T.DoubleType()) for n in names]
+    if what == "judged":
+        fields += [T.StructField(n, T.LongType() if n == "pred_t_ms" else T.DoubleType()) for n in JUDGED]
     fold = _Fold(config, what, covariance, emit, by_time)
     return slices.gather(rows, total, by_time).mapInArrow(fold, T.StructType(fields))
 
@@ -122,50 +142,57 @@ class _Fold:
     def __init__(self, config: EkfConfig, what: str, covariance: bool, emit, by_time: bool = False):
         self.config, self.what, self.by_time = config, what, by_time
         self.width = 9 if covariance else 3
+        self.judged, self.tracks = what.startswith("judged"), what in ("track", "judged")
+        self.first = np.array(steps.ekf_start(config) + (MEMORY if self.judged else ()))[:, None]
         self.emit = None if emit is None or len(emit) == 2 else [("prediction", "update").index(e) for e in emit]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return self._through_time(batches) if self.by_time else self._through_vehicles(batches)
 
     def _through_time(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = {}, np.empty((len(steps.EKF_FIELDS), 0))
-        first = np.array(steps.ekf_start(self.config))[:, None]
+        number, held = {}, np.empty((len(self.first), 0))
         for batch in _blocks(batches):
             # a vehicle's rows next to each other, in the order they have
             codes = batch.column("vehicle").dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
             batch = batch.take(pa.array(np.argsort(codes, kind="stable")))
             starts, keys = _runs(batch)
             at = np.array([number.setdefault(k, len(number)) for k in keys])
-            held = np.concatenate([held, np.repeat(first, len(number) - held.shape[1], axis=1)], axis=1)
+            held = np.concatenate([held, np.repeat(self.first, len(number) - held.shape[1], axis=1)], axis=1)
             states = held[:, at]
-            track = _step_batch(batch, starts, states, self.config)
+            track, judged = self._step(batch, starts, states)
             held[:, at] = states
-            if self.what == "track":
-                yield self._track(batch, track)
-        if number and self.what != "track":
+            if self.tracks:
+                yield self._track(batch, track, judged)
+        if number and not self.tracks:
             yield self._ends([(k, held[:, i]) for k, i in number.items()])
 
     def _through_vehicles(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in _blocks(batches):
             starts, keys = _runs(batch)
-            states = np.tile(np.array(steps.ekf_start(self.config))[:, None], len(starts))
+            states = np.tile(self.first, len(starts))
             finished = []
             if key == keys[0]:
                 states[:, 0] = state
             elif key is not None:
                 finished.append((key, state))
-            track = _step_batch(batch, starts, states, self.config)
+            track, judged = self._step(batch, starts, states)
             finished += [(k, states[:, i]) for i, k in enumerate(keys[:-1])]
             key, state = keys[-1], states[:, -1].copy()
-            if self.what == "track":
-                yield self._track(batch, track)
+            if self.tracks:
+                yield self._track(batch, track, judged)
             elif finished:
                 yield self._ends(finished)
-        if key is not None and self.what != "track":
+        if key is not None and not self.tracks:
             yield self._ends([(key, state)])
 
-    def _track(self, batch: pa.RecordBatch, track: np.ndarray) -> pa.RecordBatch:
+    def _step(self, batch: pa.RecordBatch, starts: np.ndarray, states: np.ndarray) -> tuple:
+        """The track of a batch and what it is judged by; ``states`` ends up with each run's last."""
+        before = states.copy() if self.judged else None
+        track = _step_batch(batch, starts, states[:STATE], self.config)
+        return track, _judge(batch, starts, before, states, track) if self.judged else None
+
+    def _track(self, batch: pa.RecordBatch, track: np.ndarray, judged: list | None = None) -> pa.RecordBatch:
         code = batch.column("code").to_numpy(zero_copy_only=False)
         keep = code != slices.START_CODE
         if self.emit is not None:
@@ -176,12 +203,15 @@ class _Fold:
         columns.append(pa.DictionaryArray.from_arrays(
             pa.array(code[keep].astype(np.int32)), pa.array(STEP_NAMES)).dictionary_decode())
         columns += [pa.array(track[i][keep]) for i in range(self.width)]
+        if judged is not None:
+            names += JUDGED
+            columns += [column.take(index) for column in judged]
         return pa.RecordBatch.from_arrays(columns, names)
 
     def _ends(self, finished: list) -> pa.RecordBatch:
         vehicles = pa.array([k[0] for k, _ in finished], pa.string())
         table = np.array([s for _, s in finished])
-        if self.what == "end":
+        if self.what.endswith("end"):
             part = pa.array([k[1] for k, _ in finished], pa.int32())
             end = pa.array(list(table), pa.list_(pa.float64()))
             return pa.RecordBatch.from_arrays([vehicles, part, end], ["vehicle", "slice", "end"])
@@ -225,7 +255,7 @@ def _step_batch(batch: pa.RecordBatch, starts: np.ndarray, states: np.ndarray, c
     t_ms = batch.column("t_ms").to_numpy(zero_copy_only=False)
     m0 = batch.column("m0").to_numpy(zero_copy_only=False)
     m1 = batch.column("m1").to_numpy(zero_copy_only=False)
-    given = {i: np.array(batch.column("state")[i].as_py()) for i in np.flatnonzero(code == slices.START_CODE)}
+    given = {i: np.array(batch.column("state")[i].as_py())[:STATE] for i in np.flatnonzero(code == slices.START_CODE)}
     track = np.empty((9, len(code)))
     lengths = np.diff(np.append(starts, len(code)))
     # a bad value makes its vehicle's numbers NaN from there on, and no other's
@@ -274,3 +304,30 @@ def _lockstep(code, t_ms, m0, m1, given, starts, lengths, states, track, config)
             work[:, k] = given[int(at[k])]
         track[:, at] = work[:9, :active]
     states[:, order] = work
+
+
+def _judge(batch: pa.RecordBatch, starts: np.ndarray, before: np.ndarray, states: np.ndarray, track: np.ndarray) -> list:
+    """Columns ``JUDGED`` of a batch; ``before`` and ``states`` are the runs' states at its two ends."""
+    code = batch.column("code").to_numpy(zero_copy_only=False)
+    t_ms = batch.column("t_ms").to_numpy(zero_copy_only=False)
+    place = np.arange(len(code))
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
+    for i in np.flatnonzero(code == slices.START_CODE):
+        before[:, run[i]] = batch.column("state")[int(i)].as_py()
+    # the row before, and the last prediction before; what is not in the batch is in the run's memory
+    inner = (place > starts[run]) & (code[place - 1] != slices.START_CODE)
+    last = np.maximum.accumulate(np.where(code == ODO, place, -1))
+    prior = np.concatenate(([-1], last[:-1]))
+    seen = prior >= starts[run]
+    x, y = (np.where(inner, track[k][place - 1], before[k][run]) for k in (0, 1))
+    t = np.where(seen, t_ms[prior], np.nan_to_num(before[STATE + 1])[run].astype(np.int64))
+    px, py = (np.where(seen, track[k][prior], before[STATE + 2 + k][run]) for k in (0, 1))
+    no_row, no_prediction = ~inner & (before[STATE][run] == 0), ~seen & np.isnan(before[STATE + 1])[run]
+    # what the next batch has to know
+    ends = np.append(starts[1:], len(code)) - 1
+    some = last[ends] >= starts
+    states[STATE] = np.where(code[ends] == slices.START_CODE, before[STATE], 1.0)
+    for k, values in enumerate((t_ms, track[0], track[1]), STATE + 1):
+        states[k] = np.where(some, values[last[ends]], before[k])
+    masks = (no_row, no_row, no_prediction, no_prediction, no_prediction)
+    return [pa.array(values, mask=mask) for values, mask in zip((x, y, t, px, py), masks)]

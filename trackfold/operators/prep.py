@@ -105,6 +105,21 @@ def prediction_error(
     return in_order(track.select("vehicle", "step", "t_ms", "seq", "x", "y"), body, hot_rows, sized_by)
 
 
+def shifts(judged: DataFrame) -> DataFrame:
+    """``step_shift`` of a track that carries the pose before each row: nothing is moved."""
+    moved = geometry.distance(F.col("x"), F.col("y"), F.col("prev_x"), F.col("prev_y"))
+    return judged.filter(F.col("prev_x").isNotNull()).select("vehicle", "step", "t_ms", "seq", moved.alias("distance"))
+
+
+def errors(judged: DataFrame) -> DataFrame:
+    """``prediction_error`` of a track that carries the last prediction before each row: nothing is moved."""
+    return judged.filter(F.col("step") == "update").select(
+        "vehicle", "t_ms", "seq", "pred_t_ms", "pred_x", "pred_y",
+        F.col("x").alias("upd_x"), F.col("y").alias("upd_y"),
+        geometry.distance(F.col("pred_x"), F.col("pred_y"), F.col("x"), F.col("y")).alias("error"),
+    )
+
+
 def mark_gps_outliers(
     fixes: DataFrame, max_jump: float, min_group: int, hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:

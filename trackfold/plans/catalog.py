@@ -377,8 +377,11 @@ def ekf_pose_only(spark, sf_dir):
 
 @query
 def step_shift(spark, sf_dir):
-    shifts = prep.step_shift(_ekf(spark, sf_dir), sized_by=adapter.sensors(spark, sf_dir, "odo", "gps"))
-    return _rounded(shifts, "distance", digits=4)
+    return _rounded(prep.shifts(_judged(spark, sf_dir)), "distance", digits=4)
+
+
+def _judged(spark, sf_dir) -> DataFrame:
+    return ekf.ekf_judged(adapter.sensors(spark, sf_dir, "odo", "gps"), adapter.EKF)
 
 
 def _errors(spark, sf_dir) -> DataFrame:
@@ -387,7 +390,7 @@ def _errors(spark, sf_dir) -> DataFrame:
 
 @query
 def prediction_error(spark, sf_dir):
-    out = _errors(spark, sf_dir)
+    out = prep.errors(_judged(spark, sf_dir))
     return _rounded(out, "pred_x", "pred_y", "upd_x", "upd_y", "error", digits=4)
 
 
