@@ -75,6 +75,61 @@ def test_blocks_do_not_change_scores(odd, monkeypatch):
     assert [s for _, s in cut] == pytest.approx([s for _, s in whole], rel=1e-4)
 
 
+def plain_scores(pairs, rounds):
+    """Scores by loops over words: the same model without blocks, buckets, matrices or spans."""
+    docs = [(i is None or zlib.crc32(str(i).encode()) % 5 != 1, tokens(t)) for i, t in pairs]
+    c = Counter(w for train, words in docs if train for w in words)
+    suffix = lambda w: zlib.crc32(w[-2:]) % 64
+    kind = lambda w: w if c[w] >= 5 else 0 if not c[w] else 1 + suffix(w) + (64 if c[w] > 1 else 0)
+    room = sum(c.values()) + 0.5 * (len(c) + 1)
+    base, counts = Counter({0: 0.5 / room}), {0: np.zeros(8)}
+    for w in c:
+        lean = np.full(8, 0.2)
+        lean[suffix(w) % 8] += 1
+        base[kind(w)] += (c[w] + 0.5) / room
+        counts[kind(w)] = counts.get(kind(w), 0) + c[w] * lean / lean.sum()
+    moves, first = np.full((8, 8), 0.1 / 7) + np.eye(8) * (0.9 - 0.1 / 7), np.full(8, 1 / 8)
+
+    def forward(words):
+        alphas, scales = [], []
+        for w in words:
+            alpha = (alphas[-1] @ moves if alphas else first) * (counts[kind(w)] + 20_000 * base[kind(w)]) / (totals + 20_000)
+            scales.append(alpha.sum())
+            alphas.append(alpha / alpha.sum())
+        return alphas, scales
+
+    for turn in range(rounds + 1):
+        totals = sum(counts.values())
+        if turn == rounds:
+            break
+        new, pairs_, firsts = {k: np.zeros(8) for k in counts}, np.ones((8, 8)), np.ones(8)
+        for train, words in docs:
+            if not train:
+                continue
+            alphas, scales = forward(words)
+            beta = np.ones(8)
+            for t in range(len(words) - 1, -1, -1):
+                new[kind(words[t])] += alphas[t] * beta
+                if t:
+                    ahead = beta * (counts[kind(words[t])] + 20_000 * base[kind(words[t])]) / (totals + 20_000) / scales[t]
+                    pairs_ += alphas[t - 1][:, None] * moves * ahead
+                    beta = moves @ ahead
+            firsts += alphas[0] * beta
+        counts, moves, first = new, pairs_ / pairs_.sum(axis=1, keepdims=True), firsts / firsts.sum()
+    part = lambda w: np.log10((c[w] + 0.5) / room / base[kind(w)]) if c[w] < 5 else 0.0
+    return [sum(np.log10(forward(words)[1])) + sum(map(part, words)) for _, words in docs]
+
+
+def test_scores_against_plain_loops(spark, texts):
+    """Trained on whole documents, also ones longer than a span; every document's score."""
+    pairs = [(i, texts[i]) for i in sorted(texts)[:60]] + [(None, "the Cat sat"), (10**6, None)]
+    assert max(len(tokens(t)) for _, t in pairs) > 2 * hmm_score.SPAN
+    df = spark.createDataFrame(pairs, "doc_id bigint, text string").repartition(3)
+    rows = hmm_score.score_documents(df, queries.id_remainder(5) == 1).collect()
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert [got[i] for i, _ in pairs] == pytest.approx(plain_scores(pairs, hmm_score.ROUNDS), rel=1e-5)
+
+
 def paths(seq, emission, moves, start):
     """Probability of every sequence of states."""
     for states in itertools.product(range(len(start)), repeat=len(seq)):
@@ -84,7 +139,10 @@ def paths(seq, emission, moves, start):
         yield states, p
 
 
-def test_recursions_against_all_paths():
+@pytest.mark.parametrize("span, counted", [(1, 1), (2, 3), (4, 1 << 18), (128, 1 << 18)])
+def test_recursions_against_all_paths(monkeypatch, span, counted):
+    monkeypatch.setattr(hmm_score, "SPAN", span)
+    monkeypatch.setattr(hmm_score, "COUNTED", counted)
     rng = np.random.default_rng(3)
     emission = rng.random((5, 3))
     moves = rng.random((3, 3))

@@ -7,8 +7,9 @@ Tokens are words in lower case (A-Z) and one end token per document. A word seen
 more in training has an emission of its own; rarer words share the emissions of their class (how
 often seen, and a hash of the last two bytes) in proportion to their base probability, and all
 unseen words are one outcome. Emissions are smoothed by ``MU`` tokens of the base distribution,
-so they sum to one over the same outcomes as the base model does. Training sequences are
-stretches of up to ``STRETCH`` tokens, so that many advance together.
+so they sum to one over the same outcomes as the base model does. A training sequence is a whole
+document. Many advance together; of the forward pass only the vectors at every ``SPAN``-th token are
+kept and the rest is computed again on the way back, so long documents need little memory.
 
 How it is spread: a task turns its documents into blocks of numbered tokens, a file each in the
 shared folder, and a list of the block's distinct words. Words are dealt into buckets by hash;
@@ -46,13 +47,14 @@ STATES = 8
 ROUNDS = 3
 OWN = 5
 MU = 20_000.0
-STRETCH = 128
+SPAN = 128
 SUFFIXES = 64
 STAY = 0.9
 CLASSES = 1 + 2 * SUFFIXES  # unseen; seen once by suffix; seen up to OWN - 1 times by suffix
 BLOCK_BYTES = 32 << 20
 BUCKETS = (64, 4096)
 TOGETHER = 4096
+COUNTED = 1 << 18
 SUMS = CLASSES * STATES + STATES * STATES + STATES
 END = b""
 
@@ -387,14 +389,6 @@ class Block:
         self.tokens = tokens.values.to_numpy()
 
 
-def stretches(first: np.ndarray, length: np.ndarray, most: int = STRETCH) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences cut into consecutive stretches of at most ``most`` tokens."""
-    many = -(-length // most)
-    of = np.repeat(np.arange(len(length)), many)
-    n = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    return first[of] + n * most, np.minimum(length[of] - n * most, most)
-
-
 def expected_counts(
     tokens: np.ndarray, first: np.ndarray, length: np.ndarray, emission: np.ndarray, moves: np.ndarray, start: np.ndarray,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -409,34 +403,57 @@ def expected_counts(
     moves32 = moves.astype(np.float32)
     counts = np.zeros((states, emission.shape[1]))
     pairs, firsts = np.zeros((states, states)), np.zeros(states)
+    where, gammas, held = [], [], 0
+
+    def forward(alpha: np.ndarray | None, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        reached = np.repeat(start_column, len(now), axis=1) if alpha is None else into @ alpha[:, : len(now)]
+        alpha = reached * emission.take(now, axis=1)
+        scale = alpha.sum(axis=0)
+        alpha /= scale
+        return alpha, scale
+
+    def count() -> None:
+        flat = np.concatenate(where)
+        for k in range(states):
+            counts[k] += np.bincount(flat, weights=np.concatenate([g[k] for g in gammas]), minlength=counts.shape[1])
+        where.clear()
+        gammas.clear()
+
     order = np.argsort(-length, kind="stable")
     for at in range(0, len(order), TOGETHER):
-        group = order[at : at + TOGETHER]
-        begin, long = first[group], length[group]
-        alive = len(long) - np.searchsorted(long[::-1], np.arange(long[0]), "right")
-        alphas, scales, seen = [], [], []
-        for t, n in enumerate(alive.tolist()):
-            now = tokens[begin[:n] + t]
-            alpha = (into @ alphas[-1][:, :n] if t else np.repeat(start_column, n, axis=1)) * emission.take(now, axis=1)
-            scale = alpha.sum(axis=0)
-            alpha /= scale
-            alphas.append(alpha)
-            scales.append(scale)
-            seen.append(now)
-        beta = np.ones((states, alive[-1]), np.float32)
-        gammas = [alphas.pop()]
-        for t in range(len(alive) - 2, -1, -1):
-            n = alive[t + 1]
-            ahead = emission.take(seen[t + 1], axis=1) * beta / scales[t + 1]
-            alpha = alphas.pop()
-            pairs += alpha[:, :n] @ ahead.T
-            beta = np.ones((states, alive[t]), np.float32)
-            beta[:, :n] = moves32 @ ahead
-            gammas.append(alpha * beta)
-        firsts += gammas[-1].sum(axis=1)
-        where = np.concatenate(seen[::-1])
-        for k in range(states):
-            counts[k] += np.bincount(where, weights=np.concatenate([g[k] for g in gammas]), minlength=counts.shape[1])
+        begin, long = first[order[at : at + TOGETHER]], length[order[at : at + TOGETHER]]
+        alive = (len(long) - np.searchsorted(long[::-1], np.arange(long[0]), "right")).tolist()
+        kept, alpha = [], None
+        for t, n in enumerate(alive):
+            if t % SPAN == 0:
+                kept.append(alpha)
+                if t + SPAN >= len(alive):
+                    break
+            alpha, _ = forward(alpha, tokens[begin[:n] + t])
+        ahead = None
+        for low in range((len(kept) - 1) * SPAN, -1, -SPAN):
+            alpha, steps = kept.pop(), []
+            for t, n in enumerate(alive[low : low + SPAN], low):
+                now = tokens[begin[:n] + t]
+                alpha, scale = forward(alpha, now)
+                steps.append((alpha, scale, now))
+            for alpha, scale, now in reversed(steps):
+                beta = np.ones((states, len(now)), np.float32)
+                if ahead is not None:
+                    n = ahead.shape[1]
+                    pairs += alpha[:, :n] @ ahead.T
+                    beta[:, :n] = moves32 @ ahead
+                gammas.append(alpha * beta)
+                where.append(now)
+                held += len(now)
+                ahead = emission.take(now, axis=1) * beta / scale
+            if low == 0:
+                firsts += gammas[-1].sum(axis=1)
+            if held >= COUNTED:
+                count()
+                held = 0
+    if where:
+        count()
     return counts.T, pairs * moves, firsts
 
 
@@ -471,11 +488,11 @@ def _expect(gathered: DataFrame, model: Model) -> DataFrame:
             [pa.array([bucket], pa.int32()), pa.array([slots], pa.int32()), pa.array([at.tobytes()], pa.binary()),
              pa.array([counts.tobytes()], pa.binary())], names=["bucket", "slots", "row", "counts"])
         for block in (Block(rows, model) for rows in _by_block(batches)):
-            begin, length = stretches(block.first[block.train], block.length[block.train])
-            if not len(begin):
+            if not block.train.any():
                 continue
             counts, p, f = expected_counts(
-                block.at[block.tokens], begin, length, block.emission, model.transitions, model.first)
+                block.at[block.tokens], block.first[block.train], block.length[block.train], block.emission,
+                model.transitions, model.first)
             classes, pairs, firsts = classes + counts[:CLASSES], pairs + p, firsts + f
             for bucket, slots, own, low, high in block.buckets:
                 if high > low:
