@@ -73,6 +73,16 @@ def test_pose(rows):
     same(track.accumulate_pose(moved, hot_rows=None), track.accumulate_pose(moved, hot_rows=HOT))
 
 
+def test_slices_are_read_twice(rows):
+    """The pose of a hot vehicle: once to drive each slice by itself, once from where it begins."""
+    moved = rows.filter("kind = 'odo'").select(
+        "vehicle", "t_ms", "seq", F.col("speed").alias("x_inc"), (F.col("speed") / 7).alias("y_inc"),
+        F.col("steering").alias("phi_inc"))
+    for hot in (track.dead_reckoning(rows, hot_rows=HOT), track.accumulate_pose(moved, hot_rows=HOT)):
+        plan = hot._jdf.queryExecution().executedPlan().toString()
+        assert sum("slice" in line for line in plan.splitlines() if "FileScan" in line) == 2
+
+
 @pytest.mark.parametrize("jump", [5.0, 50.0])
 def test_outliers(rows, jump):
     fixes = rows.filter("kind = 'gps'").select("vehicle", "t_ms", "seq", "gps_x", "gps_y")
@@ -162,6 +172,19 @@ def test_a_forgetting_filter_needs_few_passes(spark, monkeypatch):
     assert len(passes) <= 5  # about ten slices; the last pass writes the track
 
 
+def test_reckoning_with_nulls_in_slices(spark):
+    """Slices of one row and of several, nulls in the first, the last and all rows of some."""
+    rows = [("v", 40 * t + t % 3, t, "odo", None if t % 10 in (3, 4, 9) or t < 2 else 3.0 + t % 5,
+             None if t % 13 == 6 else 0.02 * (t % 9 - 4)) for t in range(60)]
+    df = spark.createDataFrame(rows, "vehicle string, t_ms bigint, seq bigint, kind string, speed double, steering double")
+    whole = track.dead_reckoning(df, hot_rows=None).orderBy("t_ms").collect()
+    assert whole[0].x is None and whole[-1].x is not None
+    for hot in (1, 3, 9, 20):
+        for a, b in zip(whole, track.dead_reckoning(df, hot_rows=hot).orderBy("t_ms").collect()):
+            for x, y in zip(a, b):
+                assert (x is None) == (y is None) and (x is None or x == pytest.approx(y))
+
+
 def test_nulls_at_the_edges_of_slices(spark):
     """Running values of a vehicle that is cut are those of the uncut one, nulls at any edge."""
     rows = [("v", t, t, None if t % 10 in (3, 4, 9) or t < 2 else 1.0, 0.0 if t % 7 else None, 0.1) for t in range(60)]
