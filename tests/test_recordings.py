@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackfold.functions import geometry
 from trackfold.operators import prep, track
-from trackfold.schema import ODOMETRY
+from trackfold.schema import ODOMETRY, TRACK_STEPS
 from trackfold.sources import exports, recordings
 from trackfold.streaming import windows
 
@@ -180,6 +180,21 @@ def test_rejected_rows_of_every_reader(spark, tmp_path):
     assert sorted(r.reason for r in recordings.rejected(parsed).collect()) == ["number", "number", "time"]
 
 
+def test_rejected_rows_of_track_files(spark, tmp_path):
+    (tmp_path / "steps.csv").write_text("v,update,5,1.5,2.5\nv,update,5,,2.5\nv,update,x,1.5,2.5\nv,update,5,inf,2.5\n")
+    steps = str(tmp_path / "steps.csv")
+    assert [tuple(r) for r in recordings.read_track_steps(spark, steps).collect()] == [("v", "update", 5, 1.5, 2.5)]
+    assert recordings.rejected(recordings.parsed_csv(spark, TRACK_STEPS, steps)).count() == 3
+    good = ["[]", " [ ( 1 , -2e1 ),(3,4) ] "]
+    bad = ["", "[(1, 2)", "[(1, 2) (3, 4)]", "[(1, 2), (x, 4)]", "[(1, 2, 3)]", "[(1.2.3, 4)]", "[(1e999, 4)]", "[p]", "(1, 2)", "[(1, NaN)]"]
+    (tmp_path / "marks.csv").write_text("".join(f"{n};1.0;2.0;{t}\n" for n, t in enumerate(good + bad)) + "99;y;2.0;[]\n")
+    parsed = recordings.parsed_track_landmarks(spark, str(tmp_path / "marks.csv"))
+    got = recordings.accepted(parsed).orderBy("t_ms").collect()
+    assert [[tuple(p) for p in r.landmarks] for r in got] == [[], [(1.0, -20.0), (3.0, 4.0)]]
+    reasons = sorted(r.reason for r in recordings.rejected(parsed).collect())
+    assert reasons == ["landmarks"] * len(bad) + ["number"]
+
+
 @pytest.mark.parametrize("split", ["200", "100000000"])
 def test_order_of_equal_times_in_two_files(spark, tmp_path, split):
     for n, name in enumerate(("b.csv", "a.csv")):

@@ -37,10 +37,13 @@ def scan_field(parts: Column, at: int) -> Column:
     return F.transform(readings, lambda r: number(F.translate(r, '"[]', "")))
 
 
+_NUMBER = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
+_PAIR = r"\(\s*" + _NUMBER + r"\s*,\s*" + _NUMBER + r"\s*\)"
+
+
 def points(text: Column) -> Column:
     """``[(x, y), ...]`` as an array of (lx, ly)."""
-    number = r"([-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
-    pair = F.lit(r"\(\s*" + number + r"\s*,\s*" + number + r"\s*\)")
+    pair = F.lit(_PAIR)
     xs = F.regexp_extract_all(text, pair, F.lit(1))
     ys = F.regexp_extract_all(text, pair, F.lit(2))
     return F.zip_with(
@@ -48,6 +51,17 @@ def points(text: Column) -> Column:
     )
 
 
+def are_points(text: Column) -> Column:
+    """Whether a text is a list of pairs of finite numbers from end to end; false for null."""
+    found = points(text)
+    # nothing may be left beside the pairs but the brackets and a comma between each two
+    left = F.regexp_replace(F.regexp_replace(text, _PAIR, "p"), r"\s+", "")
+    bare = F.concat(F.lit("["), F.array_join(F.array_repeat(F.lit("p"), F.size(found)), ","), F.lit("]"))
+    limit = F.lit(float("inf"))
+    finite = F.forall(found, lambda p: F.coalesce((F.abs(p["lx"]) < limit) & (F.abs(p["ly"]) < limit), F.lit(False)))
+    return F.coalesce((left == bare) & finite, F.lit(False))
+
+
 def points_text(points_column: Column) -> Column:
     """Inverse of ``points``."""
     pairs = F.transform(

@@ -205,10 +205,21 @@ def read_gps_seconds(spark: SparkSession, *paths: str, offset_ms: int = 0, vehic
 
 
 def read_track_steps(spark: SparkSession, *paths: str) -> DataFrame:
-    return read_csv(spark, TRACK_STEPS, *paths)
+    """The good rows of ``parsed_csv`` of a track file."""
+    return accepted(parsed_csv(spark, TRACK_STEPS, *paths)).select(TRACK_STEPS.names)
+
+
+def parsed_track_landmarks(spark: SparkSession, *paths: str) -> DataFrame:
+    """Rows of a landmark file with ``reason``: ``number``, or ``landmarks`` where the list is not one of pairs.
+
+    ``landmarks`` is an array of (lx, ly).
+    """
+    rows = parsed_csv(spark, TRACK_LANDMARKS, *paths, sep=";")
+    listed = text.are_points(F.col("landmarks"))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(~listed, "landmarks")))
+    return rows.withColumn("landmarks", text.points(F.col("landmarks")))
 
 
 def read_track_landmarks(spark: SparkSession, *paths: str) -> DataFrame:
     """Track rows with their landmark list as an array of (lx, ly)."""
-    raw = read_csv(spark, TRACK_LANDMARKS, *paths, sep=";")
-    return raw.withColumn("landmarks", text.points(F.col("landmarks")))
+    return accepted(parsed_track_landmarks(spark, *paths)).select(TRACK_LANDMARKS.names)
