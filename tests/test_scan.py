@@ -13,13 +13,30 @@ from trackfold.functions.beams import measure, segment_stats
 from trackfold.operators import associate, scan
 from trackfold.schema import METRE_SCAN, RAW_SCAN
 
-# Readings (cm) of the recorded scan of 361 beams that differ from 8191, "no echo". Fixed values.
-ECHOES = {
-    0: [83, 84, 84, 85, 84, 84, 85, 85, 86, 86, 86, 89], 61: [8187], 81: [8187], 91: [8187],
-    101: [2028, 2029], 117: [2947], 126: [8187], 128: [870, 853, 853, 855], 134: [8183], 142: [8183, 8187],
-    145: [8187, 2856], 155: [1269], 170: [2372, 2380], 206: [2429, 2416, 2418, 2424],
-    217: [1257, 1246, 1247, 1251], 321: [311, 308, 309, 313], 331: [8187],
-}
+# The readings (cm) of the recorded scan, beam by beam; 8191 is "no echo".
+READINGS = [
+    83, 84, 84, 85, 84, 84, 85, 85, 86, 86, 86, 89, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8187, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8187, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8187, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 2028, 2029, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 2947, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8187, 8191, 870, 853, 853, 855, 8191, 8191, 8183, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8183, 8187, 8191, 8187, 2856, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 1269, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 2372, 2380, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 2429, 2416, 2418,
+    2424, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 1257, 1246, 1247, 1251, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 311, 308, 309, 313, 8191, 8191, 8191, 8191,
+    8191, 8191, 8187, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+    8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191, 8191,
+]
 # first, last, x, y, diameter, range, bearing
 OBJECTS = [
     (101, 102, 19.678090, -12.374020, 0.354040, 23.245292, -0.561343),
@@ -35,10 +52,7 @@ OBJECTS = [
 
 
 def recorded_scan() -> list[float]:
-    readings = [8191.0] * 361
-    for first, values in ECHOES.items():
-        readings[first: first + len(values)] = [float(v) for v in values]
-    return readings
+    return [float(v) for v in READINGS]
 
 
 @pytest.fixture(scope="module")
