@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,21 +22,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _qualified(context: SparkContext, path: str) -> str:
+    """The path with its scheme; without one it lies in ``fs.defaultFS``."""
+    named = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = named.getFileSystem(context._jsc.hadoopConfiguration())
+    return system.makeQualified(named).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
     A local session without that setting gets a folder of its own, once. A cluster session
     without it is refused: a machine-local folder would be lost with its machine. A path without
-    a scheme is refused there too, as each machine may take it for another place; ``file:`` is
-    taken at its word, for a folder that all machines mount.
+    a scheme is one of the default file system, as everywhere in Spark; on a cluster the driver says
+    so once, so that all machines take it for the same place. ``file:`` is taken at its word, for a
+    folder that all machines mount.
     """
     context = spark.sparkContext
     cluster = not context.master.startswith("local")
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        if cluster and ":" not in named:
-            raise ValueError("give spark.checkpoint.dir with its scheme, such as hdfs: or file:")
-        return named.rstrip("/")
+        return (_qualified(context, named) if cluster else named).rstrip("/")
     current = context.getCheckpointDir()
     if current is None:
         if cluster:
