@@ -206,3 +206,29 @@ def test_places_on_the_limits(spark):
     marks = marks[rng.permutation(len(marks))]
     objects = np.concatenate([rng.integers(-20, 20, (300, 2)) * 0.2, rng.uniform(3, 7.5, (200, 2)), np.full((1, 2), np.nan)])
     assert associated(spark, objects, marks) == one_by_one(objects, marks)
+
+
+def test_observations_and_boxes_meet_once(spark):
+    """Observations are read once, and a box goes into a few squares, all those with a place near it."""
+    rng = np.random.default_rng(6)
+    marks, objects = rng.uniform(-50, 50, (3000, 2)), rng.uniform(-50, 50, (2000, 2))
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    seen = pd.DataFrame({"vehicle": "v", "obs_id": range(len(objects)), "x": objects[:, 0], "y": objects[:, 1]})
+    known = pd.DataFrame({"vehicle": "v", "idx": range(len(marks)), "x": marks[:, 0], "y": marks[:, 1]})
+    frame = spark.createDataFrame(seen)
+    got = associate.associate(frame.mapInArrow(counted, frame.schema), spark.createDataFrame(known)).orderBy("obs_id").collect()
+    assert [(r.status, r.landmark) for r in got] == one_by_one(objects, marks)
+    assert rows.value == len(objects)
+    placed = spark.createDataFrame(known).selectExpr("vehicle", "idx", "x AS lx", "y AS ly", "idx AS fx", "idx AS fy")
+    spread = associate.spread_boxes(placed, 2.0, 4.0).select("idx", "sx", "sy").collect()
+    assert len(spread) < 4.5 * len(marks)
+    there = {(r.idx, r.sx, r.sy) for r in spread}
+    for x, y in objects[:300]:
+        near = np.flatnonzero(np.hypot(*(marks - (x, y)).T) < 2.0)
+        assert {(i, math.floor(x / 4), math.floor(y / 4)) for i in near.tolist()} <= there
