@@ -31,13 +31,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackfold.llm.base import bounded, text_bytes, without
+from trackfold.llm.base import bounded, slices, text_bytes, without
 from trackfold.session import cut
 
 WIDTH = 3
@@ -48,7 +47,7 @@ MOST_MATCHES = 8
 CHANCE = 0.3  # partners that a shingle below the noise of the counts has by chance
 COMPARE = 0.1  # cost of comparing one shingle of a candidate, in prefix entries
 SMALL = 8
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1 << 16  # more take longer to find than to hash again, and 60 MB a worker at 400,000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 TEXTS_DDL = "doc_id bigint, digest binary, n bigint, matches int, prefix binary"
 
@@ -87,16 +86,9 @@ def shingle_counts(docs: DataFrame, text_col: str, width: int, bits: int = COUNT
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = WordHashes(), np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            held, size = [], 0
-            for text in text_bytes(batch.column(0)):
-                held.append(shingles(_words(text), hashes, width) & mask)
-                size += len(held[-1])
-                if size > 1 << 20:
-                    table += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits).astype(np.uint32)
-                    held, size = [], 0
-            if size:
-                table += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+        for batch in slices(batches, 0):
+            held = [shingles(_words(text), hashes, width) & mask for text in text_bytes(batch.column(0))]
+            np.add.at(table, np.concatenate(held).astype(np.int64), np.uint32(1))
         step = min(COUNT_CHUNK, 1 << bits)
         for n, at in enumerate(range(0, 1 << bits, step)):
             part = table[at : at + step]
@@ -157,7 +149,7 @@ def texts_with_prefixes(
 
     def cut_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = WordHashes(), shared.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for text in text_bytes(batch.column(1)):
                 words = _words(text)
@@ -303,26 +295,25 @@ def _compare(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            if batch.num_rows:
-                held = [shingles(_words(t), hashes, width).tobytes() for t in text_bytes(batch.column(1))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["id", "held"])
-
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            common = int((y[at] == x).sum())
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return pd.Series(out)
+        for batch in slices(batches, 1):
+            held = [shingles(_words(t), hashes, width).tobytes() for t in text_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["id", "held"])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            out = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common = int((y[at] == x).sum())
+                out.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
 
     held = cut(rows.join(wanted, F.col("doc_id") == F.col("_wanted")).select("doc_id", "text")
                .mapInArrow(sets, "id bigint, held binary"))
     with_a = pairs.join(held.select(F.col("id").alias("a"), F.col("held").alias("held_a")), "a")
     with_both = with_a.join(held.select(F.col("id").alias("b"), F.col("held").alias("held_b")), "b")
-    return with_both.filter(linked("held_a", "held_b")).select("a", "b").distinct()
+    return with_both.select("a", "b", "held_a", "held_b").mapInArrow(linked, "a bigint, b bigint").distinct()
 
 
 def _hub_pairs(lists: DataFrame, labels: DataFrame | None, turn: int, percent: int) -> DataFrame:
