@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
+from trackfold import session
 from trackfold.plans import catalog
-from trackfold.session import shared_dir
+from trackfold.session import shared_dir, shared_folder
 
 
 def named(spark, folder: str | None):
@@ -52,3 +56,41 @@ def test_files_and_streams_on_a_cluster(spark, sf_dir, monkeypatch, name):
     there = catalog.QUERIES[name](spark, sf_dir).count()
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     assert catalog.QUERIES[name](spark, sf_dir).count() == there > 0
+
+
+@pytest.fixture
+def apart(cluster, monkeypatch, tmp_path):
+    """A named folder that each machine has for itself: the driver does not find what tasks have written there."""
+    folder = f"file:{tmp_path}/own"
+    for name in ("parquet", "text"):
+        def write(self, path, *options, to=getattr(DataFrameWriter, name), **more):
+            to(self, path, *options, **more)
+            if path.startswith(folder):
+                for part in Path(path.removeprefix("file:")).rglob("*part-*"):
+                    part.unlink()
+
+        monkeypatch.setattr(DataFrameWriter, name, write)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: folder)
+    return folder
+
+
+@pytest.mark.parametrize("name", ["text_files", "odometry_files", "track_parquet_roundtrip"])
+def test_no_row_is_lost_in_a_folder_of_one_machine(spark, sf_dir, apart, name):
+    with pytest.warns(UserWarning, match="not all executors"):
+        assert catalog.QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_a_folder_of_one_machine_is_refused_without_another(cluster, apart, tmp_path, monkeypatch):
+    (tmp_path / "file").write_text("")
+    unwritable = f"file:{tmp_path}/file/below"
+    monkeypatch.setattr(cluster.sparkContext, "getCheckpointDir", lambda: unwritable)
+    monkeypatch.setattr(cluster.conf, "get", lambda key, *default: unwritable)
+    with pytest.raises(ValueError, match="every executor"):
+        shared_folder(cluster)
+
+
+def test_a_folder_all_reach_is_kept(cluster, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file:{tmp_path}")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert shared_folder(cluster) == f"file:{tmp_path}"

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,8 +55,47 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+# the folder found for an application, by the one it names
+_found: dict[tuple[str, str], str] = {}
+
+
+def seen_by_all(spark: SparkSession, folder: str) -> bool:
+    """Whether what the executors write to the folder is all there when it is read again.
+
+    A folder that each machine has for itself raises no error: the driver finds no files there,
+    commits an empty table, and every row is lost.
+    """
+    path, tasks = f"{folder}/seen-{uuid.uuid4().hex}", 2 * spark.sparkContext.defaultParallelism
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        return spark.read.schema("id bigint").parquet(path).count() == tasks
+    except (Py4JJavaError, PySparkException):
+        return False
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``shared_dir``, tried once for an application whose executors are processes of their own.
+
+    ``spark.checkpoint.dir`` can be a default of the installation that no machine shares. Then the folder
+    given to ``setCheckpointDir`` is taken, or else one in the warehouse, if all executors reach that.
+    """
+    named, context = shared_dir(spark), spark.sparkContext
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return named
+    key = (context.applicationId, named)
+    if key not in _found:
+        others = (context.getCheckpointDir(), f"{spark.conf.get('spark.sql.warehouse.dir')}/trackfold-scratch")
+        folder = next((f.rstrip("/") for f in (named, *others) if f and seen_by_all(spark, f.rstrip("/"))), None)
+        if folder is None:
+            raise ValueError(f"set spark.checkpoint.dir to a folder every executor can reach; {named} is not one")
+        if folder != named:
+            warnings.warn(f"not all executors reach {named}; {folder} is taken for it")
+        _found[key] = folder
+    return _found[key]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, *by: str) -> DataFrame:
