@@ -105,6 +105,19 @@ def base_counts(text):
     return (len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), repeated(w))
 
 
+def test_repeats_and_plain_words_at_any_length(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "B.", "(c", "!?", "\u00e4,"], k=n)) for n in (*range(10), 15, 16, 17, 255, 256, 3000)]
+    texts += ["", " . ", "?!", "x y z x y z", "(x y) z", "x-y y z. x-y y z"]
+    docs = spark.createDataFrame([(n, t, None) for n, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = divergence_rules.counted(docs, ["a", "c", "x-y"], "doc_id", "text", "lang").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        plain = [x for x in (w.strip(string.punctuation) for w in texts[r["doc_id"]].translate(CAPITALS).split()) if x]
+        assert r["n_repeat_words"] == repeated(words(texts[r["doc_id"]]))
+        assert (r["n_plain"], r["common"]) == (len(plain), [x for x in plain if x in ("a", "c", "x-y")])
+
+
 def js(p, q):
     keys = {*p, *q}
     m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in keys}

@@ -48,32 +48,41 @@ PUNCTUATION = "!-/:-@\\[-`{-~"
 APART = f"[{PUNCTUATION}]*[\\x20\\x09-\\x0D][\\x20\\x09-\\x0D{PUNCTUATION}]*"
 
 
+def _apart(text: Column) -> Column:
+    """``plain_words`` between two empty strings, the first and the last."""
+    return F.split(F.concat(F.lit(" "), lowered(text), F.lit(" ")), APART)
+
+
 def plain_words(text: Column) -> Column:
     """Words in lower case (A-Z) without punctuation around them; what is punctuation only is none."""
-    return F.array_remove(F.split(F.concat(F.lit(" "), lowered(text), F.lit(" ")), APART), "")
+    return F.array_remove(_apart(text), "")
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
     """Add ``n_repeat_words`` from the words ``w``: words in a 3-word window found twice or more.
 
-    Hashes of the windows tell which may be the same. Only these are compared, as text, sorted, each with
+    Hashes of the windows tell which may be the same. Their last bits, as many as places need, are the place:
+    plain numbers are sorted, not structs. Only the windows found so are compared, as text, sorted, each with
     its neighbours. The sum takes each word once where windows overlap.
     """
     at = lambda i: [F.get(F.col("w"), i + k) for k in range(3)]
-    beside = lambda column, x, k, name: (
-        (x[name] == F.get(F.col(column), k + 1)[name]) | (x[name] == F.get(F.col(column), k - 1)[name]))
+    beside = lambda column, x, k, same: (
+        (same(x) == same(F.get(F.col(column), k + 1))) | (same(x) == same(F.get(F.col(column), k - 1))))
     hashes = F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.xxhash64(*at(i)))
     docs = docs.withColumn("hashes", F.when(F.size("w") > 3, hashes))
-    places = F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    docs = docs.withColumn("places", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), places))
-    alike = F.filter("places", lambda x, k: beside("places", x, k, "h"))
-    placed = F.sort_array(F.transform(alike, lambda x: F.struct(F.concat_ws(" ", *at(x["i"])).alias("g"), x["i"].alias("i"))))
+    bits = F.coalesce(F.length(F.bin(F.size("w"))), F.lit(32))
+    docs = docs.withColumn("mask", F.call_function("shiftleft", F.lit(-1).cast("bigint"), bits))
+    of_hash, place = lambda x: x.bitwiseAND(F.col("mask")), lambda x: x.bitwiseAND(F.bitwise_not("mask")).cast("int")
+    keys = F.sort_array(F.transform("hashes", lambda h, i: of_hash(h).bitwiseOR(i.cast("bigint"))))
+    docs = docs.withColumn("keys", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), keys))
+    alike = F.transform(F.filter("keys", lambda x, k: beside("keys", x, k, of_hash)), place)
+    placed = F.sort_array(F.transform(alike, lambda i: F.struct(F.concat_ws(" ", *at(i)).alias("g"), i.alias("i"))))
     docs = docs.withColumn("placed", F.coalesce(placed, F.array().cast("array<struct<g:string,i:int>>")))
-    twice = F.filter("placed", lambda x, k: beside("placed", x, k, "g"))
+    twice = F.filter("placed", lambda x, k: beside("placed", x, k, lambda y: y["g"]))
     docs = docs.withColumn("hits", F.array_sort(F.transform(twice, lambda x: x["i"])))
     new_words = F.transform("hits", lambda i, k: F.least(F.lit(3), F.coalesce(F.get(F.col("hits"), k + 1) - i, F.lit(3))))
     count = F.aggregate(new_words, F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return docs.withColumn("n_repeat_words", count).drop("hashes", "places", "placed", "hits")
+    return docs.withColumn("n_repeat_words", count).drop("hashes", "mask", "keys", "placed", "hits")
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str, common: int, min_share: float) -> DataFrame:
@@ -92,23 +101,29 @@ def common_words(docs: DataFrame, text_col: str, lang_col: str, common: int, min
 
 
 def counted(docs: DataFrame, common: list[str], id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Per row the base counts, bytes by character class, and its common words."""
+    """Per row the base counts, bytes by character class, and its common words.
+
+    Each step hands on no more than the next ones need, as it copies what it hands on.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    taken_off = lambda regex: F.octet_length("text") - F.octet_length(F.regexp_replace("text", regex, ""))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), text.alias("text"),
         F.monotonically_increasing_id().alias("row"), F.xxhash64(F.col(text_col)).alias("mark"),
-    ).withColumns({"w": words(F.col("text")), "plain": plain_words(F.col("text"))})
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")))
-    rows = with_repeats(rows)
-    taken_off = lambda regex: F.octet_length("text") - F.octet_length(F.regexp_replace("text", regex, ""))
+    )
     rows = rows.select(
-        "doc_id", "lang", "row", "mark", "n_repeat_words", F.size("w").cast("bigint").alias("n_words"),
-        F.char_length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        "doc_id", "lang", "row", "mark", "text", _apart(F.col("text")).alias("plain"),
+        F.filter(F.split("text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
         F.octet_length("text").alias("bytes"), F.char_length("text").alias("chars"),
         *[taken_off(regex).cast("bigint").alias(name) for name, regex in CLASSES.items()],
-        F.size("plain").cast("bigint").alias("n_plain"), F.filter("plain", lambda x: x.isin(common)).alias("common"),
     )
+    rows = rows.select(
+        "doc_id", "lang", "row", "mark", "bytes", "chars", *CLASSES, words(F.col("text")).alias("w"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.size("plain") - 2).cast("bigint").alias("n_plain"), F.filter("plain", lambda x: x.isin(common)).alias("common"),
+    )
+    rows = with_repeats(rows).withColumns({
+        "n_words": F.size("w").cast("bigint"), "word_chars": F.char_length(F.array_join("w", "")).cast("bigint")}).drop("w")
     named = sum((F.col(n) for n in CLASSES), F.lit(0))
     return rows.withColumns({
         "blanks": F.col("chars") - F.col("word_chars"),
