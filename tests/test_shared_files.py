@@ -15,6 +15,7 @@ from tests.test_session import cluster, named  # noqa: F401
 # each by the query that gives the same rows and writes nothing
 TWINS = {
     "ekf_stream": "ekf_track",
+    "ekf_text_stream": "ekf_track",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
