@@ -16,6 +16,7 @@ from tests.test_session import cluster, named  # noqa: F401
 TWINS = {
     "ekf_stream": "ekf_track",
     "ekf_text_stream": "ekf_track",
+    "gps_seconds_files": "parse_tagged",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
