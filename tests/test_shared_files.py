@@ -17,6 +17,7 @@ TWINS = {
     "ekf_stream": "ekf_track",
     "ekf_text_stream": "ekf_track",
     "gps_seconds_files": "parse_tagged",
+    "merged_files": "merge_sensors",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
