@@ -18,6 +18,7 @@ TWINS = {
     "ekf_text_stream": "ekf_track",
     "gps_seconds_files": "parse_tagged",
     "merged_files": "merge_sensors",
+    "move_stream": "pose_accumulate",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
