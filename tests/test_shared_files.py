@@ -19,6 +19,7 @@ TWINS = {
     "gps_seconds_files": "parse_tagged",
     "merged_files": "merge_sensors",
     "move_stream": "pose_accumulate",
+    "objects_stream": "extract_objects",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
