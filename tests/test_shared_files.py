@@ -20,6 +20,7 @@ TWINS = {
     "merged_files": "merge_sensors",
     "move_stream": "pose_accumulate",
     "objects_stream": "extract_objects",
+    "odometry_files": "parse_tagged",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
