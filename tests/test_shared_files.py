@@ -21,6 +21,7 @@ TWINS = {
     "move_stream": "pose_accumulate",
     "objects_stream": "extract_objects",
     "odometry_files": "parse_tagged",
+    "slam_stream": "slam_track",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
