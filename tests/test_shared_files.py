@@ -22,6 +22,7 @@ TWINS = {
     "objects_stream": "extract_objects",
     "odometry_files": "parse_tagged",
     "slam_stream": "slam_track",
+    "text_stream": "parse_tagged",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
