@@ -23,6 +23,7 @@ TWINS = {
     "odometry_files": "parse_tagged",
     "slam_stream": "slam_track",
     "text_stream": "parse_tagged",
+    "text_files": "parse_tagged",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
