@@ -24,6 +24,7 @@ TWINS = {
     "slam_stream": "slam_track",
     "text_stream": "parse_tagged",
     "text_files": "parse_tagged",
+    "track_csv_roundtrip": "ekf_track",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
