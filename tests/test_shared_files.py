@@ -25,6 +25,7 @@ TWINS = {
     "text_stream": "parse_tagged",
     "text_files": "parse_tagged",
     "track_csv_roundtrip": "ekf_track",
+    "track_landmark_files": "landmark_cloud",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
