@@ -27,6 +27,7 @@ TWINS = {
     "track_csv_roundtrip": "ekf_track",
     "track_landmark_files": "landmark_cloud",
     "track_parquet_roundtrip": "ekf_track",
+    "track_steps_roundtrip": "ekf_track",
 }
 KINDS = {"gps_seconds_files": "kind = 'gps'", "odometry_files": "kind = 'odo'"}
 
